@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import packing
+from pulsegrid.llm import packing, quality, toxicity
 from pulsegrid.llm.common import read
 
 
@@ -15,8 +15,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).select(*cols)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity.toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return got.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return got.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_packing,
+    "op6_toxicity_ftrl": op6_toxicity,
+    "op9_quality_cnn": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
