@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import save
+from pulsegrid.llm.common import save, text_blocks
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -33,27 +33,54 @@ class _ChunkIds(dict):
     """Space-free stretch of text -> its ids as little-endian bytes.
 
     The tokenizer's normaliser works on single characters or on runs of white space, and its splitter
-    drops white space, so ids of a text are the ids of its stretches between spaces, joined.
+    drops white space, so ids of a text are the ids of its stretches between spaces, joined. Likewise a
+    letter followed by one final stop or comma always splits there, and ASCII case does not matter
+    outside special tokens. Stretches not seen before are tokenised together, in one call a block.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self[""] = b""
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-                self[""] = b""
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+    @staticmethod
+    def _plain(chunk: str) -> str:
+        return chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk
+
+    def _encode(self, chunks: list[str]) -> None:
+        if not chunks:
+            return
+        e = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(chunks)), side="right") * 4
+        start = 0
+        for c, end in zip(chunks, ends.tolist(), strict=True):
+            self[c] = ids[start:end]
+            start = end
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        if len(self) > self.limit:
+            self.clear()
+            self[""] = b""
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.keys())
+        stems: set[str] = set()
+        parts: dict[str, tuple[str, str]] = {}
+        for c in new:
+            s = self._plain(c)
+            stop = s[-1] if len(s) > 1 and s[-1] in ".," and s[-2].lower().isalpha() else ""
+            parts[c] = (s[:-1], stop) if stop else (s, "")
+            stems.update(parts[c])
+        self._encode([s for s in stems if s not in self])
+        for c, (s, stop) in parts.items():
+            self[c] = self[s] + self[stop]
+        out = [b"".join(map(self.__getitem__, s)) for s in split]
+        for c in [c for c in new | stems if len(c) > 64]:
+            self.pop(c, None)
+        return out
 
 
 _cached: dict[str, _ChunkIds] = {}
@@ -81,8 +108,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         width = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = table.ids(text or "") + end
+            docs, encoded = batch.column(0).to_pylist(), []
+            for _, texts in text_blocks(batch, "text"):
+                encoded += table.block([t.decode() for t in texts])
+            for doc, ids in zip(docs, encoded, strict=True):
+                ids += end
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
                     rows.append((doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
