@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import packing, quality, toxicity
+from pulsegrid.llm import jaccard, langid, packing, quality, toxicity
 from pulsegrid.llm.common import read
 
 
@@ -15,6 +15,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).select(*cols)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = langid.language_id(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return got.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = toxicity.toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return got.select("doc_id", "held_out", "score", "predicted")
@@ -27,6 +36,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_packing,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_language_id": op5_language_id,
     "op6_toxicity_ftrl": op6_toxicity,
     "op9_quality_cnn": op9_quality,
 }
