@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import jaccard, langid, packing, quality, toxicity
+from pulsegrid.llm import decontam, html, jaccard, langid, packing, quality, toxicity
 from pulsegrid.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = langid.language_id(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return got.select("doc_id", "held_out", "lang_pred", "score")
@@ -29,6 +33,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return got.select("doc_id", "held_out", "score", "predicted")
@@ -37,8 +45,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_html_text": op4_html_text,
     "op5_language_id": op5_language_id,
     "op6_toxicity_ftrl": op6_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_cnn": op9_quality,
 }
 
