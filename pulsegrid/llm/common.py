@@ -114,3 +114,11 @@ def shingle_sets(words: list[np.ndarray], width: int = 5) -> list[np.ndarray]:
             s = chain(s, h[k : k + n])
         out.append(np.unique(mix(s + np.uint64(min(len(h), width)))))
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop shuffle files of finished stages that no DataFrame refers to any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontam, html, jaccard, langid, packing, quality, toxicity
+from pulsegrid.llm import decontam, html, jaccard, langid, media, packing, quality, toxicity
 from pulsegrid.llm.common import read
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return media.media(read(spark, sf_dir, "documents")).select(*cols)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return packing.pack(read(spark, sf_dir, "documents")).select(*cols)
@@ -43,6 +48,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_chunks": op1_media,
     "op2_best_fit_packing": op2_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_html_text": op4_html_text,
