@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontam, html, jaccard, langid, media, packing, quality, toxicity
+from pulsegrid.llm import decontam, html, jaccard, langid, media, packing, pii, quality, secrets, toxicity
 from pulsegrid.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_chunks": op1_media,
     "op2_best_fit_packing": op2_packing,
@@ -54,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_language_id": op5_language_id,
     "op6_toxicity_ftrl": op6_toxicity,
+    "op7_personal_data": op7_personal_data,
     "op8_decontamination": op8_decontamination,
     "op9_quality_cnn": op9_quality,
+    "op10_linked_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
