@@ -1,5 +1,60 @@
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes what its predecessor kept and returns a DataFrame; all but the last return the columns
+of ``documents``. SQL cannot express the stages (a trained classifier, set joins with groups,
+BM25, bootstrapped patterns, a tokenizer), so there is no oracle SQL; tests/llm compares a run with
+brute force.
+"""
+
 from __future__ import annotations
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pulsegrid.llm import decontam, jaccard, packing, pii, quality
+from pulsegrid.llm.common import read, save
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.quality(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontam.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_filter", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", drop_leaks),
+    ("personal_data", hide_personal_data),
+    ("packing", pack_sequences),
+]
+
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is a stored table."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = save(docs, name)
+    return docs
