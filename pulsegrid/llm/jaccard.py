@@ -25,6 +25,7 @@ equal sets; rows with a null id get a null component; an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,11 @@ BLOCK = 2048
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
-def band_starts(largest: int, percent: int = PERCENT) -> np.ndarray:
+@lru_cache(maxsize=8)
+def band_starts(percent: int = PERCENT) -> np.ndarray:
     """First size of each band: a band ends at the largest partner its first size can have."""
     out = [1]
-    while out[-1] <= largest:
+    while out[-1] < 1 << 40:
         out.append(out[-1] * 100 // percent + 1)
     return np.array(out, np.int64)
 
@@ -59,7 +61,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """PartEnum signatures of one set of hashes as signed 64-bit numbers."""
     if not len(s):
         return np.zeros(0, np.int64)
-    starts = band_starts(len(s), percent)
+    starts = band_starts(percent)
     own = int(np.searchsorted(starts, len(s), side="right")) - 1
     value, out = mix(s + np.uint64(0x51)), []
     for band, start in ((own, int(starts[own])), (own + 1, int(starts[own]) * 100 // percent + 1)):
@@ -140,7 +142,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for own, sets in _ids_and_sets(batches, width):
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
-    return docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, set binary")
+    return docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,41 +193,55 @@ def _bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(fits).select(*pairs.columns)
 
 
-def _residual(buckets: DataFrame, info: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+def _residual(met: DataFrame, member: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs between different groups inside buckets of three or more members, past the sketch bound.
 
-    A bucket is cut into blocks of about BLOCK members by a hash; each pair of blocks is one group of
-    bounded size.
+    ``member`` maps a document to its class and group. Many buckets have the same members: one bucket of
+    each content is compared. A bucket is cut into blocks of about BLOCK members by a hash, and each
+    pair of blocks is compared by itself, so what a task holds is bounded.
     """
-    grouped = buckets.join(info.withColumnRenamed("id", "rep"), "rep").join(stars.withColumnRenamed("v", "rep"), "rep", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "rep"))
-    mixed = grouped.groupBy("sig").agg(F.count("*").alias("_c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_c > 2 AND _lo <> _hi")
-    blocks = F.ceil(F.col("_c") / F.lit(BLOCK)).cast("int")
-    rows = grouped.join(mixed.select("sig", "_c"), "sig").withColumn("_n", blocks)
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    part = F.lit(1 << 40)
+    per_bucket = met.select("sig", "doc_id").join(member, "doc_id").groupBy("sig").agg(
+        F.count("*").alias("_c"), F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.sum(F.pmod(F.xxhash64("rep"), part)).alias("_h"), F.sum(F.pmod(F.xxhash64("rep", F.lit(7)), part)).alias("_k")
+    )
+    mixed = save(per_bucket.where("_c > 2 AND _lo <> _hi").groupBy("_c", "_h", "_k").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("_c") / F.lit(BLOCK)).cast("int").alias("_n")), "mixed")
+    rows = met.select("sig", "doc_id").join(mixed, "sig").join(member, "doc_id").select("sig", "_n", "rep", "root").distinct()
+    rows = rows.join(info.withColumnRenamed("id", "rep"), "rep").withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("sig", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "_b", "rep", "root", "n", *_SKETCH)
+    rows = rows.repartition(parts, "sig", "_x", "_y").sortWithinPartitions("sig", "_x", "_y")
 
-    def compare(key, t):
-        rep, root, n, b = (t.column(c).to_numpy() for c in ("rep", "root", "n", "_b"))
-        sk = np.stack([t.column(c).to_numpy() for c in _SKETCH], 1)
-        x, y = key[1].as_py(), key[2].as_py()
+    def compare(a: np.ndarray) -> np.ndarray:
+        x, y, b, rep, root, n, sk = a[0, 1], a[0, 2], a[:, 3], a[:, 4], a[:, 5], a[:, 6], a[:, 7:]
         left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         for k in range(0, len(left), 256):
             i = left[k : k + 256]
-            d = np.zeros((len(i), len(right)), np.int64)
-            for w in range(SKETCH_WORDS):
-                d += np.bitwise_count(sk[i, w][:, None] ^ sk[right, w][None])
-            total = n[i][:, None] + n[right][None]
-            ok = (d * (100 + percent) <= total * (100 - percent)) & (root[i][:, None] != root[right][None])
+            d = np.bitwise_count(sk[i][:, None] ^ sk[right][None]).sum(2, dtype=np.int64) if len(i) * len(right) < 4096 else sum(np.bitwise_count(sk[i, w][:, None] ^ sk[right, w][None]).astype(np.int64) for w in range(SKETCH_WORDS))
+            ok = (d * (100 + percent) <= (n[i][:, None] + n[right][None]) * (100 - percent)) & (root[i][:, None] != root[right][None])
             ok &= np.minimum(n[i][:, None], n[right][None]) * 100 >= np.maximum(n[i][:, None], n[right][None]) * percent
             p, q = np.nonzero(ok)
-            out.append(np.stack([rep[i[p]], rep[right[q]]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            out.append(np.sort(np.stack([rep[i[p]], rep[right[q]]], 1), 1))
+        return np.concatenate(out)
 
-    return rows.groupBy("sig", "_x", "_y").applyInArrow(compare, "a long, b long").distinct()
+    def run(batches):
+        carry = None
+        for t in batches:
+            a = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in t.columns], 1)
+            a = a if carry is None else np.concatenate([carry, a])
+            cut = np.flatnonzero((a[1:, :3] != a[:-1, :3]).any(1)) + 1
+            if not len(cut):
+                carry = a
+                continue
+            pairs = np.unique(np.concatenate([compare(g) for g in np.split(a, cut)[:-1]]), axis=0)
+            carry = a[cut[-1] :]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        if carry is not None and len(carry):
+            pairs = np.unique(compare(carry), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -246,8 +262,6 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     pairs = pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
     pairs = save(_bounded(pairs, sets_info, percent), "pairs")
 
-    # The members of buckets under their classes, for the comparison between groups.
-    buckets = met.join(to_rep, "doc_id").select("sig", "rep").distinct()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = save(_sets_of(docs, ids, width).dropDuplicates(["id"]), "sets")
 
@@ -261,7 +275,8 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     rest = _linked(across(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), stars), sets, percent)
     stars = components(rest.unionByName(stars.select(F.col("v").alias("a"), F.col("root").alias("b"))))
-    more = save(_residual(buckets, sets_info, stars, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    member = save(to_rep.join(stars.withColumnRenamed("v", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("root")), "members")
+    more = save(_residual(met, member, sets_info, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more")
     new_ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if not more.isEmpty():
         found = _linked(more, _sets_of(docs, new_ids, width).dropDuplicates(["id"]), percent)
