@@ -1,6 +1,7 @@
 """Benchmark decontamination: BM25 over test items, searched with block-max WAND by every passage.
 
-Test items form an inverted index whose impacts are BM25 contributions divided by the item's score for
+Test items form an inverted index of word triples (single words are so common that their bounds hold
+nothing back) whose impacts are BM25 contributions divided by the item's score for
 its own words, so 1 is a full match and one threshold serves all items. Passages are windows of
 ``2 * unit`` words that begin every ``unit`` words and cover the whole text, so any ``unit`` words in a
 row lie inside one. A passage whose words' largest impacts add up to less than the threshold cannot
@@ -23,6 +24,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,24 +68,49 @@ class Index:
             self.items.append((item, *parts_of(text)))
             for k in range(0, len(words), unit):
                 if k == 0 or len(words) - k >= MIN_WORDS:
-                    units.append((len(self.items) - 1, Counter(words[k : k + unit])))
-        df = Counter(w for _, c in units for w in c)
-        mean = sum(sum(c.values()) for _, c in units) / max(1, len(units))
-        postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        self.owner = [i for i, _ in units]
-        for u, (_, c) in enumerate(units):
+                    units.append((len(self.items) - 1, words[k : k + unit]))
+        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in units for w in ws}))}
+        counted = [(i, Counter(self.triples(self.codes(ws)).tolist())) for i, ws in units]
+        df = Counter(g for _, c in counted for g in c)
+        mean = sum(sum(c.values()) for _, c in counted) / max(1, len(counted))
+        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.owner = [i for i, _ in counted]
+        for u, (_, c) in enumerate(counted):
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
-            s = {w: math.log(1 + (len(units) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in c.items()}
+            s = {g: math.log(1 + (len(counted) - df[g] + 0.5) / (df[g] + 0.5)) * n * (K1 + 1) / (n + norm) for g, n in c.items()}
             own = sum(s.values())
-            for w, x in s.items():
-                postings[w].append((u, x / own))
-        self.terms = {w: i + 1 for i, w in enumerate(sorted(postings))}
+            for g, x in s.items():
+                postings[g].append((u, x / own))
+        self.grams = np.array(sorted(postings), np.int64)
         self.postings = [([], [], [])] + [
-            ([u for u, _ in postings[w]], [x for _, x in postings[w]], [max(x for _, x in postings[w][k : k + POSTING_BLOCK]) for k in range(0, len(postings[w]), POSTING_BLOCK)])
-            for w in sorted(postings)
+            ([u for u, _ in postings[g]], [x for _, x in postings[g]], [max(x for _, x in postings[g][k : k + POSTING_BLOCK]) for k in range(0, len(postings[g]), POSTING_BLOCK)])
+            for g in self.grams.tolist()
         ]
         self.most = np.array([max(p[1], default=0.0) for p in self.postings], np.float32)
 
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """Vocabulary numbers of words; 0 is a word of no item."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+
+    def triples(self, codes: np.ndarray) -> np.ndarray:
+        """A number for each three words in a row that are all in the vocabulary."""
+        return self.triples_at(codes)[1]
+
+    def triples_at(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero((codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0)) if len(codes) > 2 else np.zeros(0, np.int64)
+        size = len(self.vocabulary) + 1
+        return at, (codes[at] * size + codes[at + 1]) * size + codes[at + 2]
+
+    def terms_of(self, words: list[bytes]) -> np.ndarray:
+        """The index term that begins at each word, 0 for none."""
+        out = np.zeros(len(words), np.int64)
+        at, found = self.triples_at(self.codes(words))
+        if len(at) and len(self.grams):
+            k = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
+            hit = self.grams[k] == found
+            out[at[hit]] = k[hit] + 1
+        return out
+
     def search(self, terms: list[int], threshold: float) -> dict[int, float]:
         """Block-max WAND: every unit whose impacts over the distinct ``terms`` reach ``threshold``."""
         eps = threshold - 1e-9
@@ -159,10 +186,11 @@ class Searcher:
             self.index = Index(items, unit)
         x = self.index
         words = [words_of(t) for t in texts]
-        term, out = x.terms, []
-        get = term.get
+        out: list[tuple] = []
         for doc, ws in zip(ids, words, strict=True):
-            t = np.fromiter((get(w, 0) for w in ws), np.int32, len(ws))
+            t = x.terms_of(ws)
+            if not t.any():
+                continue
             total = np.concatenate([[0.0], np.cumsum(x.most[t], dtype=np.float64)])
             starts = np.arange(0, max(1, len(ws) - unit), unit)
             ends = np.minimum(starts + 2 * unit, len(ws))
