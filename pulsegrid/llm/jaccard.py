@@ -213,7 +213,8 @@ def _residual(met: DataFrame, member: DataFrame, info: DataFrame, percent: int)
     rows = rows.repartition(parts, "sig", "_x", "_y").sortWithinPartitions("sig", "_x", "_y")
 
     def compare(a: np.ndarray) -> np.ndarray:
-        x, y, b, rep, root, n, sk = a[0, 1], a[0, 2], a[:, 3], a[:, 4], a[:, 5], a[:, 6], a[:, 7:]
+        x, y, b, rep, root, n = a[0, 1], a[0, 2], a[:, 3], a[:, 4], a[:, 5], a[:, 6]
+        sk = np.ascontiguousarray(a[:, 7:]).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
         left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
         out = [np.zeros((0, 2), np.int64)]
         for k in range(0, len(left), 256):
