@@ -145,13 +145,16 @@ class Model:
                 if not m:
                     break
                 c = grid[k, :m]
-                s = trans[state[:m] * np.int32(self.size) + c]
+                now = state[:m]
+                s = trans[now * np.int32(self.size) + c]
                 ended = s == 0
-                count[:m] += ended
                 start = root[c]
-                # A character unknown to the language is a phrase of its own.
-                state[:m] = np.where(ended, np.where(start == 0, 1, start), s)
-            out[:, j] = np.bincount(owner, count + 1, len(texts)).astype(np.int64)
+                # A mismatch ends the phrase under way; a character unknown to the language is one of its own.
+                unknown = start == 0
+                count[:m] += ended & (now != 1)
+                count[:m] += unknown
+                state[:m] = np.where(ended, np.where(unknown, 1, start), s)
+            out[:, j] = np.bincount(owner, count + (state != 1), len(texts)).astype(np.int64)
         return out
 
 
