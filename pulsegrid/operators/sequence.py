@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from pulsegrid.options import LN_JUMP, EstimatorOptions
 
 OPTIONS = EstimatorOptions()
-_TRACK = Window.partitionBy("track_id")
-_IN_TIME = _TRACK.orderBy("time_s")
-_BY_INDEX = _TRACK.orderBy("idx")
+
+
+def _track(*order: str):
+    """The one partitioning of all these windows."""
+    w = Window.partitionBy("track_id")
+    return w.orderBy(*order) if order else w
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -24,16 +27,16 @@ def beat_events(beats: DataFrame) -> DataFrame:
 
 def mirror(beats: DataFrame, tracks: DataFrame) -> DataFrame:
     """The time axis reversed: t becomes duration - t, first becomes last."""
-    n = F.count("*").over(_TRACK)
+    n = F.count("*").over(_track())
     return beats.withColumn("idx", n - 1 - F.col("idx")).join(tracks, "track_id").withColumn("time_s", F.col("duration_s") - F.col("time_s")).drop("duration_s")
 
 
 def intervals(beats: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     """One row per gap: its seconds, raw and bounded tempo."""
-    dt = F.lead("time_s").over(_IN_TIME) - F.col("time_s")
+    dt = F.lead("time_s").over(_track("time_s")) - F.col("time_s")
     raw = F.try_divide(F.lit(60.0), F.col("dt"))
     return (
-        beats.select("track_id", "idx", "time_s", "confidence", F.lead("confidence").over(_IN_TIME).alias("next_confidence"), dt.alias("dt"))
+        beats.select("track_id", "idx", "time_s", "confidence", F.lead("confidence").over(_track("time_s")).alias("next_confidence"), dt.alias("dt"))
         .where("dt IS NOT NULL")
         .withColumn("raw_bpm", raw)
         .withColumn("bounded_bpm", clamp(F.col("raw_bpm"), o.min_bpm, o.max_bpm))
@@ -43,8 +46,8 @@ def intervals(beats: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
 def context_medians(gaps: DataFrame, value: str = "bounded_bpm", o: EstimatorOptions = OPTIONS) -> DataFrame:
     """Medians of up to ``window // 2`` values on each side, the row itself left out."""
     r = o.smoothing_window // 2
-    left = F.percentile(value, F.lit(0.5)).over(_BY_INDEX.rowsBetween(-r, -1))
-    right = F.percentile(value, F.lit(0.5)).over(_BY_INDEX.rowsBetween(1, r))
+    left = F.percentile(value, F.lit(0.5)).over(_track("idx").rowsBetween(-r, -1))
+    right = F.percentile(value, F.lit(0.5)).over(_track("idx").rowsBetween(1, r))
     return gaps.withColumn("left_median", left).withColumn("right_median", right)
 
 
@@ -63,7 +66,7 @@ def octave_repair(gaps: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
 
 def smooth_tempo(gaps: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     """Geometric mean over three values where they lie within the jump ratio; elsewhere unchanged."""
-    near = _BY_INDEX.rowsBetween(-1, 1)
+    near = _track("idx").rowsBetween(-1, 1)
     fixed = octave_repair(gaps, o)
     flat = (F.max("repaired_bpm").over(near) / F.min("repaired_bpm").over(near)) <= 1 + o.jump_ratio
     return fixed.withColumn("smoothed_bpm", F.when(flat & (F.count("*").over(near) == 3), F.pow(F.lit(2.0), F.avg(F.log2("repaired_bpm")).over(near))).otherwise(F.col("repaired_bpm")))
@@ -89,8 +92,8 @@ def tempo_hypotheses(tempo: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFra
 
 def tempo_jumps(curve: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     """Points where the mean of the two tempos before differs from that of this and the next."""
-    n = F.count("*").over(_TRACK)
-    c = curve.select("track_id", "idx", "time_s", "bpm", "confidence", (F.row_number().over(_BY_INDEX) - 1).alias("k"), n.alias("n"), F.lag("bpm", 1).over(_BY_INDEX).alias("b1"), F.lag("bpm", 2).over(_BY_INDEX).alias("b2"), F.lead("bpm", 1).over(_BY_INDEX).alias("a1"))
+    n = F.count("*").over(_track())
+    c = curve.select("track_id", "idx", "time_s", "bpm", "confidence", (F.row_number().over(_track("idx")) - 1).alias("k"), n.alias("n"), F.lag("bpm", 1).over(_track("idx")).alias("b1"), F.lag("bpm", 2).over(_track("idx")).alias("b2"), F.lead("bpm", 1).over(_track("idx")).alias("a1"))
     before, after = (F.col("b2") + F.col("b1")) / 2, (F.col("bpm") + F.col("a1")) / 2
     ratio = F.abs(F.log(after / before))
     return c.where((F.col("n") >= 5) & (F.col("k") >= 2) & (F.col("k") < F.col("n") - 2)).select("track_id", "time_s", before.alias("before_bpm"), after.alias("after_bpm"), clamp((ratio - LN_JUMP) / 0.25).alias("score"), ratio.alias("_r")).where(F.col("_r") >= LN_JUMP).drop("_r")
@@ -105,9 +108,9 @@ def long_gaps(gaps: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
 
 def silence_regions(activity: DataFrame, tracks: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     """Runs at or below the threshold, widened by half the median hop, long enough to count."""
-    hop = F.lead("time_s").over(_IN_TIME) - F.col("time_s")
+    hop = F.lead("time_s").over(_track("time_s")) - F.col("time_s")
     quiet = F.col("relative_db") <= o.silence_threshold_db
-    a = activity.select("track_id", "time_s", "relative_db", hop.alias("hop"), quiet.alias("quiet"), (F.row_number().over(_IN_TIME) - F.sum(quiet.cast("int")).over(_IN_TIME)).alias("island"))
+    a = activity.select("track_id", "time_s", "relative_db", hop.alias("hop"), quiet.alias("quiet"), (F.row_number().over(_track("time_s")) - F.sum(quiet.cast("int")).over(_track("time_s"))).alias("island"))
     half = activity.select("track_id", hop.alias("hop")).groupBy("track_id").agg(F.median("hop").alias("hop"))
     runs = a.where("quiet").groupBy("track_id", "island").agg(F.min("time_s").alias("first_s"), F.max("time_s").alias("last_s"), F.min("relative_db").alias("low"))
     r = runs.join(half, "track_id").join(tracks, "track_id").withColumn("half", F.coalesce(F.col("hop"), F.greatest("duration_s", F.lit(0.001))) / 2)
@@ -119,7 +122,7 @@ def outside_silence(beats: DataFrame, regions: DataFrame) -> DataFrame:
     """Beats outside every silence: regions of a track do not overlap, so the last one begun decides."""
     marks = beats.select("track_id", "time_s", F.lit(1).alias("is_beat"), F.lit(None).cast("double").alias("until"), F.struct(*beats.columns).alias("row"))
     starts = regions.select("track_id", F.col("start_s").alias("time_s"), F.lit(0).alias("is_beat"), F.col("end_s").alias("until"), F.lit(None).cast(marks.schema["row"].dataType).alias("row"))
-    w = _TRACK.orderBy("time_s", "is_beat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _track().orderBy("time_s", "is_beat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = marks.unionByName(starts).withColumn("until", F.last("until", ignorenulls=True).over(w))
     return m.where((F.col("is_beat") == 1) & (F.col("until").isNull() | (F.col("time_s") > F.col("until")))).select("row.*")
 
@@ -133,7 +136,7 @@ def nearest_activity(beats: DataFrame, activity: DataFrame) -> DataFrame:
     none = F.lit(None).cast("struct<t:double,db:double>")
     b = beats.select("track_id", "time_s", F.lit(1).alias("k"), none.alias("p"), F.struct(*beats.columns).alias("row"))
     a = activity.select("track_id", "time_s", F.lit(0).alias("k"), point.alias("p"), F.lit(None).cast(b.schema["row"].dataType).alias("row"))
-    order = _TRACK.orderBy("time_s", "k")
+    order = _track().orderBy("time_s", "k")
     u = b.unionByName(a).withColumn("before", F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     near = F.when(F.col("after").isNull() | (F.col("time_s") - F.col("before.t") <= F.col("after.t") - F.col("time_s")), F.col("before.db")).otherwise(F.col("after.db"))
     return u.where("k = 1").select("row.*", near.alias("near_db"))
@@ -173,7 +176,7 @@ def fold_beats(beats: DataFrame, decision: DataFrame) -> DataFrame:
 def transfer_downbeats(beats: DataFrame, phase: int = 0) -> DataFrame:
     """Evidence of dropped beats goes, at nine tenths, to the nearest kept neighbour, the earlier of two."""
     kept = F.col("idx") % 2 == phase
-    before, after = F.col("time_s") - F.lag("time_s").over(_IN_TIME), F.lead("time_s").over(_IN_TIME) - F.col("time_s")
+    before, after = F.col("time_s") - F.lag("time_s").over(_track("time_s")), F.lead("time_s").over(_track("time_s")) - F.col("time_s")
     to = F.when(kept, F.col("idx")).when(after.isNull() | (before <= after), F.col("idx") - 1).otherwise(F.col("idx") + 1)
     own = F.when(kept, F.col("downbeat_confidence"))
     moved = F.when(~kept & (F.col("downbeat_confidence") >= 0.5), 0.9 * F.col("downbeat_confidence"))
@@ -184,20 +187,20 @@ def transfer_downbeats(beats: DataFrame, phase: int = 0) -> DataFrame:
 def downbeat_runs(beats: DataFrame) -> DataFrame:
     """Runs of downbeats exactly two beats apart, by ordinal parity inside the run."""
     d = beats.where(F.col("downbeat_confidence") >= 0.5)
-    new = F.coalesce((F.col("idx") - F.lag("idx").over(_BY_INDEX) != 2).cast("int"), F.lit(0))
-    d = d.withColumn("run", F.sum(new).over(_BY_INDEX))
+    new = F.coalesce((F.col("idx") - F.lag("idx").over(_track("idx")) != 2).cast("int"), F.lit(0))
+    d = d.withColumn("run", F.sum(new).over(_track("idx")))
     return d.groupBy("track_id", "run").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n_downbeats"))
 
 
 def downbeat_spacing(beats: DataFrame) -> DataFrame:
     """Median index distance of downbeats; below two is inconsistent."""
-    d = beats.where(F.col("downbeat_confidence") >= 0.5).select("track_id", (F.col("idx") - F.lag("idx").over(_BY_INDEX)).alias("gap"))
+    d = beats.where(F.col("downbeat_confidence") >= 0.5).select("track_id", (F.col("idx") - F.lag("idx").over(_track("idx"))).alias("gap"))
     return d.groupBy("track_id").agg((F.count("gap") + 1).alias("n_downbeats"), F.median("gap").alias("spacing"))
 
 
 def violations(beats: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rows that break the input contract, with a code: times finite, inside the track, strictly rising."""
-    prev = F.lag("time_s").over(_BY_INDEX)
+    prev = F.lag("time_s").over(_track("idx"))
     b = beats.withColumn("prev", prev).join(tracks, "track_id")
     t = F.col("time_s")
     code = F.when(F.isnan(t), "not_finite").when((t < 0) | (t > F.col("duration_s")), "out_of_range").when(t <= F.col("prev"), "unsorted")

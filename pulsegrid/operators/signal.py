@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.options import MidpointOptions
 
-_FRAMES = Window.partitionBy("track_id").orderBy("frame")
+
+
+def _frames():
+    return Window.partitionBy("track_id").orderBy("frame")
 
 
 def downmix(samples: DataFrame, channels: int) -> DataFrame:
@@ -19,7 +22,7 @@ def downmix(samples: DataFrame, channels: int) -> DataFrame:
 def rms_activity(samples: DataFrame, rate: int) -> DataFrame:
     """RMS in windows of rate // 10 samples about every rate // 20, and dB against the loudest window."""
     half, hop = max(1, rate // 10) // 2, max(1, rate // 20)
-    w = _FRAMES.rowsBetween(-half, half)
+    w = _frames().rowsBetween(-half, half)
     r = samples.withColumn("rms", F.sqrt(F.avg(F.col("logit") * F.col("logit")).over(w))).where(F.col("frame") % hop == 0)
     peak = F.max("rms").over(Window.partitionBy("track_id"))
     db = F.when(peak <= 2.220446049250313e-16, F.lit(-120.0)).otherwise(F.least(F.greatest(20 * F.log10(F.greatest(F.col("rms") / peak, F.lit(1e-6))), F.lit(-120.0)), F.lit(0.0)))
@@ -28,7 +31,7 @@ def rms_activity(samples: DataFrame, rate: int) -> DataFrame:
 
 def local_peaks(frames: DataFrame, radius: int = 3, threshold: float = 0.0) -> DataFrame:
     """Frames above the threshold that no neighbour within ``radius`` exceeds."""
-    top = F.max("logit").over(_FRAMES.rowsBetween(-radius, radius))
+    top = F.max("logit").over(_frames().rowsBetween(-radius, radius))
     return frames.withColumn("top", top).where((F.col("logit") >= F.col("top")) & (F.col("logit") > threshold)).drop("top")
 
 

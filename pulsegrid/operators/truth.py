@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from pulsegrid.options import LN_TRUTH_JUMP
 
-_SEGS = Window.partitionBy("recipe_id").orderBy("seg")
+
+
+def _segs():
+    return Window.partitionBy("recipe_id").orderBy("seg")
 
 
 def timeline(recipes: DataFrame) -> DataFrame:
     """Recipe segments with their start and end on the recipe's time axis."""
-    end = F.sum("duration_s").over(_SEGS.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum("duration_s").over(_segs().rowsBetween(Window.unboundedPreceding, 0))
     return recipes.withColumn("end_s", end).withColumn("start_s", F.col("end_s") - F.col("duration_s"))
 
 
@@ -42,9 +45,9 @@ def truth_changes(recipes: DataFrame) -> DataFrame:
     """Middle of each silence; at other boundaries a jump, or a ramp boundary where ramp-ness differs."""
     t = timeline(recipes)
     silent = F.col("kind") == "silence"
-    island = F.row_number().over(_SEGS) - F.sum(silent.cast("int")).over(_SEGS)
+    island = F.row_number().over(_segs()) - F.sum(silent.cast("int")).over(_segs())
     quiet = t.withColumn("g", island).where(silent).groupBy("recipe_id", "g").agg(((F.min("start_s") + F.max("end_s")) / 2).alias("time_s")).select("recipe_id", "time_s", F.lit("rhythm_discontinuity").alias("kind"))
-    b = t.withColumn("pk", F.lag("kind").over(_SEGS)).withColumn("pe", F.lag("end_bpm").over(_SEGS)).where(~silent & F.col("pk").isNotNull() & (F.col("pk") != "silence"))
+    b = t.withColumn("pk", F.lag("kind").over(_segs())).withColumn("pe", F.lag("end_bpm").over(_segs())).where(~silent & F.col("pk").isNotNull() & (F.col("pk") != "silence"))
     jump = F.abs(F.log(F.col("start_bpm") / F.col("pe"))) > LN_TRUTH_JUMP
     kind = F.when(jump, "tempo_jump").when((F.col("kind") == "linear_ramp") != (F.col("pk") == "linear_ramp"), "ramp_boundary")
     return quiet.unionByName(b.select("recipe_id", F.col("start_s").alias("time_s"), kind.alias("kind")).where("kind IS NOT NULL"))
