@@ -101,18 +101,87 @@ def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _PHI + b)
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _PHI)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xD6E8FEB86659FD93
+_UNBASE = pow(_BASE, -1, 1 << 64)
+
+
+_grown: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... mod 2^64, by doubling; kept for blocks of the usual size."""
+    out = _grown.get(base, np.ones(1, np.uint64))
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    if len(out) <= 2 * BLOCK_BYTES:
+        _grown[base] = out
+    return out[:n]
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of a buffer: polynomial hashes from one running sum over its bytes."""
+    x = np.frombuffer(data, np.uint8)
+    word = ~_SPACE[x]
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[x] * _powers(_BASE, len(x)), dtype=np.uint64)])
+    h = (total[end] - total[start]) * _powers(_UNBASE, len(x))[start]
+    return mix(h + (end - start).astype(np.uint64) * _PHI), start
+
+
+def word_hashes(texts: list[bytes], block_bytes: int = BLOCK_BYTES) -> list[np.ndarray]:
+    """Hashes of the words of each text, ASCII letters folded, words between ASCII white space.
+
+    Long buffers are cut between words, so memory follows ``block_bytes`` however long a text is.
+    """
+    data = b" ".join(texts).lower()
+    sizes = np.array([len(t) + 1 for t in texts])
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(at + block_bytes, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        h, s = _hash_words(data[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    if not hashes:
+        return [np.zeros(0, np.uint64) for _ in texts]
+    bounds = np.searchsorted(np.concatenate(starts), np.cumsum(sizes)[:-1])
+    return np.split(np.concatenate(hashes), bounds)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingle_sets(words: list[np.ndarray], width: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of ``width``-word shingles per text; fewer words make one shingle, no words none."""
+    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(w) for w in words])
+    rolled = flat[: max(0, len(flat) - width + 1)]
+    for k in range(1, width):
+        rolled = chain(rolled, flat[k : k + len(rolled)])
+    rolled = mix(rolled + np.uint64(width))
     out = []
-    for h in words:
-        if len(h) == 0:
-            out.append(h)
-            continue
-        n = max(1, len(h) - width + 1)
-        s = h[:n]
-        for k in range(1, min(width, len(h))):
-            s = chain(s, h[k : k + n])
-        out.append(np.unique(mix(s + np.uint64(min(len(h), width)))))
+    for h, end in zip(words, ends.tolist(), strict=True):
+        n = len(h)
+        if n >= width:
+            out.append(distinct(rolled[end - n : end - width + 1]))
+        elif n:
+            s = h[:1]
+            for k in range(1, n):
+                s = chain(s, h[k : k + 1])
+            out.append(mix(s + np.uint64(n)))
+        else:
+            out.append(np.zeros(0, np.uint64))
     return out
 
 

@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WordHashes, drop_saved, mix, save, shingle_sets, text_blocks
+from pulsegrid.llm.common import drop_saved, mix, save, shingle_sets, text_blocks, word_hashes
 
 WIDTH, PERCENT = 5, 80
 SKETCH_WORDS = 8
 #: Members of a bucket are compared in blocks of about this many.
 BLOCK = 2048
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
@@ -64,11 +65,12 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     starts = band_starts(percent)
     own = int(np.searchsorted(starts, len(s), side="right")) - 1
     value, out = mix(s + np.uint64(0x51)), []
+    # Sums of 26-bit halves stay exact in doubles, which is what bincount adds.
+    low, high = (value & np.uint64(0x3FFFFFF)).astype(np.float64), (value >> np.uint64(38)).astype(np.float64)
     for band, start in ((own, int(starts[own])), (own + 1, int(starts[own]) * 100 // percent + 1)):
         k, n1 = band_parameters(start, percent)
         part = (mix(s + np.uint64(977 * band + 13)) % np.uint64(n1)).astype(np.int64)
-        total = np.zeros(n1, np.uint64)
-        np.add.at(total, part, value)
+        total = np.bincount(part, low, n1).astype(np.uint64) + (np.bincount(part, high, n1).astype(np.uint64) << np.uint64(32)) * _SPREAD
         filled = np.bincount(part, minlength=n1) > 0
         sig = mix(mix(total) + mix(np.arange(n1, dtype=np.uint64) + np.uint64((band + 1) << 32)))
         out.append(sig if n1 - filled.sum() >= n1 - k else sig[filled])
@@ -82,11 +84,9 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def word_sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray]:
-    """Shingle sets of UTF-8 texts: ASCII letters folded, words between ASCII white space."""
-    words = [t.lower().split() for t in texts]
-    n = np.cumsum([len(w) for w in words])[:-1]
-    return shingle_sets(np.split(hashes.of([x for w in words for x in w]), n), width)
+def word_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Shingle sets of UTF-8 texts."""
+    return shingle_sets(word_hashes(texts), width)
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -96,11 +96,10 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def _ids_and_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    hashes = WordHashes()
     for b in batches:
         ids = b.column(0).to_pylist()
         for start, texts in text_blocks(b, "text"):
-            yield ids[start : start + len(texts)], word_sets(texts, hashes, width)
+            yield ids[start : start + len(texts)], word_sets(texts, width)
 
 
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
