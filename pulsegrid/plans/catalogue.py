@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import scoring, sequence, signal, truth
+from pulsegrid.operators import folds, scoring, sequence, signal, truth
 from pulsegrid.options import DECODER_POLICIES, EstimatorOptions
 from pulsegrid.plans import analysis
 from pulsegrid.sources import tables as t
@@ -640,3 +640,81 @@ def _(s, d):
     joined = b.join(t.tracks(b), "track_id").join(t.activity(s, d).select("track_id", "idx", F.col("time_s").alias("activity_s"), "relative_db"), ["track_id", "idx"])
     a = analysis.analyze_tracks(joined, policy="sequence-phase-v1")
     return a.select("track_id", "global_bpm", F.size("segments").alias("n_segments"), F.size("changes").alias("n_changes"), F.size("sections").alias("n_sections"), F.array_join("warnings", ",").alias("warnings"))
+
+
+# --- Order-dependent repairs, one group per track ------------------------------------------------------
+
+
+def _with_activity(s, d):
+    b = t.beats(s, d)
+    a = t.activity(s, d).select("track_id", "idx", F.col("time_s").alias("activity_s"), "relative_db")
+    return b.join(t.tracks(b), "track_id").join(a, ["track_id", "idx"])
+
+
+def _truth_curve(s, d):
+    p = t.predictions(truth.truth_beats(t.recipes(s, d))).withColumnRenamed("recipe_id", "track_id")
+    b = p.select("track_id", "idx", "time_s", F.lit(1.0).alias("confidence"))
+    return sequence.tempo_curve(sequence.intervals(b)), b.groupBy("track_id").agg((F.max("time_s") + 0.25).alias("duration_s"))
+
+
+@query("polyline_knots")
+def _(s, d):
+    return folds.polyline_knots(_truth_curve(s, d)[0])
+
+
+@query("tempo_segments")
+def _(s, d):
+    return folds.tempo_segments(*_truth_curve(s, d))
+
+
+@query("segment_transitions")
+def _(s, d):
+    return folds.segment_transitions(folds.tempo_segments(*_truth_curve(s, d)))
+
+
+@query("metrical_run_repair")
+def _(s, d):
+    return folds.repair_runs(sequence.intervals(t.beats(s, d)))
+
+
+@query("jitter_repair")
+def _(s, d):
+    return folds.repair_jitter(sequence.intervals(t.beats(s, d)))
+
+
+@query("edge_double_time")
+def _(s, d):
+    return folds.edge_double_time(_with_activity(s, d))
+
+
+@query("bar_level_downbeats")
+def _(s, d):
+    return folds.bar_level_downbeats(_with_activity(s, d))
+
+
+@query("transition_grid_recovery")
+def _(s, d):
+    return folds.recover_grids(_with_activity(s, d))
+
+
+@query("folded_beats", sql(f"SELECT b.track_id, b.idx, round(b.time_s, 6) AS time_s FROM beats b JOIN (SELECT track_id, CASE WHEN even >= odd THEN 0 ELSE 1 END AS p, m >= 150 AND m / 2 BETWEEN 70 AND 180 AND n >= 8 AND greatest(even, odd) / greatest(least(even, odd), 1e-9) >= 1.35 AS fold FROM (SELECT track_id, avg({_SAL}) FILTER (idx % 2 = 0) AS even, avg({_SAL}) FILTER (idx % 2 = 1) AS odd, count(*) AS n FROM near GROUP BY 1) JOIN (SELECT track_id, median(raw_bpm) AS m FROM gaps GROUP BY 1) USING (track_id)) USING (track_id) WHERE NOT fold OR b.idx % 2 = p", "near", "gaps"))
+def _(s, d):
+    return sequence.fold_beats(t.beats(s, d), sequence.metrical_level(_near(s, d), sequence.intervals(t.beats(s, d)))).select("track_id", "idx", "time_s")
+
+
+@query("grid_prefix_fit", sql("SELECT track_id, max(n) AS longest_prefix FROM (SELECT e.track_id, e.idx + 1 AS n, max(abs(b.time_s - (o + b.idx * p))) AS err, any_value(p) AS p FROM (SELECT e.track_id, e.idx, regr_slope(b.time_s, b.idx) AS p, regr_intercept(b.time_s, b.idx) AS o FROM beats e JOIN beats b ON b.track_id = e.track_id AND b.idx <= e.idx WHERE e.idx BETWEEN 5 AND 23 GROUP BY ALL) e JOIN beats b ON b.track_id = e.track_id AND b.idx <= e.idx GROUP BY ALL) WHERE p > 0 AND err <= 1.5 * p GROUP BY 1", "beats"))
+def _(s, d):
+    """Longest of the first 24 beats' prefixes that a grid fits within one and a half periods."""
+    b = t.beats(s, d).where("idx < 24").select("track_id", "idx", "time_s")
+    e = b.where("idx >= 5").select("track_id", F.col("idx").alias("last")).join(b, "track_id").where("idx <= last")
+    w = Window.partitionBy("track_id", "last")
+    c = e.withColumn("mi", F.avg("idx").over(w)).withColumn("mt", F.avg("time_s").over(w))
+    p = F.sum((F.col("idx") - F.col("mi")) * (F.col("time_s") - F.col("mt"))).over(w) / F.sum((F.col("idx") - F.col("mi")) ** 2).over(w)
+    g = c.withColumn("p", p).groupBy("track_id", "last").agg(F.first("p").alias("p"), F.max(F.abs(F.col("time_s") - F.col("mt") - F.col("p") * (F.col("idx") - F.col("mi")))).alias("err"))
+    return g.where("p > 0 AND err <= 1.5 * p").groupBy("track_id").agg((F.max("last") + 1).alias("longest_prefix"))
+
+
+@query("all_changes", sql("SELECT track_id, round(time_s, 6) AS time_s, kind FROM (SELECT track_id, time_s + dt / 2 AS time_s, 'gap' AS kind FROM gaps JOIN (SELECT track_id, median(dt) AS m FROM gaps GROUP BY 1) USING (track_id) WHERE dt > 1 AND dt > 3.5 * m UNION ALL SELECT track_id, (start_s + end_s) / 2, 'silence' FROM regions)", "gaps", "regions"))
+def _(s, d):
+    gaps = sequence.long_gaps(sequence.intervals(t.beats(s, d))).select("track_id", "time_s", F.lit("gap").alias("kind"))
+    return gaps.unionByName(_regions(s, d).select("track_id", ((F.col("start_s") + F.col("end_s")) / 2).alias("time_s"), F.lit("silence").alias("kind")))
