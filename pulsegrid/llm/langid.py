@@ -7,7 +7,8 @@ characters, parsed side by side as numpy lanes; a phrase never crosses a segment
 segment of a text counts, so whole texts decide.
 
 Training reads only text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0:
-per language up to ``rows`` documents (the smallest by a hash of the id) and ``chars`` characters.
+per language up to ``rows`` documents (the smallest by a hash of the id) and ``chars`` characters, of
+the ``MAX_LANGUAGES`` most frequent languages, which share ``TOTAL_CHARS`` characters at most.
 
 Defined results: null text and text without a letter are ``und`` with score 0; ties go to the
 alphabetically first language; repeated rows agree; without training rows everything is ``und``.
@@ -29,6 +30,8 @@ from pulsegrid.llm.common import split_of
 SPLIT, HELD_OUT = 5, 0
 #: Bounds of the labelled sample per language.
 TRAIN_ROWS, TRAIN_CHARS = 256, 60_000
+#: Bounds of the whole model: the most frequent languages, and the characters that they share.
+MAX_LANGUAGES, TOTAL_CHARS = 256, 600_000
 SEGMENT = 512
 UNKNOWN = "und"
 
@@ -41,7 +44,7 @@ def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_C
     """
     rows_of = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of("doc_id", SPLIT) != HELD_OUT))
     rows_of = rows_of.select("lang", "text", F.xxhash64("doc_id", F.lit("lang")).alias("_h"))
-    counts = rows_of.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = rows_of.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES)
     unit = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
     few = rows_of.join(F.broadcast(counts), "lang").where(unit < F.lit(4.0 * rows) / F.col("_n"))
     ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(unit, "text")))
@@ -206,4 +209,5 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], chars: int = TRAIN_C
 
 
 def language_id(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
-    return identify(docs.drop("lang"), training_texts(docs, rows, chars), chars)
+    sample = training_texts(docs, rows, chars)
+    return identify(docs.drop("lang"), sample, min(chars, TOTAL_CHARS // max(1, len(sample))))
