@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def written_once(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when the write ends: nothing runs those plans again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pulsegrid/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with written_once(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -184,10 +198,3 @@ def shingle_sets(words: list[np.ndarray], width: int = 5) -> list[np.ndarray]:
             out.append(np.zeros(0, np.uint64))
     return out
 
-
-def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of finished stages that no DataFrame refers to any more."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()

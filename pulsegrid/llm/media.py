@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import mix, release, save, text_blocks
+from pulsegrid.llm.common import mix, save, text_blocks, written_once
 
 SMALLEST, MASK_BITS, LARGEST = 1024, 12, 16384
 BLOCK = 64
@@ -135,9 +135,8 @@ def store_chunks(docs: DataFrame) -> DataFrame:
     name = f"pulsegrid_chunks_{uuid.uuid4().hex}"
     distinct = docs.select("doc_id", "text").mapInArrow(emit, _STORED).repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(once, _STORED)
     # Sorted rows of one partition stay there: mapInArrow keeps the partitioning in fact, if not in the plan.
-    distinct.write.option("compression", "uncompressed").bucketBy(parts, "digest").sortBy("digest").saveAsTable(name)
-    del distinct
-    release(spark)
+    with written_once(spark):
+        distinct.write.option("compression", "uncompressed").bucketBy(parts, "digest").sortBy("digest").saveAsTable(name)
     return spark.table(name)
 
 
@@ -222,5 +221,4 @@ def media(docs: DataFrame) -> DataFrame:
     lists = save(chunk_lists(docs), "lists")
     store = store_chunks(docs)
     by_payload = save(features(read_back(lists, store)), "media")
-    release(docs.sparkSession)
     return lists.select("doc_id", "n_bytes", "payload").join(by_payload, "payload").drop("payload")
