@@ -8,6 +8,7 @@ distribution.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from statistics import median
 
@@ -72,7 +73,12 @@ def validate(o: Observations) -> None:
 
 def level_at(activity: list[tuple[float, float]], t: float) -> float | None:
     """dB of the nearest activity point, the first of equally near ones."""
-    return min(activity, key=lambda p: abs(p[0] - t))[1] if activity else None
+    if not activity:
+        return None
+    i = bisect_left(activity, (t,))
+    if i == len(activity) or (i and t - activity[i - 1][0] <= activity[i][0] - t):
+        i -= 1
+    return activity[i][1]
 
 
 def amplitude(activity, t: float, missing: float) -> float:

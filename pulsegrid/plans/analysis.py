@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pulsegrid.functions.estimator import Beat, Observations, ObservationError, analyze
 from pulsegrid.options import ANALYSIS_SCHEMA_VERSION, ESTIMATOR_POLICIES, EstimatorOptions, estimator_policy
@@ -28,16 +31,15 @@ def analyze_tracks(beats: DataFrame, policy: str | EstimatorOptions = "default",
     columns = [c for c in ("track_id", "duration_s", "time_s", "confidence", "downbeat_confidence", "activity_s", "relative_db", "frame_rate") if c in beats.columns]
     names = {k: [f.split(":")[0] for f in v.removeprefix("array<struct<").removesuffix(">>").split(",")] for k, v in PARTS.items()}
 
-    def one(key, pdf):
-        import pandas as pd
+    arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
-        pdf = pdf.sort_values("time_s")
-        rows = [Beat(*r) for r in zip(pdf.time_s, pdf.confidence, pdf.downbeat_confidence)]
-        activity = sorted(zip(pdf.activity_s, pdf.relative_db)) if "activity_s" in pdf else []
-        duration = float(pdf.duration_s.iloc[0])
-        activity = [(t, db) for t, db in activity if t <= duration]
-        rate = float(pdf.frame_rate.iloc[0]) if "frame_rate" in pdf else None
-        row = {"track_id": key[0], "schema_version": ANALYSIS_SCHEMA_VERSION, "duration_s": duration, "global_bpm": None, "warnings": [], "error": None, **{k: [] for k in PARTS}}
+    def one(key, table):
+        c = table.to_pydict()
+        rows = [Beat(*r) for r in sorted(zip(c["time_s"], c["confidence"], c["downbeat_confidence"]))]
+        duration = c["duration_s"][0]
+        activity = [(t, db) for t, db in sorted(zip(c["activity_s"], c["relative_db"])) if t <= duration] if "activity_s" in c else []
+        rate = c["frame_rate"][0] if "frame_rate" in c else None
+        row = {"track_id": key[0].as_py(), "schema_version": ANALYSIS_SCHEMA_VERSION, "duration_s": duration, "global_bpm": None, "warnings": [], "error": None, **{k: [] for k in PARTS}}
         try:
             a = analyze(Observations(duration, rows, activity, rate), options)
             row |= {"global_bpm": a["global_bpm"], "warnings": a["warnings"]}
@@ -46,9 +48,9 @@ def analyze_tracks(beats: DataFrame, policy: str | EstimatorOptions = "default",
             if strict:
                 raise
             row["error"] = str(e)
-        return pd.DataFrame([row])
+        return pa.Table.from_pylist([row], schema=arrow)
 
-    return beats.select(*columns).groupBy("track_id").applyInPandas(one, SCHEMA)
+    return beats.select(*columns).groupBy("track_id").applyInArrow(one, SCHEMA)
 
 
 def part(analyses: DataFrame, name: str) -> DataFrame:
