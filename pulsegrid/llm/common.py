@@ -3,6 +3,7 @@ batches of whole texts for Arrow functions, word hashes, and the train/held-out
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,14 +22,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. One of our own is set only where the session names none (tests)."""
+    """The cluster's shared folder. A folder of our own is used only where the session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="pulsegrid-"))
+        path = _own[0]
     return path.rstrip("/")
 
 
