@@ -45,10 +45,6 @@ class _ChunkIds(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self[""] = b""
 
-    @staticmethod
-    def _plain(chunk: str) -> str:
-        return chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk
-
     def _encode(self, chunks: list[str]) -> None:
         if not chunks:
             return
@@ -66,19 +62,23 @@ class _ChunkIds(dict):
             self.clear()
             self[""] = b""
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.keys())
-        stems: set[str] = set()
-        parts: dict[str, tuple[str, str]] = {}
+        new = set().union(*split).difference(self)
+        need: set[str] = {c for c in (".", ",") if c not in self}
+        later: list[tuple[str, str, str]] = []
         for c in new:
-            s = self._plain(c)
-            stop = s[-1] if len(s) > 1 and s[-1] in ".," and s[-2].lower().isalpha() else ""
-            parts[c] = (s[:-1], stop) if stop else (s, "")
-            stems.update(parts[c])
-        self._encode([s for s in stems if s not in self])
-        for c, (s, stop) in parts.items():
+            s = c.lower() if c.isascii() and "<|" not in c else c
+            stop = ""
+            if s[-1] in ".," and len(s) > 1 and s[-2].lower().isalpha():
+                s, stop = s[:-1], s[-1]
+            if s not in self:
+                need.add(s)
+            if stop or s != c:
+                later.append((c, s, stop))
+        self._encode(list(need))
+        for c, s, stop in later:
             self[c] = self[s] + self[stop]
         out = [b"".join(map(self.__getitem__, s)) for s in split]
-        for c in [c for c in new | stems if len(c) > 64]:
+        for c in [c for c in new | need if len(c) > 64]:
             self.pop(c, None)
         return out
 
