@@ -72,15 +72,16 @@ def split_of(col: str | Column, modulus: int) -> Column:
 
 def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of slices of a batch; null is the empty text."""
-    values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
+    texts = batch.column(batch.schema.get_field_index(column))
     start, size, block = 0, 0, []
-    for i, v in enumerate(values):
-        v = v or b""
-        if block and size + len(v) > block_bytes:
-            yield start, block
-            start, size, block = i, 0, []
-        block.append(v)
-        size += len(v)
+    for k in range(0, len(texts), 512):
+        for i, v in enumerate(texts.slice(k, 512).cast(pa.large_binary()).to_pylist(), k):
+            v = v or b""
+            if block and size + len(v) > block_bytes:
+                yield start, block
+                start, size, block = i, 0, []
+            block.append(v)
+            size += len(v)
     if block:
         yield start, block
 
