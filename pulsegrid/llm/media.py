@@ -31,6 +31,8 @@ from pulsegrid.llm.common import mix, save, text_blocks, written_once
 SMALLEST, MASK_BITS, LARGEST = 1024, 12, 16384
 BLOCK = 64
 HOT_SHARE = 1000
+#: Compression: level, and the bound of the sample that the dictionary is trained on.
+LEVEL, DICTIONARY_ROWS = 9, 512
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _STORED = "digest binary, body binary"
 _LISTS = "doc_id long, n_bytes long, payload binary, chunks array<struct<digest:binary,length:int>>"
@@ -102,8 +104,21 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _LISTS)
 
 
-def store_chunks(docs: DataFrame) -> DataFrame:
-    """The chunk store: one row per digest, bodies compressed, bucketed and sorted by digest."""
+def dictionary(docs: DataFrame, rows: int = DICTIONARY_ROWS, chars: int = 8192, size: int = 64 << 10) -> bytes:
+    """A compression dictionary from the beginnings of at most ``rows`` texts, the smallest by a hash of the id.
+
+    Chunks are short, so each compresses better with what texts have in common. Too few texts give none.
+    """
+    import zstandard
+
+    order = F.xxhash64("doc_id")
+    sample = docs.where(F.length("text") > 0).select(order.alias("_h"), F.substring("text", 1, chars).alias("t")).orderBy("_h", "t").limit(rows).collect()
+    parts = [c for r in sample for _, c in chunked(r["t"].encode())]
+    return zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 256 else b""
+
+
+def store_chunks(docs: DataFrame, words: bytes = b"") -> DataFrame:
+    """The chunk store: one row per digest, bodies compressed with a dictionary, bucketed and sorted by digest."""
     import zstandard
 
     spark = docs.sparkSession
@@ -111,7 +126,7 @@ def store_chunks(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         for b in batches:
             for _, texts in text_blocks(b, "text"):
                 rows = []
@@ -140,7 +155,7 @@ def store_chunks(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
+def read_back(lists: DataFrame, store: DataFrame, words: bytes = b"") -> DataFrame:
     """One row per distinct payload, rebuilt from the store: its bytes, checked, and its stored form."""
     spark = lists.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -159,7 +174,7 @@ def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpacker = zstandard.ZstdDecompressor()
+        unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         key, chunks, bodies, data = None, [], [], []
 
         def done() -> tuple:
@@ -219,6 +234,8 @@ def media(docs: DataFrame) -> DataFrame:
     """Store every text as media, read it back, and return digests and features per document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lists = save(chunk_lists(docs), "lists")
-    store = store_chunks(docs)
-    by_payload = save(features(read_back(lists, store)), "media")
+    words = dictionary(docs)
+    save(docs.sparkSession.createDataFrame([(bytearray(words),)], "dictionary binary"), "dictionary")
+    store = store_chunks(docs, words)
+    by_payload = save(features(read_back(lists, store, words)), "media")
     return lists.select("doc_id", "n_bytes", "payload").join(by_payload, "payload").drop("payload")
