@@ -331,6 +331,45 @@ def fit_grid(t: list[float]) -> tuple[float, float, float] | None:
     return period, origin, max(abs(x - (origin + i * period)) for i, x in enumerate(t))
 
 
+def longest_prefix(t: list[float]) -> int | None:
+    """Beats of the longest prefix that a grid fits within 8 % of its period; None if there is none.
+
+    Running sums give the grid of every prefix, the convex hulls of its points the largest error: n log n
+    for all of them. ``fit_grid`` decides on the few that are looked at from the longest down.
+    """
+    total = weighted = 0.0
+    hulls: tuple[list, list] = ([], [])
+    fits = []
+    for i, at in enumerate(t):
+        x, n = at - t[0], i + 1
+        total, weighted = total + x, weighted + i * x
+        for hull, sign in zip(hulls, (1, -1)):
+            while len(hull) > 1 and _slope(hull[-2], hull[-1]) <= _slope(hull[-1], (i, sign * x)):
+                hull.pop()
+            hull.append((i, sign * x))
+        if n < 6:
+            continue
+        mi = (n - 1) / 2
+        period = (weighted - mi * total) / (n * (n * n - 1) / 12)
+        if period <= 0:
+            continue
+        origin = total / n - period * mi
+        error = max(_highest(hulls[0], period) - origin, _highest(hulls[1], -period) + origin)
+        if error <= 0.08 * period * (1 + 1e-6):
+            fits.append(n)
+    return next((n for n in reversed(fits) if (f := fit_grid(t[:n])) and f[2] <= 0.08 * f[0]), None)
+
+
+def _slope(a: tuple[int, float], b: tuple[int, float]) -> float:
+    return (b[1] - a[1]) / (b[0] - a[0])
+
+
+def _highest(hull: list, slope: float) -> float:
+    """Largest height of an upper hull's points over the line of that slope through the origin."""
+    k = bisect_left(range(len(hull) - 1), True, key=lambda k: _slope(hull[k], hull[k + 1]) <= slope)
+    return hull[k][1] - slope * hull[k][0]
+
+
 def missed(gap: float, periods: tuple[float, float]) -> bool:
     if any(abs(gap / p - 1) <= 0.2 for p in periods):
         return False

@@ -69,6 +69,17 @@ def repair_jitter(gaps: DataFrame, o: EstimatorOptions = EstimatorOptions()) ->
     return gaps.select("track_id", "idx", "dt", "raw_bpm").groupBy("track_id").applyInPandas(run, "track_id long, idx long, repaired_bpm double")
 
 
+def longest_prefixes(beats: DataFrame) -> DataFrame:
+    """Beats of each track's longest prefix that a grid fits; tracks without one are left out."""
+    import pandas as pd
+
+    def run(pdf):
+        n = e.longest_prefix(sorted(pdf.time_s.tolist()))
+        return pd.DataFrame([] if n is None else [(pdf.track_id.iloc[0], n)], columns=["track_id", "longest_prefix"])
+
+    return beats.select("track_id", "time_s").groupBy("track_id").applyInPandas(run, "track_id long, longest_prefix long")
+
+
 def _observations(p) -> e.Observations:
     p = p.sort_values("time_s")
     beats = [e.Beat(*r) for r in zip(p.time_s, p.confidence, p.downbeat_confidence)]

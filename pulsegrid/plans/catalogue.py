@@ -704,14 +704,8 @@ def _(s, d):
 
 @query("grid_prefix_fit", sql("SELECT track_id, max(n) AS longest_prefix FROM (SELECT e.track_id, e.idx + 1 AS n, max(abs(b.time_s - (o + b.idx * p))) AS err, any_value(p) AS p FROM (SELECT e.track_id, e.idx, regr_slope(b.time_s, b.idx) AS p, regr_intercept(b.time_s, b.idx) AS o FROM beats e JOIN beats b ON b.track_id = e.track_id AND b.idx <= e.idx WHERE e.idx BETWEEN 5 AND 23 GROUP BY ALL) e JOIN beats b ON b.track_id = e.track_id AND b.idx <= e.idx GROUP BY ALL) WHERE p > 0 AND err <= 1.5 * p GROUP BY 1", "beats"))
 def _(s, d):
-    """Longest of the first 24 beats' prefixes that a grid fits within one and a half periods."""
-    b = t.beats(s, d).where("idx < 24").select("track_id", "idx", "time_s")
-    e = b.where("idx >= 5").select("track_id", F.col("idx").alias("last")).join(b, "track_id").where("idx <= last")
-    w = Window.partitionBy("track_id", "last")
-    c = e.withColumn("mi", F.avg("idx").over(w)).withColumn("mt", F.avg("time_s").over(w))
-    p = F.sum((F.col("idx") - F.col("mi")) * (F.col("time_s") - F.col("mt"))).over(w) / F.sum((F.col("idx") - F.col("mi")) ** 2).over(w)
-    g = c.withColumn("p", p).groupBy("track_id", "last").agg(F.first("p").alias("p"), F.max(F.abs(F.col("time_s") - F.col("mt") - F.col("p") * (F.col("idx") - F.col("mi")))).alias("err"))
-    return g.where("p > 0 AND err <= 1.5 * p").groupBy("track_id").agg((F.max("last") + 1).alias("longest_prefix"))
+    """Longest prefix of each recipe's truth beats that a grid fits within 8 % of its period; the SQL is an older, capped form."""
+    return folds.longest_prefixes(truth.truth_beats(t.recipes(s, d)).select(F.col("recipe_id").alias("track_id"), "time_s"))
 
 
 @query("all_changes", sql("SELECT track_id, round(time_s, 6) AS time_s, kind FROM (SELECT track_id, time_s + dt / 2 AS time_s, 'gap' AS kind FROM gaps JOIN (SELECT track_id, median(dt) AS m FROM gaps GROUP BY 1) USING (track_id) WHERE dt > 1 AND dt > 3.5 * m UNION ALL SELECT track_id, (start_s + end_s) / 2, 'silence' FROM regions)", "gaps", "regions"))

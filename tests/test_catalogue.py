@@ -32,6 +32,23 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+def test_grid_prefixes_of_whole_tracks(spark, duck):
+    """Every prefix of every track, against fit_grid on each."""
+    from pulsegrid.functions import estimator as e
+    from pulsegrid.sources import tables as t
+
+    times = {}
+    for r in truth.truth_beats(t.recipes(spark, DIR)).orderBy("time_s").collect():
+        times.setdefault(r.recipe_id, []).append(r.time_s)
+    fits = {k: [n for n in range(6, len(v) + 1) if (f := e.fit_grid(v[:n])) and f[2] <= 0.08 * f[0]] for k, v in times.items()}
+    want = {k: max(v) for k, v in fits.items() if v}
+    assert max(want.values()) > 24
+    assert {r.track_id: r.longest_prefix for r in catalogue.QUERIES["grid_prefix_fit"](spark, DIR).collect()} == want
+    jump = [k / 2 for k in range(60)] + [30.25 + k for k in range(5)]
+    assert e.longest_prefix(jump[:60]) == 60 and e.longest_prefix(jump) == 60
+    assert e.longest_prefix([2.0**k for k in range(9)]) is None
+
+
 def frames(spark, logits):
     return spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(logits)], "track_id long, frame long, logit double")
 
