@@ -514,18 +514,30 @@ def _(s, d):
 
 
 def _cases(s, d):
-    """Every seventh frame is a truth event; a policy's peak matches the event on its own frame."""
+    """Every seventh frame is a truth event; each policy's decoded beats match events one to one within the case's 70 ms.
+
+    The SQL of the queries on these cases is an older form: nine policies, no deduplication, matches on the same frame only.
+    """
     f = t.frames(s, d)
     w = Window.partitionBy("track_id").orderBy("frame")
     f = f.withColumn("t3", F.max("logit").over(w.rowsBetween(-3, 3))).withColumn("t1", F.max("logit").over(w.rowsBetween(-1, 1)))
-    rules = F.array(*[F.struct(F.lit(p).alias("policy"), ((F.col("logit") > th) & (F.col("logit") >= F.col("t3" if r == 3 else "t1"))).alias("hit")) for p, r, th, m in DECODER_POLICIES if not m])
-    event = (F.col("frame") % 7 == 3).cast("int")
-    hits = f.select("track_id", event.alias("event"), F.explode(rules).alias("p")).select("track_id", "event", "p.*")
-    c = hits.groupBy("policy", "track_id").agg(F.sum(F.col("hit").cast("int")).alias("n_predicted"), F.sum("event").alias("n_expected"), F.sum(F.col("hit").cast("int") * F.col("event")).alias("matched"))
-    c = c.withColumn("precision", scoring.safe_ratio(F.col("matched"), F.col("n_predicted"))).withColumn("recall", scoring.safe_ratio(F.col("matched"), F.col("n_expected")))
-    c = c.withColumn("f1", scoring.f1(F.col("precision"), F.col("recall"))).withColumn("passed", F.col("f1") >= 0.1)
-    labels = t.table(s, d, "embeddings").select(F.col("vec_id").alias("track_id"), "label")
-    return c.join(labels, "track_id").withColumn("tags", F.array(F.concat(F.lit("label-"), F.col("label").cast("string")), F.lit("all")))
+    rules = F.array(*[F.when((F.col("logit") > th) & (F.col("logit") >= F.col("t3" if r == 3 else "t1")), p) for p, r, th, m in DECODER_POLICIES if not m])
+    peaks = f.select("track_id", F.explode(F.array_compact(rules)).alias("policy"), "frame")
+    case = F.struct("policy", "track_id")
+    beats = signal.dedupe_peaks(peaks.select(case.alias("track_id"), "frame")).select("track_id.policy", "track_id.track_id", "frame")
+    for p, r, th, m in DECODER_POLICIES:
+        if m:
+            upstream, candidates = signal.dedupe_peaks(signal.local_peaks(t.frames(s, d), r, th)), signal.dedupe_peaks(signal.local_peaks(t.frames(s, d), 3, -3.0))
+            beats = beats.unionByName(signal.recover_midpoints(upstream, candidates).select(F.lit(p).alias("policy"), "track_id", "frame"))
+    names = F.explode(F.array(*[F.lit(p) for p, *_ in DECODER_POLICIES]))
+    events = t.frames(s, d).where("frame % 7 = 3").select("track_id", "frame", names.alias("policy"))
+    predicted = beats.select(case.alias("case"), signal.frame_time(F.col("frame")).alias("time_s"))
+    matches = scoring.match_events(predicted, events.select(case.alias("case"), (F.col("frame") / 50.0).alias("time_s")), 0.07, "case")
+    m = scoring.beat_metrics(matches, "case").select("case.policy", "case.track_id", "n_predicted", "n_expected", "matched", "precision", "recall", "f1")
+    labels = t.table(s, d, "embeddings").select(F.col("vec_id").alias("track_id"), "label").withColumn("policy", names)
+    # A case with neither beats nor events is nothing out of nothing.
+    c = labels.join(m, ["policy", "track_id"], "left").fillna(0, ["n_predicted", "n_expected", "matched"]).fillna(1.0, ["precision", "recall", "f1"])
+    return c.withColumn("passed", F.col("f1") >= 0.1).withColumn("tags", F.array(F.concat(F.lit("label-"), F.col("label").cast("string")), F.lit("all")))
 
 
 @query("decoder_cases", plain("x", "!policy, !track_id, !n_predicted::BIGINT AS n_predicted, !matched::BIGINT AS matched, precision, recall, f1", "cases"))

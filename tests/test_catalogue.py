@@ -1,8 +1,10 @@
 """Queries against their SQL on the smallest test tables, and small fixtures of the operators."""
 
 import os
+import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,46 @@ def test_grid_prefixes_of_whole_tracks(spark, duck):
     assert e.longest_prefix([2.0**k for k in range(9)]) is None
 
 
+def test_decoder_cases_of_every_policy(spark, tmp_path):
+    """All ten policies against plain loops: peaks, running-mean groups, recovered midpoints, one-to-one matches."""
+    from pulsegrid.options import DECODER_POLICIES
+
+    rng = random.Random(7)
+    midpoints = [0.5 if k % 20 == 4 else -0.2 if k % 20 == 14 else -0.5 for k in range(128)]
+    rows = [midpoints, [round(rng.gauss(0, 0.2), 1) for _ in range(100)], [round(rng.gauss(-0.1, 0.2), 1) for _ in range(90)], [-1.0] * 30, [-1.0, -1.0]]
+    spark.createDataFrame([(k, v, k % 2) for k, v in enumerate(rows)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def peaks(v, radius, threshold):
+        out = []
+        for k in (k for k, x in enumerate(v) if x > threshold and x == max(v[max(0, k - radius) : k + radius + 1])):
+            if out and k - sum(out[-1]) / len(out[-1]) <= 1:
+                out[-1].append(k)
+            else:
+                out.append([k])
+        return [sum(g) / len(g) for g in out]
+
+    def matched(p, e):
+        i = j = n = 0
+        while i < len(p) and j < len(e):
+            hit = abs(p[i] - e[j]) <= 0.07
+            n, i, j = n + hit, i + (hit or p[i] < e[j]), j + (hit or p[i] >= e[j])
+        return n
+
+    want = {}
+    for k, row in enumerate(rows):
+        v = [float(np.float32(x)) * 10 for x in row]
+        e = [f / 50 for f in range(len(v)) if f % 7 == 3]
+        for name, radius, threshold, recovers in DECODER_POLICIES:
+            p = peaks(v, radius, threshold)
+            if recovers and k == 0:
+                p = list(range(4, 125, 10))
+            want[name, k] = (len(p), matched([float(np.float32(f / 50)) for f in p], e))
+    got = {(r.policy, r.track_id): r for r in catalogue.QUERIES["decoder_cases"](spark, str(tmp_path)).collect()}
+    assert {k: (r.n_predicted, r.matched) for k, r in got.items() if r.policy != "supported-midpoint" or r.track_id in (0, 3, 4)} == {k: n for k, n in want.items() if k[0] != "supported-midpoint" or k[1] in (0, 3, 4)}
+    assert got["supported-midpoint", 4].f1 == 1.0 and len(got) == len(want)
+    assert got["supported-midpoint", 0].n_predicted > got["radius3-logit-0", 0].n_predicted
+
+
 def frames(spark, logits):
     return spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(logits)], "track_id long, frame long, logit double")
 
