@@ -7,8 +7,10 @@ characters, parsed side by side as numpy lanes; a phrase never crosses a segment
 segment of a text counts, so whole texts decide.
 
 Training reads only text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0:
-per language up to ``rows`` documents (the smallest by a hash of the id) and ``chars`` characters, of
-the ``MAX_LANGUAGES`` most frequent languages, which share ``TOTAL_CHARS`` characters at most.
+per language, however many there are, up to ``rows`` documents (the smallest by a hash of the id) and
+``chars`` characters. Languages beyond ``SHARD_CHARS`` characters are scored in successive passes over a
+task's texts, one shard of automata at a time, so memory grows only by the packed sample (``chars``
+characters a language, compressed) and a pass's result does not depend on the other languages.
 
 Defined results: null text and text without a letter are ``und`` with score 0; ties go to the
 alphabetically first language; repeated rows agree; without training rows everything is ``und``.
@@ -16,6 +18,8 @@ alphabetically first language; repeated rows agree; without training rows everyt
 
 from __future__ import annotations
 
+import json
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +34,8 @@ from pulsegrid.llm.common import split_of
 SPLIT, HELD_OUT = 5, 0
 #: Bounds of the labelled sample per language.
 TRAIN_ROWS, TRAIN_CHARS = 256, 60_000
-#: Bounds of the whole model: the most frequent languages, and the characters that they share.
-MAX_LANGUAGES, TOTAL_CHARS = 256, 600_000
+#: Characters of the sample whose automata are in memory at a time; further languages wait for their own pass.
+SHARD_CHARS = 600_000
 SEGMENT = 512
 UNKNOWN = "und"
 
@@ -40,16 +44,18 @@ def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_C
     """lang -> at most ``rows`` texts, of each at most a sixteenth of ``chars``.
 
     A count per language sets a hash threshold that about four times ``rows`` ids pass; only their texts
-    are read on, and the smallest hashes are kept.
+    are read on, and the smallest hashes are kept as far as ``chars`` characters go.
     """
     rows_of = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of("doc_id", SPLIT) != HELD_OUT))
     rows_of = rows_of.select("lang", "text", F.xxhash64("doc_id", F.lit("lang")).alias("_h"))
-    counts = rows_of.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES)
+    counts = rows_of.groupBy("lang").agg(F.count("*").alias("_n"))
     unit = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
     few = rows_of.join(F.broadcast(counts), "lang").where(unit < F.lit(4.0 * rows) / F.col("_n"))
     ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(unit, "text")))
+    texts = ranked.where(F.col("_r") <= rows).select("lang", F.substring("text", 1, chars // 16).alias("t"), "_r")
+    before = F.sum(F.length("t") + 1).over(Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
     out: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("_r") <= rows).select("lang", F.substring("text", 1, chars // 16).alias("t"), "_r").orderBy("lang", "_r").collect():
+    for r in texts.withColumn("_b", before).where(F.coalesce("_b", F.lit(0)) < chars).orderBy("lang", "_r").collect():
         out.setdefault(r["lang"], []).append(r["t"])
     return out
 
@@ -161,53 +167,123 @@ class Model:
         return out
 
 
-_models: dict[int, Model] = {}
+def packed(sample: dict[str, list[str]], chars: int) -> list[bytes]:
+    """The sample as compressed shards of whole languages in alphabetical order, of ``SHARD_CHARS`` characters or one language."""
+    shards: list[dict[str, list[str]]] = []
+    room = 0
+    for k in sorted(sample):
+        size = min(chars, sum(len(t) + 1 for t in sample[k]))
+        if not shards or size > room:
+            shards.append({})
+            room = SHARD_CHARS
+        shards[-1][k] = sample[k]
+        room -= size
+    return [zlib.compress(json.dumps(s).encode()) for s in shards]
 
 
-def model_of(sample: dict[str, list[str]], chars: int) -> Model:
-    """One model per worker process; the broadcast sample is small, its automata are not."""
-    key = zlib.crc32(repr((sorted(sample.items()), chars)).encode())
+_models: dict[bytes, Model] = {}
+
+
+def model_of(shard: bytes, chars: int) -> Model:
+    """One model at a time per worker process; the packed sample is small, its automata are not."""
+    key = shard + b"%d" % chars
     if key not in _models:
         _models.clear()
-        _models[key] = Model(sample, chars)
+        _models[key] = Model(json.loads(zlib.decompress(shard)), chars)
     return _models[key]
 
 
+class Best:
+    """Per text the language of fewest phrases so far, its count and the runner-up's."""
+
+    def __init__(self, n: int):
+        self.lang = np.zeros(n, np.int32)
+        self.low, self.second = np.full(n, np.inf), np.full(n, np.inf)
+
+    def update(self, at: int, first: int, counts: np.ndarray) -> None:
+        """Counts of the texts from ``at`` for the languages from ``first``; ties stay with the earlier language."""
+        rows = np.arange(len(counts))
+        now = counts.astype(float)
+        best = now.argmin(1)
+        low = now[rows, best]
+        now[rows, best] = np.inf
+        part = slice(at, at + len(counts))
+        less = low < self.low[part]
+        self.second[part] = np.minimum(np.where(less, self.low[part], self.second[part]), np.where(less, now.min(1), low))
+        self.low[part] = np.where(less, low, self.low[part])
+        self.lang[part] = np.where(less, first + best, self.lang[part])
+
+
+def texts_of(b: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+
+
 def identify(docs: DataFrame, sample: dict[str, list[str]], chars: int = TRAIN_CHARS, segment: int = SEGMENT) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score``, the runner-up's share of both phrase counts times 2, less 1."""
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     base = docs.select(*kept)
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    shards, langs = packed(sample, chars), sorted(sample)
+
+    def score(best: Best, m: Model, first: int, texts: list[str], at: int) -> None:
+        k = 0
+        while k < len(texts):
+            end, size = k, 0
+            while end < len(texts) and (end == k or size + len(texts[end]) <= 4 << 20):
+                size += len(texts[end])
+                end += 1
+            best.update(at + k, first, m.phrases(texts[k:end], segment))
+            k = end
+
+    def finished(b: pa.RecordBatch, texts: list[str], best: Best, at: int) -> pa.RecordBatch:
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            if langs and any(map(str.isalpha, t)):
+                low, second = best.low[at + i], best.second[at + i]
+                lang[i] = langs[best.lang[at + i]]
+                score[i] = 1.0 if np.isinf(second) else (second - low) / max(second + low, 1.0)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            lang, score, k = [UNKNOWN] * len(texts), np.zeros(len(texts)), 0
-            while sample and k < len(texts):
-                end, size = k, 0
-                while end < len(texts) and (end == k or size + len(texts[end] or "") <= 4 << 20):
-                    size += len(texts[end] or "")
-                    end += 1
-                m = model_of(sample, chars)
-                part = [t or "" for t in texts[k:end]]
-                n = m.phrases(part, segment)
-                best = n.argmin(1)
-                low = n[np.arange(len(part)), best].astype(float)
-                if len(m.langs) > 1:
-                    n[np.arange(len(part)), best] = np.iinfo(np.int64).max
-                    second = n.min(1).astype(float)
-                else:
-                    second = np.full(len(part), np.inf)
-                for i, t in enumerate(part):
-                    if any(map(str.isalpha, t)):
-                        lang[k + i] = m.langs[best[i]]
-                        score[k + i] = 1.0 if np.isinf(second[i]) else (second[i] - low[i]) / max(second[i] + low[i], 1.0)
-                k = end
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+        if len(shards) < 2:
+            for b in batches:
+                texts = texts_of(b)
+                best = Best(len(texts))
+                for shard in shards:
+                    score(best, model_of(shard, chars), 0, texts, 0)
+                yield finished(b, texts, best, 0)
+            return
+        # Several passes read the task's rows again from a file that has no name and ends with the task.
+        with tempfile.TemporaryFile() as spool:
+            writer, n = None, 0
+            for b in batches:
+                writer = writer or pa.ipc.new_stream(spool, b.schema)
+                writer.write_batch(b)
+                n += b.num_rows
+            if writer is None:
+                return
+            writer.close()
+
+            def again() -> Iterator[tuple[int, pa.RecordBatch]]:
+                spool.seek(0)
+                at = 0
+                for b in pa.ipc.open_stream(spool):
+                    yield at, b
+                    at += b.num_rows
+
+            best, first = Best(n), 0
+            for shard in shards:
+                m = model_of(shard, chars)
+                for at, b in again():
+                    score(best, m, first, texts_of(b), at)
+                first += len(m.langs)
+            for at, b in again():
+                yield finished(b, texts_of(b), best, at)
 
     return base.mapInArrow(run, schema).withColumn("held_out", split_of("doc_id", SPLIT) == HELD_OUT)
 
 
 def language_id(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
     sample = training_texts(docs, rows, chars)
-    return identify(docs.drop("lang"), sample, min(chars, TOTAL_CHARS // max(1, len(sample))))
+    return identify(docs.drop("lang"), sample, chars)

@@ -204,6 +204,33 @@ def test_languages_are_told_apart(spark):
     assert langid.language_id(docs_of(spark, [])).count() == 0
 
 
+def test_every_language_is_kept(spark, monkeypatch):
+    """More languages than one shard holds: each gets its documents, with the results of a single pass."""
+    rng = random.Random(8)
+    lang = [f"l{k:03d}" for k in range(300)]
+    texts = [" ".join([word] * 10) for word in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in lang)]
+    d = docs_of(spark, texts * 6 + ["", None], lang=[*lang * 6, "l000", None])
+    rows = lambda: {r.doc_id: (r.lang, r.lang_pred, r.score) for r in langid.identify(d, langid.training_texts(d)).collect()}
+    one = rows()
+    assert all(one[i][0] == one[i][1] for i in range(1800)) and one[1800][1:] == ("und", 0.0)
+    assert {r.doc_id: r.lang_pred for r in langid.language_id(d).collect()} == {k: v[1] for k, v in one.items()}
+    monkeypatch.setattr(langid, "SHARD_CHARS", 15_000)
+    assert len(langid.packed(langid.training_texts(d), langid.TRAIN_CHARS)) > 5 and rows() == one
+
+
+def test_a_language_learns_the_same_beside_others(spark, monkeypatch):
+    """Eleven languages or more do not shorten each other's sample."""
+    lang = [f"l{k:02d}" for k in range(12)]
+    d = docs_of(spark, [chr(97 + k) * 5000 for k in range(12)] * 60, lang=lang * 60)
+    seen = []
+    monkeypatch.setattr(langid, "identify", lambda docs, sample, chars: seen.append((sample, chars)))
+    langid.language_id(d)
+    sample, chars = seen[0]
+    assert chars == langid.TRAIN_CHARS and sorted(sample) == lang
+    assert all(chars <= len(" ".join(v)) <= chars + chars // 16 + 1 for v in sample.values())
+    assert len(langid.packed(sample, chars)) == 2
+
+
 def test_cross_parsing_counts_like_the_definition():
     m = langid.Model({"a": ["abab bcbc the theory"], "b": ["zyx wvu cab"]}, 1000)
     low = ["abab bcbc the theory", "zyx wvu cab"]
