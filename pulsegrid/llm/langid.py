@@ -1,6 +1,6 @@
 """Language identification by cross-parsing entropy.
 
-Each language keeps a suffix automaton of a bounded sample of its labelled text. A document is parsed
+Each language keeps a suffix automaton of a bounded sample of its labelled text, over all letters that it has. A document is parsed
 greedily into the longest stretches that occur in that text (Ziv and Merhav's cross parsing): the
 language whose text explains it in the fewest phrases wins. Texts are cut into segments of ``segment``
 characters, parsed side by side as numpy lanes; a phrase never crosses a segment's end, and every
@@ -19,9 +19,11 @@ alphabetically first language; repeated rows agree; without training rows everyt
 from __future__ import annotations
 
 import json
+import sys
 import tempfile
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ TRAIN_ROWS, TRAIN_CHARS = 256, 60_000
 #: Characters of the sample whose automata are in memory at a time; further languages wait for their own pass.
 SHARD_CHARS = 600_000
 SEGMENT = 512
+#: Largest alphabet whose transitions are kept as a whole table.
+DENSE = 64
 UNKNOWN = "und"
 
 
@@ -60,8 +64,43 @@ def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_C
     return out
 
 
-def automaton(text: np.ndarray, size: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``text`` as (states, size); 0 is no state, 1 the start."""
+class Automaton:
+    """Suffix automaton of a coded text; state 0 is none, 1 the start. Code 0 is in no text.
+
+    Transitions are a (states, size) table for alphabets of up to ``DENSE`` codes. Larger ones have sorted
+    keys state * size + code instead, but a table row for the start.
+    """
+
+    def __init__(self, text: np.ndarray, size: int):
+        self.size = size
+        steps = transitions(text)
+        self.dense = size <= DENSE
+        self.root = np.zeros(size, np.int32)
+        self.root[list(steps[1])] = list(steps[1].values())
+        if self.dense:
+            table = np.zeros((len(steps), size), np.int32)
+            for s, d in enumerate(steps):
+                if d:
+                    table[s, list(d)] = list(d.values())
+            self.table = table.ravel()
+        else:
+            n = sum(map(len, steps))
+            keys = np.fromiter((s * size + c for s, d in enumerate(steps) for c in d), np.int64, n)
+            to = np.fromiter((t for d in steps for t in d.values()), np.int32, n)
+            order = np.argsort(keys)
+            # A last key that no state has keeps every position in range.
+            self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(to[order], np.int32(0))
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return self.table[state * np.int32(self.size) + code]
+        at = state.astype(np.int64) * self.size + code
+        k = np.searchsorted(self.keys, at)
+        return np.where(self.keys[k] == at, self.to[k], np.int32(0))
+
+
+def transitions(text: np.ndarray) -> list[dict[int, int]]:
+    """Per state of the suffix automaton of ``text`` its transitions."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -88,49 +127,44 @@ def automaton(text: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nxt), size), np.int32)
-    for s, d in enumerate(nxt):
-        if d:
-            table[s, list(d)] = list(d.values())
-    return table
+    return nxt
+
+
+@lru_cache(1)
+def is_letter() -> np.ndarray:
+    """1 for letters and 2 for all other code points."""
+    return np.array([1 if chr(i).isalpha() else 2 for i in range(sys.maxunicode + 1)], np.int32)
 
 
 class Model:
-    """Automata of all languages over one alphabet: folded characters, the commonest ``size`` of the sample."""
+    """Automata of all languages, each over all letters of its own sample: folded to lower case, non-letters as one symbol."""
 
-    def __init__(self, sample: dict[str, list[str]], chars: int, size: int = 64):
+    def __init__(self, sample: dict[str, list[str]], chars: int):
         self.langs = sorted(sample)
         folded = {k: " ".join(v).lower()[:chars] for k, v in sample.items()}
-        seen: dict[str, int] = {}
-        for t in folded.values():
-            for c in t:
-                seen[c] = seen.get(c, 0) + 1
-        letters = sorted((c for c in seen if c.isalpha()), key=lambda c: (-seen[c], c))[: size - 2]
-        # 0 ends a lane, 1 is any letter outside the alphabet, 2 anything that is no letter.
-        self.alphabet = {c: 3 + i for i, c in enumerate(letters[: size - 3])}
-        self.size = size
-        self.tables = [automaton(self.encode(folded[k]), size) for k in self.langs]
+        # 0 ends a lane, 1 is any letter that no sample has, 2 anything that is no letter.
+        self.alphabet = {c: 3 + i for i, c in enumerate(sorted({c for t in folded.values() for c in t if c.isalpha()}))}
+        self.lookup = is_letter().copy()
+        for c, k in self.alphabet.items():
+            self.lookup[ord(c)] = k
+        self.codes, self.automata = [], []
+        for k in self.langs:
+            text = self.encode(folded[k])
+            own = np.unique(text)
+            codes = np.zeros(3 + len(self.alphabet), np.int32)
+            codes[own] = 1 + np.arange(len(own))
+            self.codes.append(codes)
+            self.automata.append(Automaton(codes[text], 1 + len(own)))
 
     def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-        return self.lookup[np.minimum(points, len(self.lookup) - 1)]
-
-    @property
-    def lookup(self) -> np.ndarray:
-        if not hasattr(self, "_lookup"):
-            t = np.array([1 if chr(i).isalpha() else 2 for i in range(0x3000)] + [1], np.uint8)
-            for c, k in self.alphabet.items():
-                if ord(c) < 0x3000:
-                    t[ord(c)] = k
-            self._lookup = t
-        return self._lookup
+        return self.lookup[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
 
     def phrases(self, texts: list[str], segment: int = SEGMENT) -> np.ndarray:
         """(texts, languages) numbers of phrases."""
         coded = [self.encode(t) for t in texts]
         lanes = np.array([-(-len(c) // segment) for c in coded])
         owner = np.repeat(np.arange(len(texts)), lanes)
-        flat = np.zeros(int(lanes.sum()) * segment, np.uint8)
+        flat = np.zeros(int(lanes.sum()) * segment, np.int32)
         at = 0
         for c, n in zip(coded, lanes.tolist(), strict=True):
             flat[at : at + len(c)] = c
@@ -145,17 +179,16 @@ class Model:
         grid, length, owner = np.ascontiguousarray(grid[order].T), length[order], owner[order]
         alive = np.searchsorted(-length, -np.arange(segment), side="left")  # lanes longer than k
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        for j, table in enumerate(self.tables):
-            root = table[1]
-            trans = table.ravel()
+        for j, (codes, automaton) in enumerate(zip(self.codes, self.automata, strict=True)):
+            root, own = automaton.root, codes[grid]
             state, count = np.ones(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for k in range(segment):
                 m = int(alive[k])
                 if not m:
                     break
-                c = grid[k, :m]
+                c = own[k, :m]
                 now = state[:m]
-                s = trans[now * np.int32(self.size) + c]
+                s = automaton.step(now, c)
                 ended = s == 0
                 start = root[c]
                 # A mismatch ends the phrase under way; a character unknown to the language is one of its own.

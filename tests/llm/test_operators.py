@@ -231,6 +231,30 @@ def test_a_language_learns_the_same_beside_others(spark, monkeypatch):
     assert len(langid.packed(sample, chars)) == 2
 
 
+@pytest.mark.parametrize("dense", [64, 0])
+def test_no_letters_are_merged(monkeypatch, dense):
+    """Alphabets beyond the commonest letters and beyond U+3000: phrases against plain substring search."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    rng = random.Random(9)
+    letters = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ja": "いろはにほへとちりぬるを", "ko": "가나다라마바사아자차카타", "la": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "zh": "".join(map(chr, range(0x4E00, 0x4E90)))}
+    texts = {k: "".join(rng.choices(v + " ", k=400)) for k, v in letters.items()}
+    m = langid.Model({k: [v] for k, v in texts.items()}, 1000)
+    asked = [v[90:200] + v[20:40] for v in texts.values()] + ["".join(rng.choices("".join(letters.values()) + " 𠀀", k=600))]
+    got = m.phrases(asked)
+    for i, text in enumerate(asked):
+        for j, k in enumerate(m.langs):
+            total = 0
+            for s in (text[n : n + 512] for n in range(0, len(text), 512)):
+                at = 0
+                while at < len(s):
+                    size = 1
+                    while at + size < len(s) and s[at : at + size + 1] in texts[k]:
+                        size += 1
+                    total, at = total + 1, at + size
+            assert got[i, j] == total
+    assert [m.langs[k] for k in got[:6].argmin(1)] == m.langs
+
+
 def test_cross_parsing_counts_like_the_definition():
     m = langid.Model({"a": ["abab bcbc the theory"], "b": ["zyx wvu cab"]}, 1000)
     low = ["abab bcbc the theory", "zyx wvu cab"]
