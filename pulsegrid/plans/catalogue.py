@@ -510,7 +510,8 @@ def _(s, d):
     WHERE c.track_id = g.track_id AND c.frame > l + 1 AND c.frame < r - 1 AND r - l > 2 AND abs(c.frame - (l + r) / 2.0) <= 0.15 * (r - l)) AS c FROM (SELECT track_id, frame AS l, lead(frame) OVER w AS r, row_number() OVER w - 1 AS g FROM peaks WINDOW w AS (PARTITION BY track_id ORDER BY frame)) g WHERE r IS NOT NULL)) WHERE sup >= 3 AND c IS NOT NULL""", "peaks", "low_peaks"))
 def _(s, d):
     f = t.frames(s, d)
-    return signal.recover_midpoints(signal.local_peaks(f), signal.local_peaks(f, 1, -1.0))
+    # The SQL's candidates are of radius 1 above -1.
+    return signal.recover_midpoints(signal.dedupe_peaks(signal.local_peaks(f)), signal.dedupe_peaks(signal.local_peaks(f, 3, -3.0)))
 
 
 def _cases(s, d):

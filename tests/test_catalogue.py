@@ -110,6 +110,15 @@ def test_midpoints(spark):
     assert signal.recover_midpoints(up, every.where("frame = 30")).count() == 5
 
 
+def test_midpoints_of_the_query(spark, tmp_path):
+    """Midpoints with logits from -3 to -1 count; peaks that only radius 1 has do not."""
+    low = [0.5 if k % 20 == 4 else -0.2 if k % 20 == 14 else -0.5 for k in range(128)]
+    narrow = [0.5 if k % 4 == 0 else 0.1 if k % 4 == 2 else -0.5 for k in range(64)]
+    spark.createDataFrame([(0, low), (1, narrow)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["midpoint_recovery"](spark, str(tmp_path)).collect()
+    assert [sorted(r.frame for r in got if r.track_id == k) for k in (0, 1)] == [list(range(4, 125, 10)), list(range(0, 64, 4))]
+
+
 def test_matches(spark):
     p = spark.createDataFrame([(1, x) for x in (0.01, 0.02, 0.51)], "recipe_id long, time_s double")
     e = spark.createDataFrame([(1, x) for x in (0.0, 0.5)], "recipe_id long, time_s double")
