@@ -8,13 +8,14 @@ row lie inside one. A passage whose words' largest impacts add up to less than t
 match any item (WAND's bound, taken for all passages at once); the others run block-max WAND and get
 all items at or above the threshold, not the best few. Each hit is verified on the words: the question
 (all but the last sentence) and the answer (the last sentence) must both reappear in order, as longest
-common subsequences around the passage.
+common subsequences around the passage. Where the last sentence has fewer than ``MIN_WORDS`` words, it is enough
+that the whole item does, as much of it as of a question.
 
 Items are few and fixed, documents are many: the index is broadcast in shards of at most ``shard`` items,
 one pass each. Items longer than ``unit`` words are indexed in units of that many words.
 
-Defined results: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words are not
-searched, they say too little; repeated documents match alike, repeated items each match; extra columns
+Defined results: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words match where
+their words stand in a row, with all scores 1 at the first place; repeated documents match alike, repeated items each match; extra columns
 are ignored; empty tables give empty results.
 """
 
@@ -61,9 +62,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], unit: int = UNIT):
         self.unit, self.items, units = unit, [], []
+        self.phrases: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
         for item, text in items:
             words = words_of((text or "").encode())
-            if item is None or len(words) < MIN_WORDS:
+            if item is None or not words:
+                continue
+            if len(words) < MIN_WORDS:
+                self.phrases.setdefault(len(words), {}).setdefault(tuple(words), []).append(item)
                 continue
             self.items.append((item, *parts_of(text)))
             for k in range(0, len(words), unit):
@@ -188,6 +193,10 @@ class Searcher:
         words = [words_of(t) for t in texts]
         out: list[tuple] = []
         for doc, ws in zip(ids, words, strict=True):
+            for n, phrases in x.phrases.items():
+                rows = list(zip(*(ws[k:] for k in range(n))))
+                for phrase in phrases.keys() & set(rows):
+                    out += [(doc, item, 1.0, 1.0, 1.0, rows.index(phrase), n) for item in phrases[phrase]]
             t = x.terms_of(ws)
             if not t.any():
                 continue
@@ -202,6 +211,8 @@ class Searcher:
                     reach = len(question) + len(answer)
                     lo, hi = max(0, s - reach), min(len(ws), e + reach)
                     q, a = subsequence(question, ws[lo:hi]), subsequence(answer, ws[lo:hi])
+                    if len(answer) < MIN_WORDS and not (q >= least_q and a >= least_a):
+                        q = a = subsequence(question + answer, ws[lo:hi])
                     if q >= least_q and a >= least_a and (i not in best or score > best[i][2]):
                         best[i] = (doc, item, score, q, a, s, e - s)
             out += best.values()

@@ -337,6 +337,18 @@ def test_leaks_are_found_and_clean_documents_kept(spark):
     assert decontam.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_short_items_and_short_answers_are_found(spark):
+    rng = random.Random(12)
+    long = words(rng, 30, 500)
+    items = [f"{long}. Seventeen.", "Capital of Ruritania?", "Zenda", "capital city", f"{long}: seven and ten.", "!?"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    plain = words(rng, 200, 500)
+    texts = [f"{plain} {long}. Eighteen. {plain}", f"{long}", f"{plain} the CAPITAL, of ruritania. {plain}", "of Ruritania Zenda the capital", f"{plain} capital of {plain} Ruritania", plain, long[: len(long) // 3]]
+    rows = decontam.find_leaks(docs_of(spark, texts + ODD), b, shard=2).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(0, 0), (0, 4), (1, 0), (1, 4), (2, 1), (3, 2)}
+    assert [(r.first_word, r.n_words, r.score) for r in rows if r.doc_id == 3] == [(2, 1, 1.0)]
+
+
 # --- media ---
 
 
