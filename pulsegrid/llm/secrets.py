@@ -26,7 +26,7 @@ _ACCESS = r"AKIA[A-Z0-9]{16,}"
 _HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 _ENDPOINT = r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|ssh)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![0-9])"
 _LOGIN = r"""(?i:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-_OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
+_OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
 #: Roles: what completes what. A weak part is reported when a part of another, complementary role is near.
 _ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "identity", "login": "identity", "endpoint": "endpoint"}
 
