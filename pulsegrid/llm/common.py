@@ -56,6 +56,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join of a stored table with rows of unique keys; a key may hold any share of the table's rows.
+
+    Keys with more than one in ``share`` rows, of which there are at most ``share``, are broadcast; only the others are shuffled.
+    """
+    least = left.count() / share
+    hot = F.broadcast(save(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(key), "hot"))
+    cold = left.join(hot, key, "left_anti").join(right.hint("merge"), key, "left")
+    warm = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
+    return cold.unionByName(warm)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table made by ``save`` that nothing will read again."""
     spark = df.sparkSession

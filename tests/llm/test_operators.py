@@ -148,8 +148,7 @@ def test_signatures_never_lose_a_link():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common):
             assert set(jaccard.signatures(a)) & set(jaccard.signatures(b))
-            differ = int(np.bitwise_count((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64)).sum())
-            assert differ <= len(a) + len(b) - 2 * common
+            assert jaccard.differing(jaccard.sketch(a), jaccard.sketch(b)) <= len(a) + len(b) - 2 * common
 
 
 def test_keep_one_keeps_each_group_once(spark):
@@ -160,6 +159,33 @@ def test_keep_one_keeps_each_group_once(spark):
     assert jaccard.jaccard_groups(docs_of(spark, [])).count() == 0
 
 
+def test_hot_signatures_long_sets_and_odd_ids(spark):
+    """A group of hundreds of near copies (heavy signatures, links of some pairs only), long sets, null and repeated ids."""
+    rng = random.Random(17)
+    base = words(rng, 120, 5000).split()
+    texts = []
+    for k in range(420):
+        w = list(base)
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10_000)}"
+        texts.append(" ".join(w))
+    shared = words(rng, 700, 9000)
+    long = [f"{words(rng, 900, 9000)} {shared}" for _ in range(6)]
+    texts += long + [long[0] + " and some more words here", long[1].replace("w1", "v1", 20)] + ODD
+    want = brute_groups(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    # Null ids link too; a group is named by its smallest id; rows with one id and two texts are judged apart.
+    odd = [(None, texts[0]), (None, texts[0]), (7, texts[0]), (7, "quite another text of just seven words"), (3, "quite another text of just seven words"), (None, "one more text that is alone"), (None, None), (9, "")]
+    d = spark.createDataFrame(odd, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(d).collect()]
+    n = want[0][0]
+    assert sorted(got, key=str) == sorted([(None, n, 7), (None, n, 7), (7, n, 7), (7, 3, 3), (3, 3, 3), (None, 2, None), (None, 0, None), (9, 0, 9)], key=str)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(d).collect()]
+    assert sorted(kept, key=str) == sorted([odd[2], odd[4], odd[5], odd[6], odd[7]], key=str)
+
+
 # --- html ---
 
 
