@@ -35,16 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Arrow batches of stored steps hold at most about this many bytes.
+BATCH_BYTES = 8 << 20
+
+
 @contextmanager
 def written_once(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside go when the write ends: nothing runs those plans again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """For what is written inside: shuffle files go when the write ends, as nothing runs those plans again, and Arrow batches are bounded by bytes."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 A payload (8-bit samples) is cut where a rolling gear hash of its last 32 bytes matches a mask, within
 smallest and largest chunk sizes, so equal stretches give equal chunks wherever they lie. Chunks are
-compressed and stored once per digest, in a table bucketed by digest; a payload keeps the ordered list
-of its chunks. Reading back joins those lists with the store (only the lists are shuffled to the buckets),
-puts the chunks in order and checks every chunk against its digest and every payload against its own.
+compressed by themselves and stored once per digest, in a table bucketed by digest; a payload keeps the ordered list
+of its chunks. So a payload's stored form (its list and its chunks' bodies) depends on nothing else in the table.
+Reading back joins the lists with the store (only the lists are shuffled to the buckets), puts the chunks in order,
+checks every chunk against its digest and every payload against its own, and computes features at once.
 
-A digest that more than a thousandth of all references name is read through a broadcast join instead: at
-most a thousand digests can be so, of at most ``LARGEST`` bytes each. No other key can be hot: bodies are
-emitted once per task and payloads are distinct.
+Store and reading back go in ``PASSES`` over digests and payloads, so the shuffled copy of the bodies is never
+there whole. A digest that more than a thousandth of all references name is read through a broadcast join instead:
+at most a thousand digests can be so, of at most ``LARGEST`` bytes each. Copies are emitted once per task and
+payloads are distinct, so no other key of bodies can be hot; documents meet their payload by ``join_spread``.
 
 Defined results: null text is the empty text; the empty payload is 64 zero bytes; repeated rows share
-one stored form; an empty table gives an empty table; other columns are ignored.
+one stored form; rows with a null or repeated id are rows like others; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import mix, save, text_blocks, written_once
+from pulsegrid.llm.common import drop_saved, join_spread, mix, save, text_blocks, written_once
 
 SMALLEST, MASK_BITS, LARGEST = 1024, 12, 16384
 BLOCK = 64
 HOT_SHARE = 1000
-#: Compression: level, and the bound of the sample that the dictionary is trained on.
-LEVEL, DICTIONARY_ROWS = 9, 512
+#: Passes over digests when the store is written, and over payloads when they are read back.
+PASSES = (2, 4)
+LEVEL = 9
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _STORED = "digest binary, body binary"
 _LISTS = "doc_id long, n_bytes long, payload binary, chunks array<struct<digest:binary,length:int>>"
+_READ = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def payload_of(text: bytes, block: int = BLOCK) -> bytes:
@@ -95,7 +100,7 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32())]))
         for b in batches:
             ids = b.column(0).to_pylist()
-            for start, texts in text_blocks(b, "text"):
+            for start, texts in text_blocks(b, "text", 1 << 20):
                 data = [payload_of(t) for t in texts]
                 lists = [[{"digest": d, "length": len(c)} for d, c in chunked(x)] for x in data]
                 cols = [pa.array(ids[start : start + len(texts)], pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()), pa.array(lists, kind)]
@@ -104,138 +109,105 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _LISTS)
 
 
-def dictionary(docs: DataFrame, rows: int = DICTIONARY_ROWS, chars: int = 8192, size: int = 64 << 10) -> bytes:
-    """A compression dictionary from the beginnings of at most ``rows`` texts, the smallest by a hash of the id.
-
-    Chunks are short, so each compresses better with what texts have in common. Too few texts give none.
-    """
-    import zstandard
-
-    order = F.xxhash64("doc_id")
-    sample = docs.where(F.length("text") > 0).select(order.alias("_h"), F.substring("text", 1, chars).alias("t")).orderBy("_h", "t").limit(rows).collect()
-    parts = [c for r in sample for _, c in chunked(r["t"].encode())]
-    return zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 256 else b""
-
-
-def store_chunks(docs: DataFrame, words: bytes = b"") -> DataFrame:
-    """The chunk store: one row per digest, bodies compressed with a dictionary, bucketed and sorted by digest."""
+def store_chunks(docs: DataFrame, name: str, passes: int = PASSES[0]) -> DataFrame:
+    """The chunk store ``name``: one row per digest, bodies compressed, bucketed by digest."""
     import zstandard
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-        for b in batches:
-            for _, texts in text_blocks(b, "text"):
-                rows = []
-                for t in texts:
-                    for d, c in chunked(payload_of(t)):
-                        if d[:16] not in seen:
-                            seen.add(d[:16])
-                            rows.append((d, packer.compress(c)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["digest", "body"])
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            keep = []
-            for d in b.column(0).to_pylist():
-                keep.append(d != last)
-                last = d
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    name = f"pulsegrid_chunks_{uuid.uuid4().hex}"
-    distinct = docs.select("doc_id", "text").mapInArrow(emit, _STORED).repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(once, _STORED)
-    # Sorted rows of one partition stay there: mapInArrow keeps the partitioning in fact, if not in the plan.
-    with written_once(spark):
-        distinct.write.option("compression", "uncompressed").bucketBy(parts, "digest").sortBy("digest").saveAsTable(name)
+    for k in range(passes):
+
+        def emit(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            packer = zstandard.ZstdCompressor(level=LEVEL)
+            for b in batches:
+                for _, texts in text_blocks(b, "text", 1 << 20):
+                    rows = []
+                    for t in texts:
+                        for d, c in chunked(payload_of(t)):
+                            if d[0] % passes == k and d[:16] not in seen:
+                                seen.add(d[:16])
+                                rows.append((d, packer.compress(c)))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["digest", "body"])
+
+        distinct = docs.select("text").mapInArrow(emit, _STORED).repartition(parts, "digest").dropDuplicates(["digest"])
+        with written_once(spark):
+            distinct.write.option("compression", "uncompressed").mode("append").bucketBy(parts, "digest").sortBy("digest").saveAsTable(name)
     return spark.table(name)
 
 
-def read_back(lists: DataFrame, store: DataFrame, words: bytes = b"") -> DataFrame:
-    """One row per distinct payload, rebuilt from the store: its bytes, checked, and its stored form."""
+def read_back(lists: DataFrame, store: DataFrame, passes: int = PASSES[1]) -> DataFrame:
+    """One row per distinct payload, rebuilt from the store and checked: digests and features of its bytes and its stored form."""
     spark = lists.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    owned = lists.groupBy("payload").agg(F.min("doc_id").alias("doc_id"))
-    one = lists.join(owned, ["payload", "doc_id"], "left_semi").dropDuplicates(["payload"])
+    one = lists.select("payload", "chunks").dropDuplicates(["payload"])
     refs = one.select("payload", F.posexplode("chunks").alias("seq", "c")).select("payload", "seq", F.col("c.digest").alias("digest"), F.col("c.length").alias("length"))
     refs = save(refs, "refs")
     hot = refs.groupBy("digest").agg(F.count("*").alias("_n")).where(F.col("_n") > refs.count() / HOT_SHARE).select("digest")
-    hot = save(hot, "hot")
-    few = F.broadcast(hot)
-    cold = refs.join(few, "digest", "left_anti").join(store, "digest")
-    warm = refs.join(F.broadcast(store.join(few, "digest", "left_semi")), "digest")
-    found = cold.unionByName(warm).repartition(parts, "payload").sortWithinPartitions("payload", "seq")
-    schema = "payload binary, data binary, media binary, n_chunks int"
+    few = F.broadcast(save(hot, "hot"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+        unpacker = zstandard.ZstdDecompressor()
         key, chunks, bodies, data = None, [], [], []
 
         def done() -> tuple:
-            whole = b"".join(data)
+            whole, stored = b"".join(data), manifest(sum(n for _, n in chunks), chunks) + b"".join(bodies)
             if hashlib.sha256(whole).digest() != key:
                 raise ValueError(f"payload {key.hex()} did not come back whole")
-            return key, whole, manifest(len(whole), chunks) + b"".join(bodies), len(chunks)
+            return key, len(whole), key.hex(), zlib.crc32(whole[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(whole, len(chunks))
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["payload", "data", "media", "n_chunks"])
+        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-        for b in batches:
-            rows, size = [], 0
-            for p, d, n, body in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("payload", "digest", "length", "body")), strict=True):
-                if p != key and key is not None:
-                    rows.append(done())
-                    size += len(rows[-1][1])
-                    if size > 8 << 20:
-                        yield out(rows)
-                        rows, size = [], 0
-                if p != key:
-                    key, chunks, bodies, data = p, [], [], []
-                c = unpacker.decompress(body)
-                if len(c) != n or hashlib.sha256(c).digest() != d:
-                    raise ValueError(f"chunk {d.hex()} is damaged")
-                chunks.append((d, n))
-                bodies.append(body)
-                data.append(c)
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in _READ.split(", ")])
+
+        for whole_batch in batches:
+            rows = []
+            for start in range(0, whole_batch.num_rows, 256):
+                b = whole_batch.slice(start, 256)
+                for p, d, n, body in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("payload", "digest", "length", "body")), strict=True):
+                    if p != key:
+                        if key is not None:
+                            rows.append(done())
+                        key, chunks, bodies, data = p, [], [], []
+                    c = unpacker.decompress(body)
+                    if len(c) != n or hashlib.sha256(c).digest() != d:
+                        raise ValueError(f"chunk {d.hex()} is damaged")
+                    chunks.append((d, n))
+                    bodies.append(body)
+                    data.append(c)
             if rows:
                 yield out(rows)
         if key is not None:
             yield out([done()])
 
-    return found.mapInArrow(rebuild, schema)
-
-
-def features(rebuilt: DataFrame) -> DataFrame:
-    """Digests and features of the bytes read back."""
-    schema = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                (p, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature(x, n))
-                for p, x, m, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
-            ]
-            if rows:
-                kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = [f.split()[0] for f in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    read = None
+    for k in range(passes):
+        some = refs.where(F.pmod(F.xxhash64("payload"), F.lit(passes)) == k)
+        cold = some.join(few, "digest", "left_anti").hint("merge").join(store.hint("merge"), "digest")
+        warm = some.join(F.broadcast(store.join(few, "digest", "left_semi")), "digest")
+        found = cold.unionByName(warm).repartition(parts, "payload").sortWithinPartitions("payload", "seq")
+        part = save(found.mapInArrow(rebuild, _READ), "media")
+        read = part if read is None else read.unionByName(part)
+    drop_saved(refs)
+    return read
 
-    return rebuilt.mapInArrow(run, schema)
 
+def media(docs: DataFrame, name: str | None = None) -> DataFrame:
+    """Store every text as media, read it back, and return digests and features per document.
 
-def media(docs: DataFrame) -> DataFrame:
-    """Store every text as media, read it back, and return digests and features per document."""
+    The chunk store stays as table ``name``; without a name it is dropped when everything is read back.
+    """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lists = save(chunk_lists(docs), "lists")
-    words = dictionary(docs)
-    save(docs.sparkSession.createDataFrame([(bytearray(words),)], "dictionary binary"), "dictionary")
-    store = store_chunks(docs, words)
-    by_payload = save(features(read_back(lists, store, words)), "media")
-    return lists.select("doc_id", "n_bytes", "payload").join(by_payload, "payload").drop("payload")
+    table = name or f"pulsegrid_chunks_{uuid.uuid4().hex}"
+    by_payload = read_back(lists, store_chunks(docs, table))
+    if name is None:
+        spark.sql(f"DROP TABLE {table}")
+    owners = save(lists.select("doc_id", "n_bytes", "payload"), "owners")
+    drop_saved(lists)
+    return join_spread(owners, by_payload, "payload").drop("payload")

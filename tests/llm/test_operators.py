@@ -393,6 +393,19 @@ def test_media_round_trip(spark):
     assert media.media(docs_of(spark, [])).count() == 0
 
 
+def test_media_keeps_every_row(spark):
+    """Null and repeated ids, copies under several ids, many copies; the stored form does not depend on the rest of the table."""
+    rows = [(None, "only here"), (None, "only here"), (4, "only here"), (4, "twice"), (5, None), (None, ""), *[(10 + i, "hot " * 900) for i in range(300)]]
+    got = media.media(spark.createDataFrame(rows, "doc_id long, text string"), "kept_chunks").collect()
+    text = {hashlib.sha256(media.payload_of((t or "").encode())).hexdigest(): t or "" for _, t in rows}
+    assert sorted(((r.doc_id, text[r.payload_sha256]) for r in got), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+    assert spark.table("kept_chunks").count() == 4 and len({r.media_sha256 for r in got}) == 4
+    alone = media.media(spark.createDataFrame([(1, "twice")], "doc_id long, text string")).first()
+    assert alone.media_sha256 in {r.media_sha256 for r in got}
+    assert all(t.name == "kept_chunks" for t in spark.catalog.listTables() if t.name.startswith("pulsegrid_chunks") or t.name == "kept_chunks")
+    spark.sql("DROP TABLE kept_chunks")
+
+
 def test_chunks_survive_a_shift():
     rng = random.Random(12)
     data = words(rng, 20_000).encode()
