@@ -157,17 +157,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts) of the words of a buffer: polynomial hashes from one running sum over its bytes."""
+def hash_runs(data: bytes, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the runs between bytes that ``gaps`` marks: polynomial hashes from one running sum over the bytes."""
     x = np.frombuffer(data, np.uint8)
-    word = ~_SPACE[x]
+    word = ~gaps[x]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64), start
+        return np.zeros(0, np.uint64), start, end
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[x] * _powers(_BASE, len(x)), dtype=np.uint64)])
     h = (total[end] - total[start]) * _powers(_UNBASE, len(x))[start]
-    return mix(h + (end - start).astype(np.uint64) * _PHI), start
+    return mix(h + (end - start).astype(np.uint64) * _PHI), start, end
 
 
 def word_hashes(texts: list[bytes], block_bytes: int = BLOCK_BYTES) -> list[np.ndarray]:
@@ -182,7 +182,7 @@ def word_hashes(texts: list[bytes], block_bytes: int = BLOCK_BYTES) -> list[np.n
         end = min(at + block_bytes, len(data))
         while end < len(data) and not _SPACE[data[end]]:
             end += 1
-        h, s = _hash_words(data[at:end])
+        h, s, _ = hash_runs(data[at:end], _SPACE)
         hashes.append(h)
         starts.append(s + at)
         at = end

@@ -8,87 +8,185 @@ go where. Every piece then finds its place by its rank among the pieces of its l
 from per-task counts, so no task ever holds a length class and nothing is sorted globally.
 
 Defined results: null text is the empty text; an empty text is one piece that holds the separator;
-repeated rows are packed once each; an empty table gives an empty table; other columns are ignored.
+repeated rows are packed once each, also with null or repeated ids; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import save, text_blocks
+from pulsegrid.llm.common import hash_runs, save, text_blocks
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
+#: Text bytes looked at together; stretches of more bytes are not kept in the table.
+TEXT_BYTES, LONG = 1 << 20, 64
+#: Bytes between stretches: space, line feed, tab.
+_GAPS = np.isin(np.arange(256), [32, 10, 9])
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _ChunkIds(dict):
-    """Space-free stretch of text -> its ids as little-endian bytes.
+class _StretchIds:
+    """Ids of the space-free stretches of texts, from a table by hash.
 
     The tokenizer's normaliser works on single characters or on runs of white space, and its splitter
     drops white space, so ids of a text are the ids of its stretches between spaces, joined. Likewise a
     letter followed by one final stop or comma always splits there, and ASCII case does not matter
-    outside special tokens. Stretches not seen before are tokenised together, in one call a block.
+    outside special tokens. Stretches not seen before are tokenised together, in one call a window; long ones are not kept.
+    Words are hashed, looked up and turned into ids in numpy, a window of ``TEXT_BYTES`` at a time. A table holds at most
+    ``limit`` stretches, so that two of them share a 64-bit hash with a probability below 1e-7.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self[""] = b""
-
-    def _encode(self, chunks: list[str]) -> None:
-        if not chunks:
-            return
-        e = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(chunks)), side="right") * 4
-        start = 0
-        for c, end in zip(chunks, ends.tolist(), strict=True):
-            self[c] = ids[start:end]
-            start = end
-
-    def block(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        if len(self) > self.limit:
-            self.clear()
-            self[""] = b""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self)
-        need: set[str] = {c for c in (".", ",") if c not in self}
-        later: list[tuple[str, str, str]] = []
-        for c in new:
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys = np.zeros(1 << (2 * self.limit).bit_length(), np.uint64)
+        self.start, self.length = np.zeros(len(self.keys), np.int32), np.zeros(len(self.keys), np.int32)
+        # The first id is the separator's.
+        self.ids, self.used, self.entries = np.full(1 << 16, SEPARATOR_ID, np.uint32), 1, 0
+
+    def _room(self, n: int) -> int:
+        """The place of ``n`` further ids."""
+        start, self.used = self.used, self.used + n
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids) // 2), np.uint32)])
+        return start
+
+    def _keep(self, names: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Enter distinct hashes that the table does not have."""
+        while len(names):  # of names that want one slot the last stays, the others look on
+            slot, _ = self._find(names)
+            self.keys[slot] = names
+            took = self.keys[slot] == names
+            self.start[slot[took]], self.length[slot[took]] = starts[took], sizes[took]
+            self.entries += int(took.sum())
+            names, starts, sizes = names[~took], starts[~took], sizes[~took]
+
+    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) of distinct stretches. Base forms go into the table, unless they are long."""
+        bases: dict[str, int] = {".": 0, ",": 1}
+        back, stops = [], []
+        for c in stretches:
             s = c.lower() if c.isascii() and "<|" not in c else c
-            stop = ""
-            if s[-1] in ".," and len(s) > 1 and s[-2].lower().isalpha():
-                s, stop = s[:-1], s[-1]
-            if s not in self:
-                need.add(s)
-            if stop or s != c:
-                later.append((c, s, stop))
-        self._encode(list(need))
-        for c, s, stop in later:
-            self[c] = self[s] + self[stop]
-        out = [b"".join(map(self.__getitem__, s)) for s in split]
-        for c in [c for c in new | need if len(c) > 64]:
-            self.pop(c, None)
-        return out
-
-
-_cached: dict[str, _ChunkIds] = {}
-
-
-def chunk_ids(path: str) -> _ChunkIds:
+            last = s[-1]
+            if (last == "." or last == ",") and len(s) > 1 and s[-2].lower().isalpha():
+                s = s[:-1]
+                stops.append(int(last == ","))
+            else:
+                stops.append(-1)
+            back.append(bases.setdefault(s, len(bases)))
+        order = list(bases)
+        h, first, end = hash_runs(" ".join(order).encode(), _GAPS)
+        h |= np.uint64(1)
+        slot, known = self._find(h)
+        known &= end - first <= LONG
+        place, number = self.start[slot].astype(np.int64), self.length[slot].copy()
+        new = np.flatnonzero(~known)
+        if len(new):
+            e = self.tokenizer.encode([order[i] for i in new.tolist()], is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(new)), side="right")
+            at = self._room(len(e.ids))
+            self.ids[at : self.used] = e.ids
+            number[new] = np.diff(np.append(0, ends))
+            place[new] = at + ends - number[new]
+            short = new[end[new] - first[new] <= LONG]
+            self._keep(h[short], place[short], number[short])
+        back, stops = np.array(back), np.array(stops)
+        place, number, marks = place[back], number[back], (place[:2], number[:2])
+        full = np.flatnonzero(stops >= 0)
+        if len(full):
+            extra = stops[full]
+            n, m = number[full].astype(np.int64), marks[1][extra].astype(np.int64)
+            ends = np.cumsum(n + m)
+            at = self._room(int(ends[-1]))
+            to = at + ends - n - m
+            for source, size, target in ((place[full], n, to), (marks[0][extra], m, to + n)):
+                step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                self.ids[np.repeat(target, size) + step] = self.ids[np.repeat(source, size) + step]
+            place[full], number[full] = to, n + m
+        return place, number
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, whether it holds the key) for each hash; a slot without the key is free."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (h & mask).astype(np.int64)
+        key = self.keys[slot]
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            key = self.keys[slot[open_]]
+            open_ = open_[(key != h[open_]) & (key != 0)]
+        return slot, self.keys[slot] == h
+
+    def window(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``data``, first id, number of ids) of each stretch."""
+        h, first, end = hash_runs(data, _GAPS)
+        h |= np.uint64(1)
+        if self.entries > self.limit or self.used > 8 * self.limit:
+            self.reset()
+        place, number = np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
+        short = end - first <= LONG
+        slot, known = self._find(h)
+        known &= short
+        place[known], number[known] = self.start[slot[known]], self.length[slot[known]]
+        new = np.flatnonzero(~known & short)
+        if len(new):
+            names, at, back = np.unique(h[new], return_index=True, return_inverse=True)
+            starts, sizes = self._learn([data[i:j].decode() for i, j in zip(first[new[at]].tolist(), end[new[at]].tolist(), strict=True)])
+            place[new], number[new] = starts[back], sizes[back]
+            _, there = self._find(names)  # a stretch may be a base form itself
+            self._keep(names[~there], starts[~there], sizes[~there])
+        long = np.flatnonzero(~short)
+        if len(long):
+            place[long], number[long] = self._learn([data[i:j].decode() for i, j in zip(first[long].tolist(), end[long].tolist(), strict=True)])
+        return first, place, number
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the separator at its end; where each text's ids end)."""
+        data = b" ".join([*texts, b""])
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        out, counts = [], np.zeros(len(texts), np.int64)
+        at = done = 0
+        while at < len(data):
+            to = min(at + TEXT_BYTES, len(data))
+            while to < len(data) and data[to - 1] not in b" \n\t":
+                to += 1
+            first, place, number = self.window(data[at:to])
+            owner = np.searchsorted(ends, first + at, side="right")
+            counts += np.bincount(owner, number, len(texts)).astype(np.int64)
+            # Separators of the texts that end in this window.
+            last = int(np.searchsorted(ends, to, side="right"))
+            where = np.searchsorted(owner, np.arange(done, last), side="right")
+            place, number = np.insert(place, where, 0), np.insert(number, where, 1)
+            counts[done:last] += 1
+            done = last
+            stop = np.cumsum(number, dtype=np.int64)
+            total = int(stop[-1]) if len(stop) else 0
+            out.append(self.ids[np.repeat(place - (stop - number), number) + np.arange(total)])
+            at = to
+        return np.concatenate(out), np.cumsum(counts)
+
+
+_cached: dict[str, _StretchIds] = {}
+
+
+def stretch_ids(path: str) -> _StretchIds:
+    """The table of this worker process, which its tasks share."""
     if path not in _cached:
-        _cached[path] = _ChunkIds(path)
+        _cached[path] = _StretchIds(path)
     return _cached[path]
 
 
@@ -102,24 +200,23 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """One row per piece: documents' ids with the separator at the end, cut only where longer than ``capacity``."""
     tokenizer = tokenizer or default_tokenizer()
     schema = _PIECES + (", ids array<int>" if with_ids else "")
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = chunk_ids(tokenizer), np.array([SEPARATOR_ID], "<u4").tobytes()
-        width = 4 * capacity
+        table = stretch_ids(tokenizer)
         for batch in batches:
-            rows: list[tuple] = []
-            docs, encoded = batch.column(0).to_pylist(), []
-            for _, texts in text_blocks(batch, "text"):
-                encoded += table.block([t.decode() for t in texts])
-            for doc, ids in zip(docs, encoded, strict=True):
-                ids += end
-                for k in range(0, len(ids), width):
-                    part = ids[k : k + width]
-                    rows.append((doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
-            if rows:
+            docs = batch.column(0).to_pylist()
+            for row, texts in text_blocks(batch, "text", TEXT_BYTES):
+                rows: list[tuple] = []
+                ids, ends = table(texts)
+                start = 0
+                for doc, end in zip(docs[row : row + len(texts)], ends.tolist(), strict=True):
+                    for k in range(start, end, capacity):
+                        part = ids[k : min(k + capacity, end)]
+                        rows.append((doc, (k - start) // capacity, k - start, len(part), zlib.crc32(part.astype("<u4", copy=False)), *([part.view(np.int32)] if with_ids else [])))
+                    start = end
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names[: len(cols)])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
@@ -213,27 +310,26 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [(tuple(p), c) for g in groups.values() for p, c in g]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Places for ranks: (length, first rank, first sequence, offset, number), and the number of sequences.
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Places for ranks: (length, first rank, first sequence, offset, number, repeats), and the number of sequences.
 
-    Ranks first .. first + number - 1 of a length go to as many sequences in a row, at one offset. Best
-    fit alone is tried as well, and the packing with fewer sequences is kept.
+    Ranks first .. first + number - 1 of a length go ``repeats`` at a time, side by side from the offset on, to sequences in a row.
+    Every pattern that is fixed uses up a length, and best fit adds at most three groups of bins a length, so
+    there are at most 4 * ``capacity`` patterns of at most sqrt(2 * ``capacity``) different lengths each.
     """
     fixed, rest = dominance_reduction(counts, capacity)
-    packed = fixed + best_fit(rest, capacity)
-    plain = best_fit(counts, capacity)
-    if sum(n for _, n in plain) < sum(n for _, n in packed):
-        packed = plain
     used: dict[int, int] = defaultdict(int)
     rows, sequence = [], 0
-    for pattern, n in packed:
+    for pattern, n in fixed + best_fit(rest, capacity):
         offset = 0
-        for v in pattern:
-            rows.append((v, used[v], sequence, offset, n))
-            used[v] += n
-            offset += v
+        for v, same in groupby(pattern):
+            repeats = len(list(same))
+            rows.append((v, used[v], sequence, offset, n * repeats, repeats))
+            used[v] += n * repeats
+            offset += v * repeats
         sequence += n
     assert dict(used) == {k: v for k, v in counts.items() if v}, "a packing places every piece once"
+    assert len(rows) <= 4 * capacity * math.isqrt(2 * capacity), "the number of places depends on the capacity alone"
     return rows, sequence
 
 
@@ -243,7 +339,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give each row of ``cut`` (doc_id, piece, length, ...) a sequence and an offset.
+    """Give each row of ``cut`` (doc_id, piece, length, ids_crc32, ...) a sequence and an offset.
 
     ``cut`` must be a stored table. Rows are dealt by hash into groups that stay small for any length
     class; counts per (length, group), at most ``capacity`` times the number of groups, become first
@@ -251,7 +347,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = cut.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     by_length = "PARTITION BY length ORDER BY _group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     first = sizes.withColumn("_first", F.expr(f"coalesce(sum(_n) OVER ({by_length}), 0L)")).drop("_n")
@@ -259,10 +355,10 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows, _ = plan(counts, capacity)
     # Every length has few stretches; one array per length keeps the lookup an equi-join on the length.
     by: dict[int, list] = defaultdict(list)
-    for v, rank, sequence, offset, n in rows:
-        by[v].append((rank, sequence, offset, n))
-    table = spark.createDataFrame([(v, sorted(x)) for v, x in by.items()], "length long, _places array<struct<rank:long,sequence:long,offset:long,n:long>>")
-    within = F.row_number().over(_window("length", "_group", order=("doc_id", "piece"))) - 1
+    for v, rank, sequence, offset, n, repeats in rows:
+        by[v].append((rank, sequence, offset, n, repeats))
+    table = spark.createDataFrame([(v, sorted(x)) for v, x in by.items()], "length long, _places array<struct<rank:long,sequence:long,offset:long,n:long,repeats:long>>")
+    within = F.row_number().over(_window("length", "_group", order=("doc_id", "piece", "ids_crc32"))) - 1
     ranked = dealt.withColumn("_k", within).join(first, ["length", "_group"]).withColumn("_rank", F.col("_first") + F.col("_k"))
     # A stretch is found by an as-of step over its length's sorted starts: the last start not above the rank.
     starts = table.select("length", F.transform("_places", lambda p: p["rank"]).alias("_starts"), "_places")
@@ -270,8 +366,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     found = ranked.join(F.broadcast(starts), "length").withColumn("_p", F.element_at("_places", at))
     return found.select(
         *[c for c in cut.columns],
-        (F.col("_p.sequence") + F.col("_rank") - F.col("_p.rank")).alias("sequence_id"),
-        F.col("_p.offset").alias("offset"),
+        F.expr("_p.sequence + (_rank - _p.rank) DIV _p.repeats").alias("sequence_id"),
+        F.expr("_p.offset + (_rank - _p.rank) % _p.repeats * length").alias("offset"),
     )
 
 

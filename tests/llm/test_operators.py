@@ -98,6 +98,35 @@ def test_dominance_keeps_an_optimal_packing():
         assert n >= optimum(items, capacity) and sum(r[4] for r in rows) == len(items)
 
 
+def test_places_are_bounded_and_filled():
+    """The list of places follows the capacity, not the number of pieces, and no two pieces overlap."""
+    rng = random.Random(5)
+    for n in (3_000, 300_000):
+        counts: dict[int, int] = {}
+        for _ in range(n):
+            v = min(2048, int(rng.expovariate(1 / 300)) + 1)
+            counts[v] = counts.get(v, 0) + 1
+        rows, sequences = packing.plan(counts)
+        assert len(rows) < 30_000 and sequences <= 1.01 * sum(v * c for v, c in counts.items()) / 2048 + 2
+    filled: dict[int, list[tuple[int, int]]] = {}
+    for v, _, sequence, offset, number, repeats in packing.plan({1: 5000, 7: 40, 300: 3, 2048: 2})[0]:
+        for k in range(number):
+            filled.setdefault(sequence + k // repeats, []).append((offset + k % repeats * v, v))
+    for p in filled.values():
+        at = 0
+        for offset, v in sorted(p):
+            assert offset == at
+            at += v
+        assert at <= 2048
+
+
+def test_packing_rows_without_an_id(spark):
+    d = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, None), (3, "x"), (3, "y z")], "doc_id long, text string")
+    rows = packing.pack(d).collect()
+    assert sorted((r.doc_id is None, r.length) for r in rows) == [(False, 2), (False, 3), (True, 1), (True, 4), (True, 4)]
+    assert sorted(r.offset for r in rows)[0] == 0 and len({(r.sequence_id, r.offset) for r in rows}) == 5
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(docs_of(spark, [])).count() == 0
 
