@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 Each language keeps a suffix automaton of a bounded sample of its labelled text, over all letters that it has. A document is parsed
-greedily into the longest stretches that occur in that text (Ziv and Merhav's cross parsing): the
-language whose text explains it in the fewest phrases wins. Texts are cut into segments of ``segment``
-characters, parsed side by side as numpy lanes; a phrase never crosses a segment's end, and every
-segment of a text counts, so whole texts decide.
+greedily into the longest stretches that occur in that text (Ziv and Merhav's cross parsing). A phrase is worth the
+logarithm of the sample's length, as naming a place in it takes that much: the language with the fewest phrases times that
+logarithm wins, so a language with a small sample is not at a disadvantage. Whole texts are parsed. For speed, segments of ``segment``
+characters are parsed side by side as numpy lanes; then each segment is parsed again from the state in which
+the one before it ended, until it falls in step with its first parse, so phrases run across segments as in one pass.
 
 Training reads only text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0:
 per language, however many there are, up to ``rows`` documents (the smallest by a hash of the id) and
@@ -13,7 +14,8 @@ task's texts, one shard of automata at a time, so memory grows only by the packe
 characters a language, compressed) and a pass's result does not depend on the other languages.
 
 Defined results: null text and text without a letter are ``und`` with score 0; ties go to the
-alphabetically first language; repeated rows agree; without training rows everything is ``und``.
+alphabetically first language; repeated rows agree; without training rows everything is ``und``; a null id is never learned
+from and its ``held_out`` is null.
 """
 
 from __future__ import annotations
@@ -155,6 +157,8 @@ class Model:
             codes[own] = 1 + np.arange(len(own))
             self.codes.append(codes)
             self.automata.append(Automaton(codes[text], 1 + len(own)))
+        #: What a phrase of each language costs.
+        self.bits = np.log2([max(2, len(folded[k])) for k in self.langs])
 
     def encode(self, text: str) -> np.ndarray:
         return self.lookup[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -162,7 +166,7 @@ class Model:
     def phrases(self, texts: list[str], segment: int = SEGMENT) -> np.ndarray:
         """(texts, languages) numbers of phrases."""
         coded = [self.encode(t) for t in texts]
-        lanes = np.array([-(-len(c) // segment) for c in coded])
+        lanes = np.array([-(-len(c) // segment) for c in coded], np.int64)
         owner = np.repeat(np.arange(len(texts)), lanes)
         flat = np.zeros(int(lanes.sum()) * segment, np.int32)
         at = 0
@@ -171,32 +175,55 @@ class Model:
             at += n * segment
         grid = flat.reshape(-1, segment)
         length = np.full(len(grid), segment)
+        later = np.append(False, owner[1:] == owner[:-1])[: len(owner)]  # lanes that go on from the lane before
         if len(grid):
             ends = np.cumsum(lanes) - 1
             full = np.array([len(c) for c in coded])
             length[ends[lanes > 0]] = (full - (lanes - 1) * segment)[lanes > 0]
         order = np.argsort(-length, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        before = where[np.flatnonzero(later) - 1]  # the lane before each such lane, both as sorted
+        after = where[np.flatnonzero(later)]
         grid, length, owner = np.ascontiguousarray(grid[order].T), length[order], owner[order]
         alive = np.searchsorted(-length, -np.arange(segment), side="left")  # lanes longer than k
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         for j, (codes, automaton) in enumerate(zip(self.codes, self.automata, strict=True)):
-            root, own = automaton.root, codes[grid]
-            state, count = np.ones(len(owner), np.int32), np.zeros(len(owner), np.int32)
+            own = codes[grid]
+            states, starts = np.ones(grid.shape, np.int32), np.zeros(grid.shape, bool)
+            state = np.ones(len(owner), np.int32)
+
+            def step(now: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """A mismatch starts a phrase; a character unknown to the language is one of its own, and state 1 follows it."""
+                s = automaton.step(now, c)
+                fresh = s == 0
+                root = automaton.root[c]
+                return np.where(fresh, np.where(root == 0, 1, root), s).astype(np.int32), fresh | (now == 1)
+
             for k in range(segment):
                 m = int(alive[k])
                 if not m:
                     break
-                c = own[k, :m]
-                now = state[:m]
-                s = automaton.step(now, c)
-                ended = s == 0
-                start = root[c]
-                # A mismatch ends the phrase under way; a character unknown to the language is one of its own.
-                unknown = start == 0
-                count[:m] += ended & (now != 1)
-                count[:m] += unknown
-                state[:m] = np.where(ended, np.where(unknown, 1, start), s)
-            out[:, j] = np.bincount(owner, count + (state != 1), len(texts)).astype(np.int64)
+                state[:m], starts[k, :m] = step(state[:m], own[k, :m])
+                states[k, :m] = state[:m]
+            entered = np.ones(len(after), np.int32)
+            while True:
+                entry = states[segment - 1, before]
+                change = np.flatnonzero(entry != entered)
+                if not len(change):
+                    break
+                entered = entry
+                lane, now = after[change], entry[change]
+                for k in range(segment):
+                    on = length[lane] > k
+                    lane, now = lane[on], now[on]
+                    if not len(lane):
+                        break
+                    now, starts[k, lane] = step(now, own[k, lane])
+                    on = states[k, lane] != now
+                    states[k, lane] = now
+                    lane, now = lane[on], now[on]
+            out[:, j] = np.bincount(owner, starts.sum(0), len(texts)).astype(np.int64)
         return out
 
 
@@ -227,20 +254,20 @@ def model_of(shard: bytes, chars: int) -> Model:
 
 
 class Best:
-    """Per text the language of fewest phrases so far, its count and the runner-up's."""
+    """Per text the cheapest language so far, its cost and the runner-up's."""
 
     def __init__(self, n: int):
         self.lang = np.zeros(n, np.int32)
         self.low, self.second = np.full(n, np.inf), np.full(n, np.inf)
 
-    def update(self, at: int, first: int, counts: np.ndarray) -> None:
-        """Counts of the texts from ``at`` for the languages from ``first``; ties stay with the earlier language."""
-        rows = np.arange(len(counts))
-        now = counts.astype(float)
+    def update(self, at: int, first: int, costs: np.ndarray) -> None:
+        """Costs of the texts from ``at`` for the languages from ``first``; ties stay with the earlier language."""
+        rows = np.arange(len(costs))
+        now = costs.astype(float)
         best = now.argmin(1)
         low = now[rows, best]
         now[rows, best] = np.inf
-        part = slice(at, at + len(counts))
+        part = slice(at, at + len(costs))
         less = low < self.low[part]
         self.second[part] = np.minimum(np.where(less, self.low[part], self.second[part]), np.where(less, now.min(1), low))
         self.low[part] = np.where(less, low, self.low[part])
@@ -252,7 +279,7 @@ def texts_of(b: pa.RecordBatch) -> list[str]:
 
 
 def identify(docs: DataFrame, sample: dict[str, list[str]], chars: int = TRAIN_CHARS, segment: int = SEGMENT) -> DataFrame:
-    """``docs`` with ``held_out``, ``lang_pred`` and ``score``, the runner-up's share of both phrase counts times 2, less 1."""
+    """``docs`` with ``held_out``, ``lang_pred`` and ``score``, the runner-up's share of both costs times 2, less 1."""
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     base = docs.select(*kept)
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -263,10 +290,10 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], chars: int = TRAIN_C
         k = 0
         while k < len(texts):
             end, size = k, 0
-            while end < len(texts) and (end == k or size + len(texts[end]) <= 4 << 20):
+            while end < len(texts) and (end == k or size + len(texts[end]) <= 1 << 20):
                 size += len(texts[end])
                 end += 1
-            best.update(at + k, first, m.phrases(texts[k:end], segment))
+            best.update(at + k, first, m.phrases(texts[k:end], segment) * m.bits)
             k = end
 
     def finished(b: pa.RecordBatch, texts: list[str], best: Best, at: int) -> pa.RecordBatch:

@@ -298,14 +298,12 @@ def test_no_letters_are_merged(monkeypatch, dense):
     got = m.phrases(asked)
     for i, text in enumerate(asked):
         for j, k in enumerate(m.langs):
-            total = 0
-            for s in (text[n : n + 512] for n in range(0, len(text), 512)):
-                at = 0
-                while at < len(s):
-                    size = 1
-                    while at + size < len(s) and s[at : at + size + 1] in texts[k]:
-                        size += 1
-                    total, at = total + 1, at + size
+            total = at = 0
+            while at < len(text):
+                size = 1
+                while at + size < len(text) and text[at : at + size + 1] in texts[k]:
+                    size += 1
+                total, at = total + 1, at + size
             assert got[i, j] == total
     assert [m.langs[k] for k in got[:6].argmin(1)] == m.langs
 
@@ -313,19 +311,29 @@ def test_no_letters_are_merged(monkeypatch, dense):
 def test_cross_parsing_counts_like_the_definition():
     m = langid.Model({"a": ["abab bcbc the theory"], "b": ["zyx wvu cab"]}, 1000)
     low = ["abab bcbc the theory", "zyx wvu cab"]
-    for text in ("the theory of cab zyx", "q", "ababab", "", "xyz" * 400):
+    for text in ("the theory of cab zyx", "q", "ababab", "", "xyz" * 400, "bcbc the theory " * 200, "ab bcbc th" * 300):
         folded = ["".join(c if c in m.alphabet else ("?" if c.isalpha() else " ") for c in x) for x in (text, *low)]
         for j in (0, 1):
-            total = 0
-            for s in (folded[0][k : k + 512] for k in range(0, len(folded[0]), 512)):
-                i = 0
-                while i < len(s):
-                    size = 1
-                    while i + size < len(s) and s[i : i + size + 1] in folded[1 + j]:
-                        size += 1
-                    total += 1
-                    i += size
-            assert int(m.phrases([text])[0, j]) == total
+            total, i, s = 0, 0, folded[0]
+            while i < len(s):
+                size = 1
+                while i + size < len(s) and s[i : i + size + 1] in folded[1 + j]:
+                    size += 1
+                total += 1
+                i += size
+            for segment in (4, 17, 512):
+                assert int(m.phrases([text, text[3:], ""], segment)[0, j]) == total
+
+
+def test_a_small_sample_is_no_disadvantage():
+    """Languages with very unequal training lengths: their phrases are weighed by the logarithm of these."""
+    rng = random.Random(31)
+    make = lambda k, n: " ".join("".join(rng.choices(SYLLABLES[k], k=2)) for _ in range(n))
+    m = langid.Model({"aa": [make("aa", 6000)], "bb": [make("bb", 150)], "cc": [make("cc", 400)]}, 60_000)
+    for j, k in enumerate(m.langs):
+        texts = [make(k, 60) for _ in range(40)]
+        best = (m.phrases(texts) * m.bits).argmin(1)
+        assert (best == j).mean() >= 0.95
 
 
 def test_toxic_words_are_learned(spark):
