@@ -1,21 +1,22 @@
 """Benchmark decontamination: BM25 over test items, searched with block-max WAND by every passage.
 
-Test items form an inverted index of word triples (single words are so common that their bounds hold
-nothing back) whose impacts are BM25 contributions divided by the item's score for
+Test items form an inverted index of words whose impacts are BM25 contributions divided by the item's score for
 its own words, so 1 is a full match and one threshold serves all items. Passages are windows of
 ``2 * unit`` words that begin every ``unit`` words and cover the whole text, so any ``unit`` words in a
-row lie inside one. A passage whose words' largest impacts add up to less than the threshold cannot
-match any item (WAND's bound, taken for all passages at once); the others run block-max WAND and get
+row lie inside one. WAND's upper bound is taken for all passages of a block at once: impacts of an item's rarer words that a
+passage has, plus the whole share of the item's common words. Passages that reach the threshold for some item by this
+bound, which no match can miss, run block-max WAND and get
 all items at or above the threshold, not the best few. Each hit is verified on the words: the question
 (all but the last sentence) and the answer (the last sentence) must both reappear in order, as longest
 common subsequences around the passage. Where the last sentence has fewer than ``MIN_WORDS`` words, it is enough
 that the whole item does, as much of it as of a question.
 
 Items are few and fixed, documents are many: the index is broadcast in shards of at most ``shard`` items,
-one pass each. Items longer than ``unit`` words are indexed in units of that many words.
+one pass each. Items longer than ``unit`` words are indexed in parts of equal size, of at most that many words.
 
 Defined results: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words match where
-their words stand in a row, with all scores 1 at the first place; repeated documents match alike, repeated items each match; extra columns
+their words stand in a row, with all scores 1 at the first place; repeated documents match alike, rows with null or repeated ids are judged
+by themselves; repeated items each match; extra columns
 are ignored; empty tables give empty results.
 """
 
@@ -36,6 +37,11 @@ from pulsegrid.llm.common import text_blocks
 
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.8, 0.6
 MIN_WORDS, UNIT, SHARD, POSTING_BLOCK = 5, 64, 20_000, 32
+#: Words of more than this share of the item parts, and of more than eight, count as common in the bound, as far as an
+#: item's common words make up this share of its score.
+COMMON, HELD = 0.04, 0.25
+#: Text bytes looked at together.
+TEXT_BYTES = 1 << 20
 K1, B = 1.2, 0.75
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -71,50 +77,61 @@ class Index:
                 self.phrases.setdefault(len(words), {}).setdefault(tuple(words), []).append(item)
                 continue
             self.items.append((item, *parts_of(text)))
-            for k in range(0, len(words), unit):
-                if k == 0 or len(words) - k >= MIN_WORDS:
-                    units.append((len(self.items) - 1, words[k : k + unit]))
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in units for w in ws}))}
-        counted = [(i, Counter(self.triples(self.codes(ws)).tolist())) for i, ws in units]
-        df = Counter(g for _, c in counted for g in c)
+            cut = np.linspace(0, len(words), -(-len(words) // unit) + 1).astype(int).tolist()
+            units += [(len(self.items) - 1, words[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+        counted = [(i, Counter(ws)) for i, ws in units]
+        df = Counter(w for _, c in counted for w in c)
+        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted(df))}
         mean = sum(sum(c.values()) for _, c in counted) / max(1, len(counted))
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.owner = [i for i, _ in counted]
+        self.common, rare = np.zeros(len(counted)), defaultdict(list)
+        limit = max(8, COMMON * len(counted))
         for u, (_, c) in enumerate(counted):
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
-            s = {g: math.log(1 + (len(counted) - df[g] + 0.5) / (df[g] + 0.5)) * n * (K1 + 1) / (n + norm) for g, n in c.items()}
+            s = {w: math.log(1 + (len(counted) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in c.items()}
             own = sum(s.values())
-            for g, x in s.items():
-                postings[g].append((u, x / own))
-        self.grams = np.array(sorted(postings), np.int64)
+            for w, x in sorted(s.items(), key=lambda p: (p[1], p[0])):
+                postings[w].append((u, x / own))
+                if df[w] > limit and self.common[u] + x / own <= HELD:
+                    self.common[u] += x / own
+                else:
+                    rare[w].append((u, x / own))
         self.postings = [([], [], [])] + [
-            ([u for u, _ in postings[g]], [x for _, x in postings[g]], [max(x for _, x in postings[g][k : k + POSTING_BLOCK]) for k in range(0, len(postings[g]), POSTING_BLOCK)])
-            for g in self.grams.tolist()
+            ([u for u, _ in postings[w]], [x for _, x in postings[w]], [max(x for _, x in postings[w][k : k + POSTING_BLOCK]) for k in range(0, len(postings[w]), POSTING_BLOCK)]) for w in self.vocabulary
         ]
-        self.most = np.array([max(p[1], default=0.0) for p in self.postings], np.float32)
+        self.most = np.array([max(p[1], default=0.0) for p in self.postings], np.float64)
+        lists = [[], *(rare[w] for w in self.vocabulary)]
+        self.first = np.cumsum([0, *map(len, lists)])
+        self.units = np.array([u for p in lists for u, _ in p], np.int64)
+        self.impacts = np.array([x for p in lists for _, x in p], np.float64)
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         """Vocabulary numbers of words; 0 is a word of no item."""
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
-    def triples(self, codes: np.ndarray) -> np.ndarray:
-        """A number for each three words in a row that are all in the vocabulary."""
-        return self.triples_at(codes)[1]
-
-    def triples_at(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero((codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0)) if len(codes) > 2 else np.zeros(0, np.int64)
-        size = len(self.vocabulary) + 1
-        return at, (codes[at] * size + codes[at + 1]) * size + codes[at + 2]
-
-    def terms_of(self, words: list[bytes]) -> np.ndarray:
-        """The index term that begins at each word, 0 for none."""
-        out = np.zeros(len(words), np.int64)
-        at, found = self.triples_at(self.codes(words))
-        if len(at) and len(self.grams):
-            k = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
-            hit = self.grams[k] == found
-            out[at[hit]] = k[hit] + 1
-        return out
+    def hopeful(self, codes: np.ndarray, passages: np.ndarray, last: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages that the bound lets reach the threshold for some item.
+
+        ``passages`` is the stretch of ``unit`` words that each word lies in, a passage is a stretch and the next one, and
+        ``last`` tells which stretches begin no passage but belong to the one before.
+        """
+        if threshold <= HELD:
+            return np.flatnonzero(~last[:-1])
+        n = self.first[codes + 1] - self.first[codes]
+        total = int(n.sum())
+        if not total:
+            return np.zeros(0, np.int64)
+        at = np.repeat(self.first[codes] - (np.cumsum(n) - n), n) + np.arange(total)
+        size = max(1, len(self.owner))
+        names, back = np.unique(np.repeat(passages, n) * size + self.units[at], return_inverse=True)
+        sums = np.bincount(back, self.impacts[at])
+        stretch = names // size
+        own = ~last[stretch]
+        before = (stretch > 0) & ~last[np.maximum(stretch, 1) - 1]
+        names, back = np.unique(np.concatenate([names[own], names[before] - size]), return_inverse=True)
+        bound = np.bincount(back, np.concatenate([sums[own], sums[before]]), len(names)) + self.common[names % size]
+        return np.unique(names[bound >= threshold - 1e-6] // size)
 
     def search(self, terms: list[int], threshold: float) -> dict[int, float]:
         """Block-max WAND: every unit whose impacts over the distinct ``terms`` reach ``threshold``."""
@@ -197,42 +214,50 @@ class Searcher:
                 rows = list(zip(*(ws[k:] for k in range(n))))
                 for phrase in phrases.keys() & set(rows):
                     out += [(doc, item, 1.0, 1.0, 1.0, rows.index(phrase), n) for item in phrases[phrase]]
-            t = x.terms_of(ws)
-            if not t.any():
-                continue
-            total = np.concatenate([[0.0], np.cumsum(x.most[t], dtype=np.float64)])
-            starts = np.arange(0, max(1, len(ws) - unit), unit)
-            ends = np.minimum(starts + 2 * unit, len(ws))
-            best: dict[int, tuple] = {}
-            for s, e in zip(starts[(total[ends] - total[starts]) >= threshold - 1e-6].tolist(), ends[(total[ends] - total[starts]) >= threshold - 1e-6].tolist(), strict=True):
-                for u, score in x.search(np.unique(t[s:e][t[s:e] > 0]).tolist(), threshold).items():
-                    i = x.owner[u]
-                    item, question, answer = x.items[i]
-                    reach = len(question) + len(answer)
-                    lo, hi = max(0, s - reach), min(len(ws), e + reach)
-                    q, a = subsequence(question, ws[lo:hi]), subsequence(answer, ws[lo:hi])
-                    if len(answer) < MIN_WORDS and not (q >= least_q and a >= least_a):
-                        q = a = subsequence(question + answer, ws[lo:hi])
-                    if q >= least_q and a >= least_a and (i not in best or score > best[i][2]):
-                        best[i] = (doc, item, score, q, a, s, e - s)
-            out += best.values()
-        return out
+        n = np.array([len(ws) for ws in words])
+        stretches = np.maximum(1, -(-n // unit))
+        first = np.cumsum(stretches) - stretches
+        codes = x.codes([w for ws in words for w in ws])
+        inside = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+        last = np.zeros(int(stretches.sum()) + 1, bool)
+        last[(first + stretches - 1)[stretches > 1]] = True
+        last[-1] = True
+        best: dict[tuple[int, int], tuple] = {}
+        for p in x.hopeful(codes, np.repeat(first, n) + inside // unit, last, threshold).tolist():
+            row = int(np.searchsorted(first, p, side="right")) - 1
+            ws, s = words[row], (p - int(first[row])) * unit
+            e = min(s + 2 * unit, len(ws))
+            terms = [t for t in np.unique(x.codes(ws[s:e])).tolist() if t]
+            for u, score in x.search(terms, threshold).items():
+                i = x.owner[u]
+                item, question, answer = x.items[i]
+                reach = len(question) + len(answer)
+                lo, hi = max(0, s - reach), min(len(ws), e + reach)
+                q, a = subsequence(question, ws[lo:hi]), subsequence(answer, ws[lo:hi])
+                if len(answer) < MIN_WORDS and not (q >= least_q and a >= least_a):
+                    q = a = subsequence(question + answer, ws[lo:hi])
+                if q >= least_q and a >= least_a and ((row, i) not in best or score > best[row, i][2]):
+                    best[row, i] = (ids[row], item, score, q, a, s, e - s)
+        return out + list(best.values())
+
+
+def _searchers(items: DataFrame, threshold: float, question: float, answer: float, unit: int, shard: int) -> list[Searcher]:
+    rows = [(r["item_id"], r["text"]) for r in items.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()]
+    return [Searcher(rows[k : k + shard], threshold, question, answer, unit) for k in range(0, max(1, len(rows)), shard)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, unit: int = UNIT, shard: int = SHARD) -> DataFrame:
     """One row per document and test item found in it: scores, overlaps and the first passage's place."""
-    rows = [(r["item_id"], r["text"]) for r in items.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()]
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     out = None
-    for k in range(0, max(1, len(rows)), shard):
-        searcher = Searcher(rows[k : k + shard], threshold, question, answer, unit)
+    for searcher in _searchers(items, threshold, question, answer, unit, shard):
 
         def run(batches: Iterator[pa.RecordBatch], searcher: Searcher = searcher) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(0).to_pylist()
-                for start, texts in text_blocks(b, "text"):
+                for start, texts in text_blocks(b, "text", TEXT_BYTES):
                     if hits := searcher(ids[start : start + len(texts)], texts):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), kinds, strict=True)], names)
 
@@ -241,9 +266,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no test item is found."""
-    from pulsegrid.llm.common import save
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, unit: int = UNIT, shard: int = SHARD) -> DataFrame:
+    """The rows in which no test item is found, judged where they lie: no row needs an id."""
+    for searcher in _searchers(items, threshold, question, answer, unit, shard):
+
+        def run(batches: Iterator[pa.RecordBatch], searcher: Searcher = searcher) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                leaked = {hit[0] for start, texts in text_blocks(b, "text", TEXT_BYTES) for hit in searcher(range(start, start + len(texts)), texts)}
+                yield b.filter(pa.array([i not in leaked for i in range(b.num_rows)], pa.bool_()))
 
-    leaked = save(find_leaks(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

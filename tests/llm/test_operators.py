@@ -374,7 +374,7 @@ def test_search_equals_exhaustive_scoring():
     x = decontam.Index(items)
     for _ in range(150):
         source = decontam.words_of(rng.choice(items)[1].encode())
-        terms = [t for t in set(x.terms_of(source).tolist()) | set(rng.sample(range(1, len(x.postings)), 20)) if t]
+        terms = [t for t in set(x.codes(source).tolist()) | set(rng.sample(range(1, len(x.postings)), 20)) if t]
         threshold = rng.choice([0.02, 0.1, 0.4])
         score = {}
         for t in terms:
@@ -385,6 +385,61 @@ def test_search_equals_exhaustive_scoring():
         assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
 
 
+def test_the_bound_loses_no_passage():
+    """Passages that the bound leaves out hold no item at or above the threshold, by scoring every item."""
+    rng = random.Random(18)
+    x = decontam.Index([(i, words(rng, rng.randrange(5, 200), 80)) for i in range(60)])
+    for _ in range(25):
+        texts = [decontam.words_of((words(rng, rng.randrange(0, 400), 90) + " " + words(rng, 3, 5000)).encode()) for _ in range(4)]
+        n = np.array([len(t) for t in texts])
+        stretches = np.maximum(1, -(-n // 64))
+        first = np.cumsum(stretches) - stretches
+        last = np.zeros(stretches.sum() + 1, bool)
+        last[(first + stretches - 1)[stretches > 1]] = last[-1] = True
+        place = np.concatenate([f + np.arange(m) // 64 for f, m in zip(first, n, strict=True)])
+        hopeful = set(x.hopeful(x.codes([w for t in texts for w in t]), place, last, 0.3).tolist())
+        for f, t in zip(first.tolist(), texts, strict=True):
+            for k, s in enumerate(range(0, max(1, len(t) - 64), 64)):
+                terms = [c for c in set(x.codes(t[s : s + 128]).tolist()) if c]
+                if x.search(terms, 0.3):
+                    assert f + k in hopeful
+
+
+def test_recall_of_edited_items(spark):
+    """Items with every n-th word changed, dropped or followed by another: whatever verification accepts is retrieved."""
+    rng = random.Random(19)
+    items = [words(rng, rng.randrange(15, 150), 3000) + ". " + words(rng, rng.randrange(5, 15), 3000) + "." for _ in range(60)]
+    texts, accepted = [], set()
+    for i, item in enumerate(items):
+        for every in (4, 5, 6, 9):
+            for kind in ("change", "drop", "add"):
+                w = []
+                for k, x in enumerate(item.split()):
+                    if k % every == every - 1:
+                        w += {"change": [f"z{rng.randrange(10**6)}"], "drop": [], "add": [x, f"z{rng.randrange(10**6)}"]}[kind]
+                    else:
+                        w.append(x)
+                question, answer = decontam.parts_of(item)
+                whole = decontam.words_of(" ".join(w).encode())
+                if decontam.subsequence(question, whole) >= decontam.QUESTION and decontam.subsequence(answer, whole) >= decontam.ANSWER:
+                    accepted.add((len(texts), i))
+                texts.append(f"{words(rng, rng.randrange(200), 4000)} {' '.join(w)} {words(rng, rng.randrange(200), 4000)}")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, texts), b).collect()}
+    assert len(accepted) > 400 and len(accepted & found) >= 0.98 * len(accepted)
+    assert all(i == d // 12 for d, i in found)
+
+
+def test_leaks_in_rows_without_an_id(spark):
+    rng = random.Random(20)
+    item = words(rng, 40, 500) + "."
+    rows = [(None, f"{words(rng, 80)} {item}"), (None, words(rng, 80)), (5, item), (5, words(rng, 90)), (None, None)]
+    b = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.find_leaks(d, b).collect()) == [(0, 1), (0, 1), (5, 1), (5, 1)]
+    assert sorted(map(tuple, decontam.without_leaks(d, b).collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_leaks_are_found_and_clean_documents_kept(spark):
     rng = random.Random(10)
     items = [words(rng, 30, 500) + ". " + words(rng, 6, 500) + "." for _ in range(20)] + [None, "short one"]
