@@ -74,6 +74,15 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, share: int = 1000)
     return cold.unionByName(warm)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two keys that are never null: ``_k`` (the id, else a hash of the text) and ``_t`` (a hash of the text).
+
+    Together they tell rows apart by id and text, where an id is missing or repeated.
+    """
+    hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), hashed), "_t": hashed})
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table made by ``save`` that nothing will read again."""
     spark = df.sparkSession

@@ -8,8 +8,9 @@ a few rounds of joins spread them. Candidates that reach ``CONFIDENCE`` through
 ``SUPPORT`` distinct seeds become spans of that kind. Only aggregated edges take part in the rounds, so a
 frequent word is one row per instance, summed before any shuffle.
 
-Defined results: null text is the empty text and has no span; repeated rows agree; rows with a null id
-keep their base spans; an empty table gives an empty table.
+Defined results: null text is the empty text and has no span; repeated rows agree; spans belong to an id and a text
+together, so rows with a null or repeated id get, and lose by redaction, those of their own text; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import save
-from pulsegrid.llm.spans import hits, listed, ranked, where
+from pulsegrid.llm.common import keyed, save
+from pulsegrid.llm.spans import bound, free, hits, listed, prefix, ranked, where
 
 KINDS = ("email", "ip", "card", "phone")
+_ROW = ("doc_id", "_k", "_t")
 CONFIDENCE, SUPPORT, ROUNDS, SMOOTHING = 0.8, 5, 3, 1.0
 #: A private-use character stands for a separator inside a match, so that patterns stay flat: nested
 #: repetition would recurse once per separator and overflow on long lists of numbers.
@@ -66,27 +68,27 @@ def _keeps(kind: str):
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, the base hits of each kind with context, and the candidates outside them."""
-    t = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    """doc_id, _k, _t, the base hits of each kind with context, and the candidates outside them."""
+    t = keyed(docs.select("doc_id", "text")).select("doc_id", "_k", "_t", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     t = t.withColumn("_u", F.translate("t", _MARK, _OTHER))
     digit = F.col("t").rlike("[0-9]")
     at = F.instr("t", "@") > 0
     joined_mail = F.regexp_replace("_u", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _MARK)
     joined_card = F.regexp_replace("_u", r"(?<=[0-9])[ -](?=[0-9])", _MARK)
     out = t.select(
-        "doc_id",
+        *_ROW,
         where(at, hits(joined_mail, _EMAIL)).alias("email"),
         where(F.col("t").rlike(r"[0-9]\.[0-9]"), hits(F.col("t"), _IP)).alias("ip"),
         where(digit & F.col("t").rlike(r"[0-9](?:[ -]?[0-9]){13}"), hits(joined_card, _CARD)).alias("card"),
         where(F.col("t").rlike(r"\+[0-9]"), hits(F.col("t"), _PHONE)).alias("phone"),
         where(digit | at, hits(F.col("t"), _TOKEN)).alias("tokens"),
     )
-    out = out.select("doc_id", *[F.filter(k, _keeps(k)).alias(k) for k in KINDS], "tokens")
+    out = out.select(*_ROW, *[F.filter(k, _keeps(k)).alias(k) for k in KINDS], "tokens")
     taken = F.concat(*[F.transform(k, lambda h: F.struct(h["start"].alias("s"), h["end"].alias("e"))) for k in KINDS])
     out = out.withColumn("_taken", taken)
 
     def identifier(h: Column) -> Column:
-        return (F.length(_digits(h["value"])) >= 7) | F.instr(h["value"], "@").between(2, 64)
+        return (F.length(_digits(h["value"])) >= 7) | (F.instr(h["value"], "@") > 1)
 
     def trimmed(h: Column) -> Column:
         lead = F.length(F.regexp_extract(h["value"], r"^[^0-9A-Za-z+]*", 0))
@@ -94,8 +96,8 @@ def find_base(docs: DataFrame) -> DataFrame:
         start = h["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), h["before"].alias("before"), h["after"].alias("after"))
 
-    free = F.filter(F.transform(F.filter("tokens", identifier), trimmed), lambda h: (h["end"] > h["start"]) & ~F.exists("_taken", lambda b: (h["start"] < b["e"]) & (b["s"] < h["end"])))
-    return out.select("doc_id", *KINDS, free.alias("candidates"))
+    cores = F.filter(F.transform(F.filter("tokens", identifier), trimmed), lambda h: h["end"] > h["start"])
+    return out.select(*_ROW, *KINDS, free(cores, F.col("_taken")).alias("candidates"))
 
 
 def _patterns(h: Column) -> Column:
@@ -110,43 +112,49 @@ def _patterns(h: Column) -> Column:
 
 
 def occurrences(base: DataFrame) -> DataFrame:
-    """One row per seed or candidate occurrence: doc_id, kind (null for candidates), place, value, patterns."""
+    """One row per seed or candidate occurrence: _k, _t, kind (null for candidates), place, value, patterns."""
 
     def tagged(column: str, kind: str | None) -> Column:
         return F.transform(column, lambda h: F.struct(F.lit(kind).cast("string").alias("kind"), h["start"].alias("start"), h["end"].alias("end"), F.lower(h["value"]).alias("value"), _patterns(h).alias("patterns")))
 
-    return base.select("doc_id", F.explode(F.concat(*[tagged(k, k) for k in KINDS], tagged("candidates", None))).alias("o")).select("doc_id", "o.*")
+    return base.select("_k", "_t", F.explode(F.concat(*[tagged(k, k) for k in KINDS], tagged("candidates", None))).alias("o")).select("_k", "_t", "o.*")
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """pattern, kind, score, support from distinct (pattern, value, kind) edges; kind null marks candidates."""
     seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("seed"))
     size = edges.groupBy("pattern").agg(F.count("*").cast("double").alias("size"))
-    free = edges.where("kind IS NULL").select("pattern", "value")
-    scores = seeds.join(size, "pattern").select("pattern", "kind", (F.col("seed") / (F.col("size") + SMOOTHING)).alias("score"), F.col("seed").alias("support"))
+    # Only candidates whose patterns have seeds can be believed. A frequent context may have very many candidates: they are summed
+    # per value before they are shuffled, and Spark splits its rows in the join.
+    first = seeds.join(size.hint("merge"), "pattern").select("pattern", "kind", (F.col("seed") / (F.col("size") + SMOOTHING)).alias("score"), F.col("seed").alias("support"))
+    scores = save(first, "scores")
+    free = save(edges.where("kind IS NULL").select("pattern", "value").join(scores.select("pattern").distinct().hint("merge"), "pattern", "left_semi"), "free")
+    if free.isEmpty():
+        return scores
+    base = save(seeds.join(size.hint("merge"), "pattern"), "seeds")
     for _ in range(rounds):
-        believed = free.join(scores, "pattern").groupBy("value", "kind").agg(F.avg("score").alias("belief"))
-        given = free.join(believed, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("given"))
+        believed = free.join(scores.hint("merge"), "pattern").groupBy("value", "kind").agg(F.avg("score").alias("belief"))
+        given = free.join(believed.hint("merge"), "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("given"))
         scores = save(
-            seeds.join(given, ["pattern", "kind"], "left").join(size, "pattern").select("pattern", "kind", ((F.col("seed") + F.coalesce("given", F.lit(0.0))) / (F.col("size") + SMOOTHING)).alias("score"), F.col("seed").alias("support")),
+            base.join(given.hint("merge"), ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seed") + F.coalesce("given", F.lit(0.0))) / (F.col("size") + SMOOTHING)).alias("score"), F.col("seed").alias("support")),
             "scores",
         )
     return scores
 
 
 def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, ``base`` and ``added``: arrays of (start, rank, end, kind)."""
+    """doc_id, _k, _t, ``base`` and ``added``: arrays of (start, rank, end, kind)."""
     base = save(find_base(docs), "base")
     seen = save(occurrences(base), "occurrences")
     edges = save(seen.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "edges")
     strong = score_patterns(edges).where((F.col("score") >= confidence) & (F.col("support") >= support))
-    free = seen.where("kind IS NULL").select("doc_id", "start", "end", F.explode("patterns").alias("pattern"))
-    best = free.join(strong, "pattern").groupBy("doc_id", "start", "end", "kind").agg(F.max("score").alias("score")).groupBy("doc_id", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    loose = seen.where("kind IS NULL").select("_k", "_t", "start", "end", F.explode("patterns").alias("pattern"))
+    best = loose.join(strong.hint("merge"), "pattern").groupBy("_k", "_t", "start", "end", "kind").agg(F.max("score").alias("score")).groupBy("_k", "_t", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    added = best.groupBy("doc_id").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind")).alias("added"))
-    spans = base.select("doc_id", F.concat(*[ranked(F.col(k), k, i) for i, k in enumerate(KINDS)]).alias("base"))
+    added = best.groupBy("_k", "_t").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind")).alias("added"))
+    spans = base.select(*_ROW, F.concat(*[ranked(F.col(k), k, i) for i, k in enumerate(KINDS)]).alias("base"))
     none = F.expr("CAST(array() AS array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")
-    return spans.join(added, "doc_id", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return spans.join(added.hint("merge"), ["_k", "_t"], "left").select(*_ROW, "base", F.coalesce("added", none).alias("added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -155,18 +163,20 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the one that starts first, or the longer of two, decides the kind; none of
     their characters stays.
     """
-    found = personal_data(docs).select("doc_id", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_s"))
-    found = found.where(F.size("_s") > 0).dropDuplicates(["doc_id"])
+    found = personal_data(docs).select("_k", "_t", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_s"))
+    found = found.where(F.size("_s") > 0).dropDuplicates(["_k", "_t"])
     t = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        covered = s["start"] < acc["at"]
-        piece = F.concat(F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
+    # What stays lies between spans: pieces from the largest end so far to the next start, joined once.
+    ends = bound(prefix(F.transform("_s", lambda s: s["end"]), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b)), lambda e: F.concat(F.array(F.lit(0).cast("long")), e))
+    cut = lambda at, n: F.substring(t, (at + 1).cast("int"), n.cast("int"))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_s", first, step, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    out = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("_s").isNull(), t).otherwise(clean))
+    def pieces(e: Column) -> Column:
+        piece = lambda s, i: F.when(s["start"] < F.element_at(e, i + 1), F.lit("")).otherwise(F.concat(cut(F.element_at(e, i + 1), s["start"] - F.element_at(e, i + 1)), F.lit("<"), s["kind"], F.lit(">")))
+        return F.concat(F.array_join(F.transform("_s", piece), ""), bound(F.element_at(e, -1), lambda last: cut(last, F.length(t))))
+
+    clean = bound(ends, pieces)
+    out = keyed(docs).join(found.hint("merge"), ["_k", "_t"], "left").withColumn("text", F.when(F.col("_s").isNull(), t).otherwise(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

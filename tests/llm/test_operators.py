@@ -592,3 +592,69 @@ def test_long_tokens_are_linked(spark):
     got = {r.doc_id: r.spans for r in secrets.digest(docs_of(spark, texts)).collect()}
     assert "opaque:0:129" in got[0] and "opaque:22:3624" in got[1] and "opaque:0:3600" in got[2]
     assert got[3] == "" and "opaque" not in got[4]
+
+
+def test_unseen_identifiers_recall_and_precision(spark):
+    """Forms that no base pattern has, in contexts that seeds taught, beside look-alikes in other contexts."""
+    rng = random.Random(23)
+    texts, planted = [], set()
+    for k in range(240):
+        lead = rng.choice(["please call us under", "our desk answers at", "write to"])
+        mail = lead == "write to"
+        unseen = k % 4 == 0
+        if mail:
+            value = f"user{k}@intranet{k % 7}" if unseen else f"user{k}@host{k % 7}.example.org"
+        else:
+            value = f"0049-30-{7000000 + 131 * k}" if unseen else f"+49 30 {1000000 + 97 * k}"
+        head = f"{words(rng, 6, 5000)} {lead} "
+        if unseen:
+            planted.add((len(texts), "email" if mail else "phone", len(head), len(head) + len(value)))
+        texts.append(f"{head}{value} during the day {words(rng, 5, 5000)}")
+    for k in range(120):
+        texts.append(f"{words(rng, 6, 5000)} {rng.choice(['serial', 'order number', 'lot'])} {rng.randrange(10**9, 10**11)} {words(rng, 5, 5000)}")
+    got = set()
+    for r in pii.personal_data(docs_of(spark, texts)).collect():
+        got |= {(r.doc_id, x.kind, x.start, x.end) for x in r.added}
+    assert len(got & planted) >= 0.95 * len(planted) and got <= planted
+
+
+def test_links_equal_brute_force(spark):
+    """Weak parts are reported exactly where a complementary part lies within the scope; no lone part is."""
+    rng = random.Random(24)
+    token = lambda: "".join(rng.choices("ABCDEFabcdef", k=20)) + "".join(rng.choices("0123456789", k=16)) + "aB"
+    make = [token, lambda: f"user: u{rng.randrange(10**6)}", lambda: f"https://h{rng.randrange(99)}.example.org/x", lambda: f"password={rng.randrange(10**8)}", lambda: "AKIA" + "".join(rng.choices("ABCDEFGH", k=16))]
+    texts = [" ".join(rng.choice(make)() if rng.random() < 0.3 else words(rng, rng.randrange(1, 40)) for _ in range(rng.randrange(1, 12))) for _ in range(250)]
+    d = docs_of(spark, texts)
+    parts = {r.doc_id: r for r in secrets.find_parts(d).collect()}
+    want = set()
+    for i, r in parts.items():
+        every = [*r.base, *r.weak]
+        for w in r.weak:
+            for o in every:
+                one, two = secrets._ROLE[w.kind], secrets._ROLE[o.kind]
+                if one != two and "secret" in (one, two) and o.start < w.end + secrets.SCOPE and w.start < o.end + secrets.SCOPE:
+                    want.add((i, w.kind, w.start, w.end))
+    got = {(r.doc_id, x.kind, x.start, x.end) for r in secrets.secrets(d).collect() for x in r.added}
+    assert got == want and 50 < len(want) < sum(len(r.weak) for r in parts.values())
+
+
+def test_spans_belong_to_id_and_text(spark):
+    """Null and repeated ids: every row keeps, and loses by redaction, the spans of its own text."""
+    rows = [(None, "mail a.b@example.org now", 1), (None, "nothing here", 2), (7, "mail c@example.org"[:18], 3), (7, "call +49 30 1234567 now", 4), (7, "call +49 30 1234567 now", 5), (None, None, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, base long")
+    got = {r.base: r.text for r in pii.redact(d).collect()}
+    assert got == {1: "mail <email> now", 2: "nothing here", 3: "mail <email>", 4: "call <phone> now", 5: "call <phone> now", 6: None}
+    spans = sorted((str(r.doc_id), r.spans) for r in pii.digest(d).collect())
+    assert spans == [("7", "email:5:18"), ("7", "phone:5:19"), ("7", "phone:5:19"), ("None", ""), ("None", ""), ("None", "email:5:20")]
+    s = spark.createDataFrame([(None, "password=hunter22 https://x.org/a"), (None, "https://x.org/a"), (3, "user: bob token=abcdef1"), (3, "user: bob")], "doc_id long, text string")
+    assert sorted(r.spans.count(":") // 2 for r in secrets.digest(s).collect()) == [0, 0, 2, 2]
+
+
+def test_long_lists_of_spans(spark):
+    """Hundreds of thousands of matches in one text take linear time."""
+    rng = random.Random(25)
+    text = " ".join(f"u{rng.randrange(1000)}@h.org {rng.randrange(10**7, 10**8)}" for _ in range(20_000))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.digest(d).first()
+    assert got.n_email == 20_000
+    assert pii.redact(d).first().text.count("<email>") == 20_000
