@@ -1,13 +1,14 @@
 """Main-text extraction by the maximum-scoring subsequence of a page's tokens.
 
-A page is a sequence of words and tags. Words score positive and tags negative; the weight of a kind of
-token is its log odds of lying inside the main text, counted on labelled pages. One linear scan finds the
-best contiguous stretch. The article element around it, if there is one, bounds the result; inside, what
-markup declares to be a menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comment is left out. Every other block of the stretch is kept, whatever its length.
+A page is a sequence of words and tags. What markup declares to be a menu, header, footer, sidebar, notice, advert,
+form, script, style or reader comment is cut out first. Of the other tokens words tend to score positive and tags negative: the
+weight of a kind of token is its log likelihood ratio inside and outside the main text, counted on labelled pages. Kinds of words
+are told apart by whether they lie in a link or heading, and whether inside an article element, beside one, or on a page without one.
+One linear scan finds the best contiguous stretch, and it alone decides: every block of it is kept, whatever its length, but
+those beside the article elements where the stretch holds such.
 
 Defined results: null and empty html give the empty text, as does a page without words; repeated rows
-agree; broken markup is read as browsers do (unclosed and stray tags, missing ends); other columns pass.
+agree; broken markup is read as browsers do (unclosed and stray tags, missing ends); other columns pass; rows need no id.
 """
 
 from __future__ import annotations
@@ -61,33 +62,37 @@ def declared_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _BOILER_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (_BOILER_NAMES - {"header"} if in_article else _BOILER_NAMES) & set(_NAME.split(_CAMEL.sub(" ", value).lower())):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (_BOILER_NAMES - {"header", "widget", "widgets"} if in_article else _BOILER_NAMES) & set(_NAME.split(_CAMEL.sub(" ", value).lower())):
             return True
     return False
 
 
 class Page:
-    """Tokens (kind, number, block) of a page and its blocks of text, in page order."""
+    """Tokens (kind, number, block) of a page, but declared boilerplate, and its blocks of text, in page order."""
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, int, int]] = []
         self.blocks: list[list[str]] = [[]]
-        self.boiler, self.articles = [False], [0]
-        stack: list[tuple[str, bool, int]] = []  # name, boilerplate, article
-        link, heading, articles, at = 0, False, 0, 0
+        self.boiler, self.inside = [False], [False]
+        stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, in an article
+        opened: Counter[str] = Counter()
+        link, heading, at = 0, False, 0
 
         def boundary() -> None:
             if self.blocks[-1]:
                 self.blocks.append([])
                 self.boiler.append(False)
-                self.articles.append(0)
+                self.inside.append(False)
             self.boiler[-1] = bool(stack) and stack[-1][1]
-            self.articles[-1] = stack[-1][2] if stack else 0
+            self.inside[-1] = bool(stack) and stack[-1][2]
+
+        def token(kind: str, n: int = 1) -> None:
+            if not self.boiler[-1]:
+                self.tokens.append((kind, n, len(self.blocks) - 1))
 
         def words(text: str) -> None:
             if text and (n := len(text.split())):
-                kind = "boiler" if self.boiler[-1] else "link" if link else "heading" if heading else "plain"
-                self.tokens.append((f"word_{kind}", n, len(self.blocks) - 1))
+                token("word_link" if link else "word_heading" if heading else "word_plain", n)
             if text:
                 self.blocks[-1].append(text)
 
@@ -97,7 +102,7 @@ class Page:
             tag = (m[3] or "").lower()
             if not tag:
                 if m[1] and m[1].lower() != "title":
-                    self.tokens.append(("tag_raw", 1, len(self.blocks) - 1))
+                    token("tag_raw")
                 continue
             close = bool(m[2])
             if tag == "br":
@@ -109,24 +114,24 @@ class Page:
                 heading = tag[0] == "h" and tag[1:].isdigit() and not close
                 if tag not in _VOID and tag not in ("p", "li", "td", "th", "tr", "dd", "dt"):
                     if close:
-                        for k in range(len(stack) - 1, -1, -1):
-                            if stack[k][0] == tag:
-                                del stack[k:]
+                        while opened[tag]:
+                            name = stack.pop()[0]
+                            opened[name] -= 1
+                            if name == tag:
                                 break
                     else:
-                        inside = stack[-1] if stack else ("", False, 0)
-                        boiler = inside[1] or declared_boilerplate(tag, m[4], inside[2] > 0)
-                        article = inside[2]
-                        if tag in ("article", "main") and not boiler:
-                            articles += 1
-                            article = articles
-                        stack.append((tag, boiler, article))
+                        outer = stack[-1] if stack else ("", False, False)
+                        boiler = outer[1] or declared_boilerplate(tag, m[4], outer[2])
+                        stack.append((tag, boiler, outer[2] or (tag in ("article", "main") and not boiler)))
+                        opened[tag] += 1
                 boundary()
                 if tag in ("p", "li", "td", "dd", "dt") and not close and declared_boilerplate(tag, m[4], True):
                     self.boiler[-1] = True
-            kind = "boiler" if self.boiler[-1] else "link" if tag == "a" else "block" if tag in _BLOCK else "inline"
-            self.tokens.append((f"tag_{kind}", 1, len(self.blocks) - 1))
+            token("tag_link" if tag == "a" else "tag_block" if tag in _BLOCK else "tag_inline")
         words(source[at:])
+        some = any(i and kind.startswith("word") for kind, _, b in self.tokens if (i := self.inside[b]))
+        place = {True: "_inside", False: "_beside" if some else "_alone"}
+        self.tokens = [(kind + place[self.inside[b]] if kind.startswith("word") else kind, n, b) for kind, n, b in self.tokens]
 
     def text(self, k: int) -> str:
         return " ".join(entities.unescape("".join(self.blocks[k])).split())
@@ -142,23 +147,15 @@ class Page:
                 best, span = run, (start, i)
         if span is None:
             return []
-        lo, hi = self.tokens[span[0]][2], self.tokens[span[1]][2]
-        weight = Counter()
-        for kind, n, b in self.tokens[span[0] : span[1] + 1]:
-            if kind.startswith("word") and not self.boiler[b]:
-                weight[self.articles[b]] += n
-        article, most = max(weight.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
-        if article and 2 * most > sum(weight.values()):
-            keep = [k for k in range(len(self.blocks)) if self.articles[k] == article]
-        else:
-            keep = list(range(lo, hi + 1))
-        return [k for k in keep if not self.boiler[k]]
-
-
-KINDS = ("word_plain", "word_heading", "word_link", "word_boiler", "tag_block", "tag_inline", "tag_link", "tag_boiler", "tag_raw")
-
-#: Labelled pages: html and its main text.
-LABELLED_PAGES = (
+        stretch = range(self.tokens[span[0]][2], self.tokens[span[1]][2] + 1)
+        article = any(self.inside[b] for _, _, b in self.tokens[span[0] : span[1] + 1])
+        return [k for k in stretch if not self.boiler[k] and (self.inside[k] or not article)]
+
+
+KINDS = (*(f"word_{kind}_{place}" for kind in ("plain", "heading", "link") for place in ("inside", "beside", "alone")), "tag_block", "tag_inline", "tag_link", "tag_raw")
+
+#: Pages written out: html and its main text.
+_WRITTEN = (
     (
         "<html><head><title>On rivers</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a><li><a href='/n'>News</a></ul></nav><div class='ad'>Buy boots today</div><article><h1>On rivers</h1>"
         "<p>Rivers carry <b>sand</b> and silt to the sea, and build land where they slow down.<p>A delta grows by a few metres in a good year.</article><footer>&copy; A. Paper <a href='/c'>contact</a></footer></body></html>",
@@ -177,10 +174,39 @@ LABELLED_PAGES = (
 )
 
 
-def fit_weights(pages: tuple[tuple[str, str], ...] = LABELLED_PAGES) -> dict[str, float]:
-    """Log odds of each kind of token inside the main text; words never score below tags."""
+_SENTENCES = (
+    "The ferry leaves the old harbour twice a day and takes an hour to reach the island.", "Nobody could say who had built the wall, or why it ended in the middle of a field.",
+    "Prices rose again in spring, though less than in the year before.", "She sold the workshop, kept two of the looms, and taught weaving until she was ninety.",
+    "Rain is rare here, so every roof feeds a cistern.", "The committee will meet in June to look at the results.", "It did not last.",
+)
+#: How a labelled page is laid out: before its main text, around it, and after it. Half of the layouts declare nothing.
+_LAYOUTS = (
+    ("<nav><ul>{links}</ul></nav><div class='ad'>{promo}</div>", "<article>{body}</article>", "<footer>{links}</footer>"),
+    ("<header><a href='/'>Daily</a></header><ul>{links}</ul>", "<main>{body}</main>", "<div>{promo}</div><ul>{links}</ul>"),
+    ("<div>{promo}</div><div>{links}</div>", "<div><article>{body}</article></div>", "<div><div>{promo}</div><a href='/all'>All</a> {links}</div><script>t()</script>"),
+    ("<table><tr><td>{links}</td><td>", "{body}", "</td><td>{links}<br>{short}</td></tr></table>"),
+    ("<div><ul>{links}</ul></div><div><a href='/'>Start</a> | <a href='/map'>Map</a></div>", "<div id='text'>{body}</div>", "<div><span>{short}</span><ul>{links}</ul></div><style>a{{}}</style>"),
+    ("<p><a href='/'>Home</a></p><hr>", "{body}", "<hr><p><a href='/'>Home</a> <a href='/top'>Top</a></p><ul>{links}</ul>"),
+)
+
+
+def labelled_pages() -> list[tuple[str, str]]:
+    """Pages with their main text: those written out, and one for each layout and number of paragraphs."""
+    out = list(_WRITTEN)
+    for k, (before, around, after) in enumerate(_LAYOUTS):
+        for paragraphs in (1, 2, 4, 7):
+            links = "".join(f"<li><a href='/{i}'>Topic {i}</a></li>" for i in range(4 + 2 * k))
+            fill = {"links": links, "promo": "<b>Save</b> <a href='/buy'>ten per cent</a> <i>today</i>", "short": "<i>Seen</i> <b>by</b> <u>many</u>"}
+            texts = [f"On matter {k}", *(" ".join(_SENTENCES[(k + p + i) % len(_SENTENCES)] for i in range(1 + p % 3)) for p in range(paragraphs))]
+            body = f"<h1>{texts[0]}</h1>" + "".join(f"<p>{t}</p>" if i % 3 else f"<p><b>{t[:5]}</b>{t[5:]}" for i, t in enumerate(texts[1:]))
+            out.append((f"<html><body>{before.format(**fill)}{around.format(body=body)}{after.format(**fill)}</body></html>", "\n\n".join(texts)))
+    return out
+
+
+def fit_weights(pages: list[tuple[str, str]] | None = None) -> dict[str, float]:
+    """Log likelihood ratio of each kind of token inside and outside the main text of labelled pages."""
     inside, outside = Counter(), Counter()
-    for source, text in pages:
+    for source, text in labelled_pages() if pages is None else pages:
         page, wanted = Page(source), Counter(text.split("\n\n"))
         labels = []
         for k in range(len(page.blocks)):
@@ -189,9 +215,8 @@ def fit_weights(pages: tuple[tuple[str, str], ...] = LABELLED_PAGES) -> dict[str
             wanted[t] -= wanted[t] > 0
         for kind, n, b in page.tokens:
             (inside if labels[b] else outside)[kind] += n
-    odds = {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in KINDS}
-    word = {k: max(odds[k], 0.1) if k in ("word_plain", "word_heading") else min(odds[k], -0.1) for k in KINDS if k.startswith("word")}
-    return word | {k: -min(abs(odds[k]), 0.9 * word["word_plain"]) if k in ("tag_block", "tag_inline") else -max(abs(odds[k]), 0.1) for k in KINDS if k.startswith("tag")}
+    most = [sum(c.values()) + 0.5 * len(KINDS) for c in (inside, outside)]
+    return {k: math.log((inside[k] + 0.5) / most[0]) - math.log((outside[k] + 0.5) / most[1]) for k in KINDS}
 
 
 def main_text(source: str | None, weights: dict[str, float]) -> str:

@@ -219,9 +219,9 @@ def test_hot_signatures_long_sets_and_odd_ids(spark):
 
 
 def test_labelled_pages_come_back(spark):
-    rows = [(i, "u", h, None) for i, (h, _) in enumerate(html.LABELLED_PAGES)] + [(9, "u", None, "x"), (10, "u", "", "x"), (11, "u", "<p>a &lt; b &amp;amp; c<p>", "x")]
+    rows = [(i, "u", h, None) for i, (h, _) in enumerate(html.labelled_pages()[:3])] + [(9, "u", None, "x"), (10, "u", "", "x"), (11, "u", "<p>a &lt; b &amp;amp; c<p>", "x")]
     got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
-    for i, (_, want) in enumerate(html.LABELLED_PAGES):
+    for i, (_, want) in enumerate(html.labelled_pages()[:3]):
         assert got[i].text == want and got[i].n_chars == len(want)
     assert got[9].text == got[10].text == "" and got[11].text == "a < b &amp; c"
 
@@ -234,6 +234,42 @@ def test_unlabelled_page():
     assert html.main_text("<p>" * 2000 + "deep text here", w) == "deep text here"
 
 
+def test_the_stretch_is_the_best_of_all():
+    """The scan against every stretch of random tokens."""
+    rng = random.Random(30)
+    for _ in range(200):
+        page = html.Page("")
+        n = rng.randrange(1, 30)
+        page.tokens = [(rng.choice("abc"), rng.randrange(1, 4), k) for k in range(n)]
+        page.blocks, page.boiler, page.inside = [["x"]] * n, [False] * n, [False] * n
+        weights = {k: rng.uniform(-2, 2) for k in "abc"}
+        score = [weights[k] * m for k, m, _ in page.tokens]
+        best = max(sum(score[i:j]) for i in range(n) for j in range(i + 1, n + 1))
+        kept = page.main(weights)
+        assert (not kept and best <= 0) or abs(sum(score[k] for k in kept) - best) < 1e-9
+
+
+def test_weights_are_learned_and_decide():
+    w = html.fit_weights()
+    assert w["word_plain_alone"] > 0 > w["tag_block"] and w["word_link_alone"] < 0 and w["word_plain_beside"] < 0 < w["word_plain_inside"]
+    pages = html.labelled_pages()
+    held = [html.main_text(h, html.fit_weights([p for p in pages if p[0] != h])) == t for h, t in pages]
+    assert sum(held) >= 0.8 * len(held)  # pages whose last words outside the text are in no link stay contiguous with it
+    signs = {k: 1.0 if k.startswith("word") else -1.0 for k in w}
+    assert sum(html.main_text(h, signs) != t for h, t in pages) > 5
+
+
+def test_articles_headers_and_broken_markup():
+    w = html.fit_weights()
+    two = "<nav><a href=a>N</a></nav><article><h2>One</h2><p>First text of some words here.</p></article><div><a href=x>more</a></div><article><h2>Two</h2><p>Second text that is about as long.</p></article><div>Beside the articles.</div>"
+    assert html.main_text(two, w) == "One\n\nFirst text of some words here.\n\nTwo\n\nSecond text that is about as long."
+    own = "<header><a href=/>Site</a></header><article><header><h1>Title of it</h1></header><div class='widget'>A box that belongs to it.</div><p>Text of it.</p><div class=newsletter>Subscribe!</div><p>End.</p></article>"
+    assert html.main_text(own, w) == "Title of it\n\nA box that belongs to it.\n\nText of it.\n\nEnd."
+    plain = "<div><a href=1>Start</a> <a href=2>Shop</a></div><h1>Bread</h1><div>Mix flour, water and salt, and let it rest.</div><div>Bake it hot.</div><ul><li><a href=3>Ovens</a><li><a href=4>Knives</a></ul>"
+    assert html.main_text(plain, w) == "Bread\n\nMix flour, water and salt, and let it rest.\n\nBake it hot."
+    assert html.main_text("</section>" * 30_000 + "<div>" * 30_000 + "</section>" * 30_000 + "deep words", w) == "deep words"
+
+
 # --- language, toxicity, quality ---
 
 SYLLABLES = {"aa": "the and ing tion er".split(), "bb": "der sch ung ein keit".split(), "cc": "que los ción ado mente".split()}
