@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import drop_saved, join_spread, mix, save, shingle_sets, text_blocks, word_hashes
+from pulsegrid.llm.common import drop_saved, join_spread, keyed, mix, save, shingle_sets, text_blocks, word_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Two-level forms to choose from, (k2, n2); a false partner costs CROWD * SHARED ** (shingles in a projection) rows.
@@ -58,6 +58,8 @@ TEXT_BYTES, FLUSH, SLICE = 1 << 20, 400_000, 2_000_000
 HEAVY = 256
 #: Buckets are compared in blocks of about this many members.
 BLOCK = 2048
+#: At most so many keys (24 bytes each) are broadcast; beyond that both sides are shuffled.
+FEW = 1 << 17
 #: Closest pairs of sets checked for two groups of a bucket, by round.
 TRIES = (1, 16, 1 << 40)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -181,10 +183,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and two keys that are never null: ``_k`` (the id, else a hash of the text) and ``_t`` (a hash of the text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "text", F.coalesce("doc_id", hashed).alias("_k"), hashed.alias("_t"))
+    """doc_id, text, ``_k`` and ``_t``."""
+    return keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -422,28 +422,40 @@ def _sets_of(docs: DataFrame, ids: DataFrame, info: DataFrame, width: int) -> Da
             hit = [i for i, (v, w) in enumerate(zip(vs, wanted, strict=True)) if v == w]
             yield pa.RecordBatch.from_arrays([pa.array([vs[i] for i in hit], pa.int64()), pa.array([sets[i].tobytes() for i in hit], pa.binary())], ["v", "set"])
 
-    rows = ids.join(info.select("v", "_k"), "v").hint("merge")
+    rows = _few(ids.join(info.select("v", "_k"), "v"), "wanted")
     return identified(docs).select("_k", "text").join(rows, "_k").mapInArrow(run, "v long, set binary").dropDuplicates(["v"])
 
 
+def _few(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` stored, to be broadcast where they are at most FEW and shuffled beyond that."""
+    rows = save(rows, name)
+    return F.broadcast(rows) if rows.count() <= FEW else rows.hint("merge")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, checked on the sets themselves."""
+    """The distinct pairs (a, b) whose sets link, checked on the sets themselves: both sets of a pair meet under the pair."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def run(batches):
+        last = None
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                b = batch.slice(k, 64)
                 keep = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for a, b, s in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True):
+                    if last is None or last[:2] != (a, b):
+                        last = (a, b, s)
+                        continue
+                    x, y = np.frombuffer(last[2], np.uint64), np.frombuffer(s, np.uint64)
                     both = np.sort(np.concatenate([x, y]))
                     common = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        keep.append((a, b))
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep, strict=True)], ["a", "b"])
 
-    one = sets.select(F.col("v").alias("a"), F.col("set").alias("x"))
-    two = sets.select(F.col("v").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    ends = _few(pairs.select(F.explode(F.array("a", "b")).alias("v"), "a", "b"), "ends")
+    met = sets.join(ends, "v").select("a", "b", "set").repartition(parts, "a", "b").sortWithinPartitions("a", "b")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _residual(members: DataFrame, stars: DataFrame, info: DataFrame, percent: int, tries: int) -> DataFrame:
@@ -451,17 +463,18 @@ def _residual(members: DataFrame, stars: DataFrame, info: DataFrame, percent: in
 
     Many buckets have the same members: one bucket of each content is compared. A bucket's members outside its
     largest group (blocks of BLOCK) meet all its members (blocks of 8 * BLOCK), each pair of blocks by itself, so
-    what a task holds is bounded. Two groups give their ``tries`` closest pairs per pair of blocks; ``cut`` tells
-    that they have more.
+    what a task holds is bounded. Two groups give their ``tries`` closest pairs per pair of blocks; where they have
+    more, a row names the bucket in ``sig``.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    rooted = members.join(stars, "v", "left").select("sig", "v", F.coalesce("root", "v").alias("root"))
+    root = F.coalesce("root", "v").alias("root")
+    rooted = members.join(stars, "v", "left").select("sig", "v", root)
     part = F.lit(1 << 40)
     each = rooted.groupBy("sig", "root").agg(F.count("*").alias("c"), F.sum(F.pmod(F.xxhash64("v"), part)).alias("h"), F.sum(F.pmod(F.xxhash64("v", F.lit(7)), part)).alias("k"))
     whole = each.groupBy("sig").agg(F.sum("c").alias("_c"), F.max(F.struct("c", "root")).alias("_m"), F.count("*").alias("_g"), F.sum("h").alias("_h"), F.sum("k").alias("_k"))
     mixed = whole.where("_c > 2 AND _g > 1").groupBy("_c", "_h", "_k").agg(F.min(F.struct("sig", F.col("_m.root").alias("top"), (F.col("_c") - F.col("_m.c")).alias("o"))).alias("s"))
     mixed = save(mixed.select("s.sig", "s.top", F.ceil(F.col("s.o") / F.lit(BLOCK)).cast("int").alias("_no"), F.ceil(F.col("_c") / F.lit(8 * BLOCK)).cast("int").alias("_na")), "mixed")
-    rows = rooted.join(mixed, "sig").join(info.select("v", "n", "sketch"), "v")
+    rows = members.join(mixed, "sig").join(info.select("v", "n", "sketch"), "v").join(stars, "v", "left").select("sig", "top", "_no", "_na", "v", root, "n", "sketch")
     deal = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ("v", "root", "n", "sketch")
@@ -475,7 +488,7 @@ def _residual(members: DataFrame, stars: DataFrame, info: DataFrame, percent: in
             out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), 0)
         return out
 
-    def compare(rows: list[tuple]) -> np.ndarray:
+    def compare(rows: list[tuple]) -> tuple[np.ndarray, bool]:
         words = min(len(r[4]) for r in rows) // 8
         sk = folded([r[4] for r in rows], words)
         other, v, root, n = (np.array([r[i] for r in rows], t) for i, t in enumerate((bool, np.int64, np.int64, np.int64)))
@@ -496,34 +509,41 @@ def _residual(members: DataFrame, stars: DataFrame, info: DataFrame, percent: in
         f = np.unique(np.concatenate(found), axis=0)  # by groups, then distance
         turn = np.flatnonzero(np.append(True, (f[1:, :2] != f[:-1, :2]).any(1))) if len(f) else np.zeros(0, np.int64)
         rank = np.arange(len(f)) - np.repeat(turn, np.diff(np.append(turn, len(f))))
-        size = np.repeat(np.diff(np.append(turn, len(f))), np.diff(np.append(turn, len(f))))
-        return np.concatenate([f[:, 3:], (size > tries)[:, None].astype(np.int64)], 1)[rank < tries]
+        return f[rank < tries, 3:], bool((rank >= tries).any())
 
     def run(batches):
-        key, rows, out, size = None, [], [], 0
+        key, rows, out, cut, size = None, [], [], [], 0
 
         def batch() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(out), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], ["a", "b", "cut"])
+            none = [None] * len(cut)
+            cols = [pairs[:, 0].tolist() + none, pairs[:, 1].tolist() + none, [None] * len(pairs) + cut]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "sig"])
+
+        def done() -> None:
+            found, more = compare(rows)
+            out.append(found)
+            if more:
+                cut.append(key[0])
 
         for t in batches:
             for k in range(0, t.num_rows, 4096):
                 for s, o, a, *row in zip(*(c.to_pylist() for c in t.slice(k, 4096).columns), strict=True):
                     if (s, o, a) != key and rows:
-                        out.append(compare(rows))
-                        size += len(out[-1])
+                        done()
+                        size += len(out[-1]) + 1
                         rows = []
                         if size > 1 << 18:
                             yield batch()
-                            out, size = [], 0
+                            out, cut, size = [], [], 0
                     key = (s, o, a)
                     rows.append(row)
         if rows:
-            out.append(compare(rows))
+            done()
         if out:
             yield batch()
 
-    return dealt.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return dealt.mapInArrow(run, "a long, b long, sig long").distinct()
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -559,14 +579,16 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple
         members = save(met.select("sig", "v").distinct(), "members")
     for tries in TRIES:
         found = save(_residual(members, stars, info, percent, tries), "found")
-        more = save(found.join(checked, ["a", "b"], "left_anti").select("a", "b"), "more")
+        more = save(found.where("a IS NOT NULL").join(checked, ["a", "b"], "left_anti").select("a", "b"), "more")
         if not more.isEmpty():
             new = more.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(sets.select("v"), "v", "left_anti")
             sets = sets.unionByName(save(_sets_of(docs, new, info, width), "sets"))
             stars = _closer(stars, _linked(more, sets, percent))
             checked = checked.unionByName(more)
-        if found.where("cut").isEmpty():
+        cut = found.where("sig IS NOT NULL").select("sig")
+        if cut.isEmpty():
             break
+        members = save(members.join(cut.distinct(), "sig", "left_semi"), "members")
     for t in (met, members, sets, checked):
         drop_saved(t)
     grouped = info.join(stars, "v", "left").select("v", "id", F.coalesce("root", "v").alias("root"))
@@ -596,9 +618,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     rooted = join_spread(rows.where("v IS NOT NULL").select("doc_id", "_k", "_t", "v"), found.select("v", "root"), "v")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "_k", "_t")).alias("m")).select("m._k", "m._t")
     first = save(first, "kept")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = F.xxhash64(text)
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), hashed)).withColumn("_t", hashed)
-    wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.where(~wordless).join(first.hint("merge"), ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
-    return kept.unionByName(keyed.where(wordless)).select(*docs.columns)
+    named = keyed(docs)
+    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = named.where(~wordless).join(first.hint("merge"), ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
+    return kept.unionByName(named.where(wordless)).select(*docs.columns)
