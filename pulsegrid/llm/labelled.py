@@ -20,7 +20,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     """(_order, _label, text) of at most ``rows`` labelled training documents, the smallest by a hash of the id.
 
     The sample is the same for any partitioning. Its ids, at most ``rows`` of them, are broadcast, so
-    the documents are read where they lie and only sampled texts go on.
+    the documents are read where they lie and only sampled texts go on, at most ``rows`` also where documents share an id.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (split_of("doc_id", SPLIT) != HELD_OUT))
@@ -28,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
         .orderBy("_order", "_label")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_order", "_label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_order", "_label", "text")
+    return found.orderBy("_order", "_label", F.xxhash64("text")).limit(rows)
 
 
 def fit_once(sampled: DataFrame, fit: Callable[[list[bytes], np.ndarray], bytes]) -> bytes:
@@ -42,7 +43,7 @@ def fit_once(sampled: DataFrame, fit: Callable[[list[bytes], np.ndarray], bytes]
         model = fit([(r[2] or "").encode() for r in rows], np.array([r[1] for r in rows], np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    got = sampled.repartition(1).mapInArrow(one, "model binary").collect()
+    got = sampled.coalesce(1).mapInArrow(one, "model binary").collect()
     return bytes(got[0]["model"]) if got else fit([], np.zeros(0, np.float32))
 
 

@@ -6,7 +6,8 @@ documents (``rows``); per-coordinate rates fit rare and frequent features alike,
 leaves a few thousand weights, which scoring broadcasts.
 
 Defined results: null and empty texts have no feature and score the bias alone; repeated rows score
-alike; without labelled rows every score is 0.5; other columns pass through.
+alike; without labelled rows every score is 0.5; a null id is never learned from and its ``held_out`` is null; other columns
+pass through.
 """
 
 from __future__ import annotations

@@ -393,6 +393,91 @@ def test_junk_is_learned_to_be_junk(spark):
     assert len(got) == 300 + len(ODD) and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_network_equals_a_plain_one():
+    """Scores against loops over windows, gradients against differences, whatever the slices."""
+    o = quality.Options(embedding=2, width=4, stride=2, filters=3, chunk=16, overlap=4)
+    rng = np.random.default_rng(3)
+    p = [rng.normal(0, 0.6, s) for s in quality.shapes(o)]
+    p[0][quality.PAD] = 0
+    texts = [b"", b"a", b"some text of several chunks, and more of it " * 2, b"AAAA!!!! AAAA!!!!"]
+    plain = []
+    for t in texts:
+        rows = []
+        for c in quality.chunks(t, o):
+            found = []
+            for s in range(0, o.chunk - o.width + 1, o.stride):
+                if c[s] != quality.PAD or s == 0:
+                    found.append([max(0.0, float(np.concatenate([p[0][b] for b in c[s : s + o.width]]) @ p[1][:, k] + p[2][k])) for k in range(o.filters)])
+            found = np.array(found)
+            rows.append(np.concatenate([found.max(0), found.mean(0)]))
+        rows = np.array(rows)
+        plain.append(1 / (1 + np.exp(-(np.concatenate([rows.max(0), rows.mean(0)]) @ p[3] + p[4][0]))))
+    model = b"".join(x.astype(np.float32).tobytes() for x in p)
+    assert np.allclose(quality.Scorer(model, o, block=3)(texts), plain, atol=1e-5)
+    parts, labels = [quality.chunks(t, o) for t in texts], np.array([0.0, 1.0, 1.0, 0.0])
+    loss, grads = quality.gradients(parts, labels, p, o)
+    assert all(np.allclose(a, b) for a, b in zip(grads, quality.gradients(parts, labels, p, o, slice_=2)[1], strict=True))
+    for i, x in enumerate(p):
+        for at in rng.permutation(x.size)[:25]:
+            if i == 0 and at // o.embedding == quality.PAD:
+                continue
+            old, step = x.flat[at], 1e-6
+            x.flat[at] = old + step
+            up = quality.gradients(parts, labels, p, o)[0]
+            x.flat[at] = old - step
+            down = quality.gradients(parts, labels, p, o)[0]
+            x.flat[at] = old
+            assert abs((up - down) / (2 * step) - grads[i].flat[at]) < 1e-4
+
+
+def test_ftrl_equals_plain_loops():
+    rng = random.Random(40)
+    texts = [(words(rng, 12, 60) + (" vile rat" if k % 3 == 0 else "")).encode() for k in range(60)]
+    labels = np.array([float(k % 3 == 0) for k in range(60)], np.float32)
+    o = toxicity.Options(bits=16, l1=0.5, epochs=3, min_documents=1)
+    rows = []
+    for t in texts:
+        w = [int(toxicity.WordHashes()[x]) for x in t.split()]
+        rows.append(sorted({int(f) for _, x in toxicity.features([t], toxicity.WordHashes(), o.bits) for f in x}))
+        assert len(rows[-1]) <= 5 * len(w)
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= o.l1 else (np.sign(z[i]) * o.l1 - z[i]) / ((o.beta + np.sqrt(n[i])) / o.alpha + o.l2)
+    order = np.random.default_rng(7)
+    for _ in range(o.epochs):
+        for k in order.permutation(len(rows)):
+            at = [*rows[k], -1]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + np.exp(-sum(w))) - labels[k]
+            for i, x in zip(at, w, strict=True):
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (np.sqrt(before + g * g) - np.sqrt(before)) / o.alpha * x
+                n[i] = before + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    model = np.frombuffer(toxicity.fit(texts, labels, o), [("f", "<i8"), ("w", "<f8")])
+    got = dict(zip(model["f"].tolist(), model["w"].tolist(), strict=True))
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    scores = toxicity.Scorer(model.tobytes(), o.bits)(texts)
+    assert np.allclose(scores, [1 / (1 + np.exp(-sum(want.get(i, 0.0) for i in [*r, -1]))) for r in rows])
+
+
+def test_classifiers_without_ids_labels_or_rows(spark):
+    """Null ids are scored but not learned from, ids that repeat do not exceed the bound, and empty tables give empty ones."""
+    schema = "doc_id long, quality int, toxic int"
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 0, 1), (4, None, None)], schema)
+    d = spark.createDataFrame([(None, "a b c"), (1, "good words"), (1, "good words"), (3, "bad"), (3, None), (4, "")], "doc_id long, text string")
+    for run, label in ((quality.quality, "quality"), (toxicity.toxicity, "toxic")):
+        got = run(d, labels).collect()
+        assert len(got) == 6 and all(0 <= r.score <= 1 for r in got) and [r.held_out for r in got if r.doc_id is None] == [None]
+        assert {r.score for r in run(d, labels.limit(0)).collect()} == {0.5}
+        assert run(d.limit(0), labels).count() == 0
+        from pulsegrid.llm import labelled
+
+        assert labelled.sample(d, labels, label, 2).count() == 2
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    got = langid.language_id(spark.createDataFrame([(None, "some text", "en"), (1, "some text", "en")], "doc_id long, text string, lang string")).collect()
+    assert sorted(str(r.held_out) for r in got) == ["False", "None"] and {r.lang_pred for r in got} == {"en"}
+
+
 def test_chunks_cover_the_whole_text():
     o = quality.Options()
     for n in (0, 1, 255, 256, 257, 480, 481, 5000):
