@@ -44,3 +44,23 @@ def test_run_packs_what_is_left(spark, tables):
     got = corpus_pipeline.run(spark, tables).collect()
     assert {r.doc_id for r in got} == {i for i in range(160) if i % 4} - {101, 102, 5}
     assert all(r.offset + r.length <= 2048 for r in got)
+
+
+def test_odd_rows_and_empty_tables(spark, tables, tmp_path):
+    """Null and repeated ids, null texts, extra columns with clashing names, and empty tables, through all stages."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").first().text
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, base string, v long"
+    rows = [(None, "mail a.b@example.org about it now please"), (None, "mail a.b@example.org about it now please"), (None, item), (4, "one text with some words in it"), (4, "another text of a few words"), (None, None), (5, ""), (6, "one text with some words in it")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "b", 1) for i, t in rows], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        docs = spark.createDataFrame(docs.collect(), schema)
+    got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    assert got == sorted([(None, "mail <email> about it now please"), (4, rows[3][1]), (4, rows[4][1]), (None, None), (5, "")], key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 5
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
