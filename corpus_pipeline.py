@@ -4,6 +4,10 @@ Each stage takes what its predecessor kept and returns a DataFrame; all but the
 of ``documents``. SQL cannot express the stages (a trained classifier, set joins with groups,
 BM25, bootstrapped patterns, a tokenizer), so there is no oracle SQL; tests/llm compares a run with
 brute force.
+
+Defined results of all stages: rows are judged by themselves, so rows with a null or a repeated id are kept, dropped or redacted
+for their own text; a null text is the empty text (and stays null where it is handed on); of rows equal in id and text the second stage
+keeps one, unless they have no word; an empty table gives an empty table; extra columns are handed on.
 """
 
 from __future__ import annotations
@@ -11,21 +15,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import decontam, jaccard, packing, pii, quality
-from pulsegrid.llm.common import read, save
+from pulsegrid.llm.common import drop_saved, read, save
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality.quality(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier accepts; without labels none is rejected."""
+    labels = read(spark, sf_dir, "labels")
+    if labels.where("quality IS NOT NULL").isEmpty():
+        return docs
+    return quality.quality(docs, labels).where("predicted = 1").select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest id; documents without a word stay."""
     return jaccard.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents in which no benchmark item is found."""
     return decontam.without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -35,7 +42,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents with their places in training sequences."""
+    """Pieces of the remaining documents with their places in training sequences; an empty text is a piece of the separator."""
     return packing.pack(docs)
 
 
@@ -54,7 +61,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is a stored table."""
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, name)
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made
+        made = save(made, name)
+        if k:
+            drop_saved(docs)
+        docs = made
