@@ -8,11 +8,11 @@ distribution.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from statistics import median
 
-from pulsegrid.options import LN_CONSTANT, LN_JUMP, EstimatorOptions
+from pulsegrid.options import EstimatorOptions
 
 
 class ObservationError(ValueError):
@@ -119,13 +119,11 @@ def double_time_extras(beats: list[Beat], activity) -> set[int]:
         cur, kept, extra, ok = b, [], [], True
         while cur + 1 < n:
             want = t[cur] + p
-            if want > t[-1] + 0.12 * p:
-                break
-            nxt = [i for i in range(cur + 1, n) if t[i] <= want + 0.12 * p and abs(t[i] - want) <= 0.12 * p]
-            if not nxt:
+            # The last beat on the grid point; a run that ends on an extra beat has none there and does not count.
+            c = bisect_right(t, want + 0.12 * p) - 1
+            if c <= cur or abs(t[c] - want) > 0.12 * p:
                 ok = False
                 break
-            c = nxt[-1]
             middle = (t[cur] + t[c]) / 2
             if any(abs(t[i] - middle) > 0.20 * p for i in range(cur + 1, c)):
                 ok = False
@@ -265,7 +263,7 @@ def build_segments(times, bpm, conf, duration: float, p: EstimatorOptions) -> li
         start = 0.0 if k == 0 else times[a]
         end = duration if k == len(knots) - 2 else times[b]
         c = sum(conf[a : b + 1]) / (b - a + 1)
-        kind = "constant" if abs(math.log(bpm[b] / bpm[a])) <= LN_CONSTANT else "ramp"
+        kind = "constant" if abs(math.log(bpm[b] / bpm[a])) <= math.log1p(p.constant_ratio) else "ramp"
         out.append(Segment(start, end, kind, bpm[a], bpm[b], c))
     return out
 
@@ -294,7 +292,7 @@ def estimate_tempo(o: Observations, p: EstimatorOptions) -> Tempo:
     return Tempo(times, s, conf, build_segments(times, s, conf, o.duration, p), runs, jitter)
 
 
-def transitions(segments: list[Segment]) -> list[tuple[int, int, float, float, float]]:
+def transitions(segments: list[Segment], jump_ratio: float = EstimatorOptions.jump_ratio) -> list[tuple[int, int, float, float, float]]:
     """(first, last, before, after, confidence) of blocks of ramps, short constants bridged."""
     out, i, n = [], 0, len(segments)
     while i < n:
@@ -312,7 +310,7 @@ def transitions(segments: list[Segment]) -> list[tuple[int, int, float, float, f
                 break
         before = segments[i - 1].end_bpm if i else segments[i].start_bpm
         after = segments[j + 1].start_bpm if j + 1 < n else segments[j].end_bpm
-        if abs(math.log(after / before)) >= LN_JUMP:
+        if abs(math.log(after / before)) >= math.log1p(jump_ratio):
             out.append((i, j, before, after, sum(s.conf for s in segments[i : j + 1]) / (j - i + 1)))
         i = j + 1
     return out
@@ -331,11 +329,10 @@ def fit_grid(t: list[float]) -> tuple[float, float, float] | None:
     return period, origin, max(abs(x - (origin + i * period)) for i, x in enumerate(t))
 
 
-def longest_prefix(t: list[float]) -> int | None:
-    """Beats of the longest prefix that a grid fits within 8 % of its period; None if there is none.
+def fitting_prefixes(t: list[float]) -> list[int]:
+    """Lengths of the prefixes that a grid fits within about 8 % of its period, ascending.
 
-    Running sums give the grid of every prefix, the convex hulls of its points the largest error: n log n
-    for all of them. ``fit_grid`` decides on the few that are looked at from the longest down.
+    Running sums give the grid of every prefix, the convex hulls of its points the largest error: n log n for all of them.
     """
     total = weighted = 0.0
     hulls: tuple[list, list] = ([], [])
@@ -357,7 +354,20 @@ def longest_prefix(t: list[float]) -> int | None:
         error = max(_highest(hulls[0], period) - origin, _highest(hulls[1], -period) + origin)
         if error <= 0.08 * period * (1 + 1e-6):
             fits.append(n)
-    return next((n for n in reversed(fits) if (f := fit_grid(t[:n])) and f[2] <= 0.08 * f[0]), None)
+    return fits
+
+
+def on_grid(t: list[float]) -> bool:
+    return bool(f := fit_grid(t)) and f[2] <= 0.08 * f[0]
+
+
+def longest_prefix(t: list[float]) -> int | None:
+    """Beats of the longest prefix that a grid fits; ``fit_grid`` decides on the few that are looked at from the longest down."""
+    return next((n for n in reversed(fitting_prefixes(t)) if on_grid(t[:n])), None)
+
+
+def longest_suffix(t: list[float]) -> int | None:
+    return next((n for n in reversed(fitting_prefixes([-x for x in reversed(t)])) if on_grid(t[-n:])), None)
 
 
 def _slope(a: tuple[int, float], b: tuple[int, float]) -> float:
@@ -386,16 +396,16 @@ def recover_grid(beats: list[Beat], segments: list[Segment], block, p: Estimator
         return None
     left = [b.t for b in beats if segments[i - 1].start <= b.t < start]
     right = [b.t for b in beats if end < b.t <= segments[j + 1].end]
-    lfit = next(((k, f) for k in range(len(left), 5, -1) if (f := fit_grid(left[:k])) and f[2] <= 0.08 * f[0]), None)
-    rfit = next(((k, f) for k in range(len(right) - 5) if (f := fit_grid(right[k:])) and f[2] <= 0.08 * f[0]), None)
-    if not lfit or not rfit:
+    k, m = longest_prefix(left), longest_suffix(right)
+    if not k or not m:
         return None
-    (k, (lp, lo, _)), (m, (rp, ro, _)) = lfit, rfit
+    m = len(right) - m
+    (lp, lo, _), (rp, ro, _) = fit_grid(left[:k]), fit_grid(right[m:])
     if k < len(left):
         start = min(start, (left[k - 1] + left[k]) / 2)
     if m:
         end = max(end, right[m] - rp / 2)
-    if abs(math.log(rp / lp)) < LN_JUMP:
+    if abs(math.log(rp / lp)) < math.log1p(p.jump_ratio):
         return None
     short, long = min(lp, rp), max(lp, rp)
     near = [b.t for b in beats if start - long <= b.t <= end + long]
@@ -409,6 +419,8 @@ def recover_grid(beats: list[Beat], segments: list[Segment], block, p: Estimator
     point = ro
     while point - rp >= start:
         point -= rp
+    while point < start:
+        point += rp
     first = point
     while point <= end and off_left(point) > 0.12 * short:
         point += rp
@@ -416,12 +428,12 @@ def recover_grid(beats: list[Beat], segments: list[Segment], block, p: Estimator
         point = first
     before = [b.t for b in beats if b.t <= point]
     begin = max(before) if before and point - max(before) <= 0.12 * short else point
+    old = [b for b in beats if begin <= b.t <= end]
     new, t = [], point
     while t <= end:
-        close = min(beats, key=lambda b: abs(b.t - t))
-        new.append(Beat(t, close.conf, close.down) if abs(close.t - t) < 0.45 * rp else Beat(t, conf * 0.5, 0.0))
+        close = min(old, key=lambda b: abs(b.t - t), default=None)
+        new.append(Beat(t, close.conf, close.down) if close and abs(close.t - t) < 0.45 * rp else Beat(t, conf * 0.5, 0.0))
         t += rp
-    old = [b for b in beats if begin <= b.t <= end]
     if len(old) == len(new) and all(abs(a.t - b.t) <= 0.08 * rp for a, b in zip(old, new)):
         return None
     return sorted([b for b in beats if not begin <= b.t <= end] + new, key=lambda b: b.t)
@@ -466,14 +478,14 @@ def select_downbeats(o: Observations, p: EstimatorOptions) -> bool:
 
 def find_changes(tempo: Tempo, beats: list[Beat], quiet, p: EstimatorOptions) -> list[Change]:
     """Jumps, transitions, gaps and silences in time order; near repeats keep the strongest."""
-    t, v, s, out = tempo.times, tempo.bpm, tempo.segments, []
+    t, v, s, out, jump = tempo.times, tempo.bpm, tempo.segments, [], math.log1p(p.jump_ratio)
     if len(v) >= 5:
         for i in range(2, len(v) - 2):
             a, b = (v[i - 2] + v[i - 1]) / 2, (v[i] + v[i + 1]) / 2
             r = abs(math.log(b / a))
-            if r >= LN_JUMP:
-                out.append(Change(t[i], "tempo_jump", unit((r - LN_JUMP) / 0.25), a, b))
-    for i, j, before, after, conf in transitions(s):
+            if r >= jump:
+                out.append(Change(t[i], "tempo_jump", unit((r - jump) / 0.25), a, b))
+    for i, j, before, after, conf in transitions(s, p.jump_ratio):
         if i > 0 and j + 1 < len(s) and s[j].end - s[i].start <= p.jump_transition_max_s:
             out.append(Change(s[i].start, "tempo_jump", unit(conf * abs(math.log(after / before)) / 0.25), before, after))
             continue
@@ -540,7 +552,7 @@ def analyze(o: Observations, p: EstimatorOptions = EstimatorOptions()) -> dict:
         whole = [(0.0, o.duration, None, 0.0, len(o.beats))]
         return {"beats": beat_rows(), "global_bpm": None, "hypotheses": [], "curve": [], "segments": [], "changes": [], "sections": whole, "warnings": [*warnings, "too_few_beats_for_tempo_curve"]}
     tempo, recovered = estimate_tempo(o, p), False
-    for block in transitions(tempo.segments):
+    for block in transitions(tempo.segments, p.jump_ratio):
         if (new := recover_grid(o.beats, tempo.segments, block, p)) is not None:
             o.beats, recovered = new, True
     if recovered:

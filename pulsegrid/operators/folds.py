@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from pulsegrid.functions import estimator as e
 from pulsegrid.options import EstimatorOptions, estimator_policy
@@ -31,17 +34,18 @@ def tempo_segments(curve: DataFrame, tracks: DataFrame, o: EstimatorOptions = Es
     return joined.groupBy("track_id").applyInPandas(run, "track_id long, seg long, start_s double, end_s double, kind string, start_bpm double, end_bpm double, confidence double")
 
 
-def segment_transitions(segments: DataFrame) -> DataFrame:
-    """Blocks of ramps, short constants bridged, that change the tempo."""
-    import pandas as pd
-
-    def run(pdf):
-        p = pdf.sort_values("seg")
-        s = [e.Segment(*r) for r in zip(p.start_s, p.end_s, p.kind, p.start_bpm, p.end_bpm, p.confidence)]
-        rows = [(p.track_id.iloc[0], s[i].start, s[j].end, a, b, c) for i, j, a, b, c in e.transitions(s)]
-        return pd.DataFrame(rows, columns="track_id start_s end_s before_bpm after_bpm confidence".split())
-
-    return segments.groupBy("track_id").applyInPandas(run, "track_id long, start_s double, end_s double, before_bpm double, after_bpm double, confidence double")
+def segment_transitions(segments: DataFrame, o: EstimatorOptions = EstimatorOptions()) -> DataFrame:
+    """Blocks of ramps, short constants between two ramps bridged, that change the tempo: islands by windows."""
+    w = Window.partitionBy("track_id").orderBy("seg")
+    ramp = F.col("kind") == "ramp"
+    short = (F.col("end_s") - F.col("start_s")) * (F.col("start_bpm") + F.col("end_bpm")) / 2 / 60 < 6
+    bridge = (F.lag("kind").over(w) == "ramp") & (F.lead("kind").over(w) == "ramp") & short
+    s = segments.withColumns({"inside": ramp | F.coalesce(bridge, F.lit(False)), "prev": F.lag("end_bpm").over(w), "next": F.lead("start_bpm").over(w)})
+    s = s.withColumn("block", F.col("seg") - F.sum(F.col("inside").cast("int")).over(w)).where("inside")
+    first, last = F.min(F.struct("seg", "start_s", F.coalesce("prev", "start_bpm").alias("bpm"))), F.max(F.struct("seg", "end_s", F.coalesce("next", "end_bpm").alias("bpm")))
+    g = s.groupBy("track_id", "block").agg(first.alias("a"), last.alias("b"), F.avg("confidence").alias("confidence"))
+    g = g.select("track_id", "a.start_s", "b.end_s", F.col("a.bpm").alias("before_bpm"), F.col("b.bpm").alias("after_bpm"), "confidence")
+    return g.where(F.abs(F.log(F.col("after_bpm") / F.col("before_bpm"))) >= math.log1p(o.jump_ratio))
 
 
 def repair_runs(gaps: DataFrame, o: EstimatorOptions | None = None) -> DataFrame:
@@ -69,15 +73,15 @@ def repair_jitter(gaps: DataFrame, o: EstimatorOptions = EstimatorOptions()) ->
     return gaps.select("track_id", "idx", "dt", "raw_bpm").groupBy("track_id").applyInPandas(run, "track_id long, idx long, repaired_bpm double")
 
 
-def longest_prefixes(beats: DataFrame) -> DataFrame:
-    """Beats of each track's longest prefix that a grid fits; tracks without one are left out."""
+def longest_fits(beats: DataFrame) -> DataFrame:
+    """Beats of each track's longest prefix and suffix that a grid fits, null for none."""
     import pandas as pd
 
     def run(pdf):
-        n = e.longest_prefix(sorted(pdf.time_s.tolist()))
-        return pd.DataFrame([] if n is None else [(pdf.track_id.iloc[0], n)], columns=["track_id", "longest_prefix"])
+        t = sorted(pdf.time_s.tolist())
+        return pd.DataFrame({"track_id": [pdf.track_id.iloc[0]], "longest_prefix": pd.array([e.longest_prefix(t)], "Int64"), "longest_suffix": pd.array([e.longest_suffix(t)], "Int64")})
 
-    return beats.select("track_id", "time_s").groupBy("track_id").applyInPandas(run, "track_id long, longest_prefix long")
+    return beats.select("track_id", "time_s").groupBy("track_id").applyInPandas(run, "track_id long, longest_prefix long, longest_suffix long")
 
 
 def _observations(p) -> e.Observations:
@@ -119,7 +123,7 @@ def recover_grids(beats: DataFrame, o: EstimatorOptions = EstimatorOptions()) ->
         if len(x.beats) < 3:
             return
         segments = e.estimate_tempo(x, o).segments
-        for block in e.transitions(segments):
+        for block in e.transitions(segments, o.jump_ratio):
             if (new := e.recover_grid(x.beats, segments, block, o)) is not None:
                 x.beats = new
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.options import LN_JUMP, EstimatorOptions
+from pulsegrid.options import EstimatorOptions
 
 OPTIONS = EstimatorOptions()
 
@@ -54,11 +56,10 @@ def context_medians(gaps: DataFrame, value: str = "bounded_bpm", o: EstimatorOpt
 def octave_repair(gaps: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     """A lone value an octave or more off two agreeing contexts becomes their midpoint."""
     with_context = context_medians(gaps, "bounded_bpm", o)
-    edge = LN_JUMP if o.jump_ratio == 0.12 else None
-    edge_ln = F.lit(edge) if edge is not None else F.log1p(F.lit(o.jump_ratio))
+    edge = F.lit(math.log1p(o.jump_ratio))
     left, right, v = F.col("left_median"), F.col("right_median"), F.col("bounded_bpm")
     offset = F.log2(v) - (F.log2(left) + F.log2(right)) / 2
-    agree = F.abs(F.log(left / right)) <= edge_ln
+    agree = F.abs(F.log(left / right)) <= edge
     octave = (F.abs(F.round(offset)) >= 1) & (F.abs(offset - F.round(offset)) <= F.log2(F.lit(1 + o.jump_ratio)))
     hit = F.coalesce(left.isNotNull() & right.isNotNull() & agree & octave, F.lit(False))
     return with_context.withColumn("repaired", hit).withColumn("repaired_bpm", F.when(hit, (left + right) / 2).otherwise(v))
@@ -96,7 +97,7 @@ def tempo_jumps(curve: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     c = curve.select("track_id", "idx", "time_s", "bpm", "confidence", (F.row_number().over(_track("idx")) - 1).alias("k"), n.alias("n"), F.lag("bpm", 1).over(_track("idx")).alias("b1"), F.lag("bpm", 2).over(_track("idx")).alias("b2"), F.lead("bpm", 1).over(_track("idx")).alias("a1"))
     before, after = (F.col("b2") + F.col("b1")) / 2, (F.col("bpm") + F.col("a1")) / 2
     ratio = F.abs(F.log(after / before))
-    return c.where((F.col("n") >= 5) & (F.col("k") >= 2) & (F.col("k") < F.col("n") - 2)).select("track_id", "time_s", before.alias("before_bpm"), after.alias("after_bpm"), clamp((ratio - LN_JUMP) / 0.25).alias("score"), ratio.alias("_r")).where(F.col("_r") >= LN_JUMP).drop("_r")
+    return c.where((F.col("n") >= 5) & (F.col("k") >= 2) & (F.col("k") < F.col("n") - 2)).select("track_id", "time_s", before.alias("before_bpm"), after.alias("after_bpm"), clamp((ratio - math.log1p(o.jump_ratio)) / 0.25).alias("score"), ratio.alias("_r")).where(F.col("_r") >= math.log1p(o.jump_ratio)).drop("_r")
 
 
 def long_gaps(gaps: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:

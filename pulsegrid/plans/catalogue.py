@@ -36,6 +36,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+
+
+_CHANGES = """SELECT recipe_id, (min(start_s) + max(end_s)) / 2 AS time_s, 'rhythm_discontinuity' AS kind FROM (SELECT *, row_number() OVER w - sum(CASE WHEN kind = 'silence' THEN 1 ELSE 0 END) OVER w AS g FROM timeline WINDOW w AS (PARTITION BY recipe_id ORDER BY seg)) WHERE kind = 'silence' GROUP BY recipe_id, g
+    UNION ALL SELECT recipe_id, start_s, CASE WHEN abs(ln(start_bpm / pe)) > 0.009950330853168083::DOUBLE THEN 'tempo_jump' ELSE 'ramp_boundary' END FROM (SELECT *, lag(kind) OVER w AS pk, lag(end_bpm) OVER w AS pe FROM timeline WINDOW w AS (PARTITION BY recipe_id ORDER BY seg))
+    WHERE kind <> 'silence' AND pk <> 'silence' AND (abs(ln(start_bpm / pe)) > 0.009950330853168083::DOUBLE OR (kind = 'linear_ramp') <> (pk = 'linear_ramp'))"""
+
+
+def _deduped(key: str, peaks: str) -> str:
+    """Peaks within one frame of the running mean of their group, as that mean."""
+    return f"""SELECT {key}, emit AS frame FROM (WITH RECURSIVE pk AS (SELECT {key}, list(frame::DOUBLE ORDER BY frame) AS f FROM {peaks} GROUP BY ALL),
+        s AS (SELECT {key}, f, 1 AS i, f[1] AS m, 1 AS n, NULL::DOUBLE AS emit FROM pk UNION ALL SELECT {key}, f, i + 1, CASE WHEN i < len(f) AND f[i+1] - m <= 1 THEN m + (f[i+1] - m) / (n + 1) ELSE f[i+1] END, CASE WHEN i < len(f) AND f[i+1] - m <= 1 THEN n + 1 ELSE 1 END, CASE WHEN i >= len(f) OR f[i+1] - m > 1 THEN m END FROM s WHERE i <= len(f))
+        SELECT {key}, emit FROM s WHERE emit IS NOT NULL)"""
+
+
 # Relations of the oracle side, named as the operators name them.
 _CTE = {
     "beats": """SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
@@ -81,23 +95,37 @@ _CTE = {
     "pgaps": "SELECT recipe_id, idx, time_s + (lead(time_s) OVER w - time_s) / 2 AS mid, 60.0::DOUBLE / (lead(time_s) OVER w - time_s) AS bpm FROM pred WINDOW w AS (PARTITION BY recipe_id ORDER BY time_s)",
     "scored": """SELECT * EXCLUDE (k) FROM (SELECT g.recipe_id, g.idx, g.mid AS time_s, g.bpm, s.start_bpm + (s.end_bpm - s.start_bpm) * ((g.mid - s.start_s) / (s.end_s - s.start_s)) AS truth_bpm, row_number() OVER (PARTITION BY g.recipe_id, g.idx ORDER BY s.start_s) AS k
         FROM (SELECT * FROM pgaps WHERE mid IS NOT NULL) g LEFT JOIN segments s ON g.recipe_id = s.recipe_id AND g.mid >= s.start_s AND g.mid <= s.end_s) WHERE k = 1""",
+    "knots": """SELECT DISTINCT track_id, unnest([a, b]) AS k FROM (WITH RECURSIVE l AS (SELECT track_id, list(time_s ORDER BY time_s) AS t, list(log2(bpm) ORDER BY time_s) AS y FROM curve GROUP BY 1),
+        s AS (SELECT track_id, t, y, 1::BIGINT AS a, len(t) AS b FROM l UNION ALL SELECT track_id, t, y, unnest([a, w.i]), unnest([w.i, b]) FROM (SELECT *, list_max(list_transform(range(a + 1, b), lambda i: {'d': abs(y[i] - (y[a] + (y[b] - y[a]) / (t[b] - t[a]) * (t[i] - t[a]))), 'i': i})) AS w FROM s WHERE b > a + 1 AND t[b] - t[a] > 2.220446049250313e-16) WHERE w.d > 0.04::DOUBLE) SELECT * FROM s)""",
+    "tempo_parts": """SELECT track_id, row_number() OVER w - 1 AS seg, CASE WHEN row_number() OVER w = 1 THEN 0.0::DOUBLE ELSE t[a] END AS start_s, CASE WHEN lead(a) OVER w IS NULL THEN duration_s ELSE t[b] END AS end_s, CASE WHEN abs(ln(v[b] / v[a])) <= ln(1.03::DOUBLE) THEN 'constant' ELSE 'ramp' END AS kind,
+        v[a] AS start_bpm, v[b] AS end_bpm, list_avg(c[a:b]) AS confidence FROM (SELECT track_id, k AS a, coalesce(lead(k) OVER (PARTITION BY track_id ORDER BY k), CASE WHEN count(*) OVER (PARTITION BY track_id) = 1 THEN k END) AS b FROM knots)
+        JOIN (SELECT track_id, list(time_s ORDER BY time_s) AS t, list(bpm ORDER BY time_s) AS v, list(confidence ORDER BY time_s) AS c FROM curve GROUP BY 1) USING (track_id) JOIN tracks USING (track_id) WHERE b IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY a)""",
+    "changes": f"{_CHANGES}",
     "frames": "SELECT vec_id AS track_id, unnest(range(0, len(embedding))) AS frame, unnest(embedding)::DOUBLE * 10 AS logit FROM embeddings",
     "rounded": "SELECT track_id, frame, round(logit) AS logit FROM frames",
     "peaks": "SELECT track_id, frame, logit FROM (SELECT *, max(logit) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM frames) WHERE logit >= top AND logit > 0",
-    "low_peaks": "SELECT track_id, frame, logit FROM (SELECT *, max(logit) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM frames) WHERE logit >= top AND logit > -1",
+    "low_peaks": "SELECT track_id, frame, logit FROM (SELECT *, max(logit) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM frames) WHERE logit >= top AND logit > -3",
+    "upstream": _deduped("track_id", "peaks"),
+    "candidates": _deduped("track_id", "low_peaks"),
+    "midpoints": """SELECT track_id, frame FROM upstream UNION SELECT track_id, c FROM (SELECT *, count(c) OVER (PARTITION BY track_id ORDER BY g ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sup FROM (SELECT g.track_id, g.g, (SELECT arg_min(c.frame, abs(c.frame - (l + r) / 2) * 1000 + c.frame / 1000) FROM candidates c
+        WHERE c.track_id = g.track_id AND c.frame > l + 1 AND c.frame < r - 1 AND r - l > 2 AND abs(c.frame - (l + r) / 2) <= 0.15::DOUBLE * (r - l)) AS c FROM (SELECT track_id, frame AS l, lead(frame) OVER w AS r, row_number() OVER w - 1 AS g FROM upstream WINDOW w AS (PARTITION BY track_id ORDER BY frame)) g WHERE r IS NOT NULL)) WHERE sup >= 3 AND c IS NOT NULL""",
     "ptimes": "SELECT track_id, frame, (frame / 50.0::DOUBLE)::FLOAT::DOUBLE AS time_s FROM peaks",
     "policies": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {r}, {th}::DOUBLE)" for p, r, th, m in DECODER_POLICIES if not m) + ") AS x(policy, radius, threshold)",
+    "decoded": f"{_deduped('policy, track_id', 'policy_peaks')} UNION ALL SELECT 'supported-midpoint', track_id, frame FROM midpoints",
     "policy_peaks": """SELECT p.policy, f.track_id, f.frame FROM (SELECT *, max(logit) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS t3, max(logit) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t1 FROM frames) f
         JOIN policies p ON f.logit > p.threshold AND f.logit >= CASE WHEN p.radius = 3 THEN f.t3 ELSE f.t1 END""",
-    "policy_hits": """SELECT p.policy, p.track_id, count(*) AS n_predicted, count(e.frame) AS matched FROM policy_peaks p LEFT JOIN (SELECT track_id, frame FROM frames WHERE frame % 7 = 3) e ON p.track_id = e.track_id AND p.frame = e.frame GROUP BY ALL""",
+    "policy_hits": """SELECT policy, track_id, len(p) AS n_predicted, max(n) AS matched FROM (WITH RECURSIVE pl AS (SELECT policy, track_id, list((frame / 50.0::DOUBLE)::FLOAT::DOUBLE ORDER BY frame) AS p FROM decoded GROUP BY ALL), el AS (SELECT track_id, list(frame / 50.0::DOUBLE ORDER BY frame) FILTER (frame % 7 = 3) AS e FROM frames GROUP BY 1),
+        s AS (SELECT policy, track_id, 1 AS i, 1 AS j, 0 AS n, p, coalesce(e, []) AS e FROM pl JOIN el USING (track_id)
+        UNION ALL SELECT policy, track_id, CASE WHEN abs(p[i] - e[j]) <= 0.07::DOUBLE OR p[i] < e[j] THEN i + 1 ELSE i END, CASE WHEN abs(p[i] - e[j]) <= 0.07::DOUBLE OR p[i] >= e[j] THEN j + 1 ELSE j END, CASE WHEN abs(p[i] - e[j]) <= 0.07::DOUBLE THEN n + 1 ELSE n END, p, e FROM s WHERE i <= len(p) AND j <= len(e)) SELECT * FROM s) GROUP BY policy, track_id, p""",
     "cases": """SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (SELECT c.policy, c.track_id, coalesce(n_predicted, 0) AS n_predicted, coalesce(matched, 0) AS matched,
         CASE WHEN coalesce(n_predicted, 0) = 0 THEN 1.0::DOUBLE ELSE coalesce(matched, 0) / n_predicted END AS precision, coalesce(matched, 0) / n_expected AS recall, label
-        FROM (SELECT policy, vec_id AS track_id, label, (SELECT count(*) FROM range(0, len(embedding)) x(i) WHERE i % 7 = 3) AS n_expected FROM embeddings CROSS JOIN policies) c LEFT JOIN policy_hits USING (policy, track_id))""",
+        FROM (SELECT policy, vec_id AS track_id, label, (SELECT count(*) FROM range(0, len(embedding)) x(i) WHERE i % 7 = 3) AS n_expected FROM embeddings CROSS JOIN (SELECT policy FROM policies UNION ALL SELECT 'supported-midpoint')) c LEFT JOIN policy_hits USING (policy, track_id))""",
 }
 _NEEDS = {
     "tracks": ["beats"], "activity": ["beats"], "gaps": ["beats"], "context": ["gaps"], "repair": ["context"], "smooth": ["repair"], "curve": ["smooth"], "near": ["activity"], "regions": ["activity", "tracks"],
     "timeline": ["recipes"], "truth_raw": ["timeline"], "truth_beats": ["truth_raw"], "segments": ["timeline"], "pred": ["truth_beats"], "matches": ["pred"], "counts": ["matches"], "metrics": ["counts"], "pgaps": ["pred"],
-    "scored": ["pgaps", "segments"], "rounded": ["frames"], "peaks": ["frames"], "low_peaks": ["frames"], "ptimes": ["peaks"], "policy_peaks": ["frames", "policies"], "policy_hits": ["policy_peaks"], "cases": ["policy_hits"],
+    "scored": ["pgaps", "segments"], "rounded": ["frames"], "peaks": ["frames"], "low_peaks": ["frames"], "ptimes": ["peaks"], "policy_peaks": ["frames", "policies"], "upstream": ["peaks"], "candidates": ["low_peaks"],
+    "midpoints": ["upstream", "candidates"], "decoded": ["policy_peaks", "midpoints"], "policy_hits": ["decoded"], "cases": ["policy_hits"], "knots": ["curve"], "tempo_parts": ["knots", "tracks"], "changes": ["timeline"],
 }
 
 
@@ -352,11 +380,6 @@ def _(s, d):
     return truth.truth_segments(t.recipes(s, d))
 
 
-_CHANGES = """SELECT recipe_id, (min(start_s) + max(end_s)) / 2 AS time_s, 'rhythm_discontinuity' AS kind FROM (SELECT *, row_number() OVER w - sum(CASE WHEN kind = 'silence' THEN 1 ELSE 0 END) OVER w AS g FROM timeline WINDOW w AS (PARTITION BY recipe_id ORDER BY seg)) WHERE kind = 'silence' GROUP BY recipe_id, g
-    UNION ALL SELECT recipe_id, start_s, CASE WHEN abs(ln(start_bpm / pe)) > 0.009950330853168083::DOUBLE THEN 'tempo_jump' ELSE 'ramp_boundary' END FROM (SELECT *, lag(kind) OVER w AS pk, lag(end_bpm) OVER w AS pe FROM timeline WINDOW w AS (PARTITION BY recipe_id ORDER BY seg))
-    WHERE kind <> 'silence' AND pk <> 'silence' AND (abs(ln(start_bpm / pe)) > 0.009950330853168083::DOUBLE OR (kind = 'linear_ramp') <> (pk = 'linear_ramp'))"""
-
-
 @query("truth_changes", sql(f"SELECT recipe_id, round(time_s, 6) AS time_s, kind FROM ({_CHANGES})", "timeline"))
 def _(s, d):
     return truth.truth_changes(t.recipes(s, d))
@@ -459,7 +482,14 @@ def _(s, d):
     return m.select("recipe_id", (F.col("f1") - 0.9).alias("delta_f1"), (F.col("p95_error_ms") - F.col("median_error_ms")).alias("spread_ms"))
 
 
-@query("change_metrics")
+_PAIRED = """WITH RECURSIVE e AS (SELECT recipe_id, kind, time_s, row_number() OVER (PARTITION BY recipe_id ORDER BY time_s, kind) AS j FROM changes), p AS (SELECT recipe_id, kind, time_s, row_number() OVER (PARTITION BY recipe_id ORDER BY time_s, kind) AS i FROM (SELECT recipe_id, kind, time_s + recipe_id % 3 * 0.6::DOUBLE AS time_s FROM changes)),
+    l AS (SELECT recipe_id, list({'d': abs(p.time_s - e.time_s), 'i': i, 'j': j} ORDER BY abs(p.time_s - e.time_s), i, j) AS c FROM p JOIN e USING (recipe_id, kind) WHERE abs(p.time_s - e.time_s) <= 1.0::DOUBLE GROUP BY 1),
+    s AS (SELECT recipe_id, c, 1 AS k, []::BIGINT[] AS pi, []::BIGINT[] AS ej, []::DOUBLE[] AS d FROM l UNION ALL SELECT recipe_id, c, k + 1, CASE WHEN used THEN pi ELSE list_append(pi, x.i) END, CASE WHEN used THEN ej ELSE list_append(ej, x.j) END, CASE WHEN used THEN d ELSE list_append(d, x.d) END
+        FROM (SELECT *, c[k] AS x, list_contains(pi, c[k].i) OR list_contains(ej, c[k].j) AS used FROM s WHERE k <= len(c)))
+    SELECT recipe_id, coalesce(len(d), 0)::BIGINT AS matched, n, list_sort(d) AS d FROM (SELECT recipe_id, count(*) AS n FROM changes GROUP BY 1) LEFT JOIN (SELECT recipe_id, d FROM s WHERE k > len(c)) USING (recipe_id)"""
+
+
+@query("change_metrics", sql(f"SELECT recipe_id, matched, round(matched / n, 6) AS precision, round(matched / n, 6) AS recall, round(d[ceil((matched - 1) * 0.5::DOUBLE)::INT + 1], 6) AS median_offset_s FROM ({_PAIRED})", "changes"))
 def _(s, d):
     e = truth.truth_changes(t.recipes(s, d))
     return scoring.change_metrics(e.withColumn("time_s", F.col("time_s") + F.col("recipe_id") % 3 * 0.6), e, 1.0)
@@ -506,19 +536,14 @@ def _(s, d):
     return signal.snap_downbeats(_downbeat_times(s, d), beats)
 
 
-@query("midpoint_recovery", sql("""SELECT track_id, round(frame::DOUBLE, 6) AS frame FROM peaks UNION SELECT track_id, round(c::DOUBLE, 6) FROM (SELECT *, count(c) OVER (PARTITION BY track_id ORDER BY g ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sup FROM (SELECT g.track_id, g.g, (SELECT min_by(c.frame, abs(c.frame - (l + r) / 2.0) * 1000 + c.frame / 1000.0) FROM low_peaks c
-    WHERE c.track_id = g.track_id AND c.frame > l + 1 AND c.frame < r - 1 AND r - l > 2 AND abs(c.frame - (l + r) / 2.0) <= 0.15 * (r - l)) AS c FROM (SELECT track_id, frame AS l, lead(frame) OVER w AS r, row_number() OVER w - 1 AS g FROM peaks WINDOW w AS (PARTITION BY track_id ORDER BY frame)) g WHERE r IS NOT NULL)) WHERE sup >= 3 AND c IS NOT NULL""", "peaks", "low_peaks"))
+@query("midpoint_recovery", sql("SELECT track_id, round(frame, 6) AS frame FROM midpoints", "midpoints"))
 def _(s, d):
     f = t.frames(s, d)
-    # The SQL's candidates are of radius 1 above -1.
     return signal.recover_midpoints(signal.dedupe_peaks(signal.local_peaks(f)), signal.dedupe_peaks(signal.local_peaks(f, 3, -3.0)))
 
 
 def _cases(s, d):
-    """Every seventh frame is a truth event; each policy's decoded beats match events one to one within the case's 70 ms.
-
-    The SQL of the queries on these cases is an older form: nine policies, no deduplication, matches on the same frame only.
-    """
+    """Every seventh frame is a truth event; each policy's decoded beats match events one to one within the case's 70 ms."""
     f = t.frames(s, d)
     w = Window.partitionBy("track_id").orderBy("frame")
     f = f.withColumn("t3", F.max("logit").over(w.rowsBetween(-3, 3))).withColumn("t1", F.max("logit").over(w.rowsBetween(-1, 1)))
@@ -664,33 +689,51 @@ def _with_activity(s, d):
     return b.join(t.tracks(b), "track_id").join(a, ["track_id", "idx"])
 
 
-def _truth_curve(s, d):
-    p = t.predictions(truth.truth_beats(t.recipes(s, d))).withColumnRenamed("recipe_id", "track_id")
-    b = p.select("track_id", "idx", "time_s", F.lit(1.0).alias("confidence"))
-    return sequence.tempo_curve(sequence.intervals(b)), b.groupBy("track_id").agg((F.max("time_s") + 0.25).alias("duration_s"))
+def _curve_and_tracks(s, d):
+    return _curve(s, d), t.tracks(t.beats(s, d))
 
 
-@query("polyline_knots")
+@query("polyline_knots", sql("SELECT track_id, idx, round(time_s, 6) AS time_s, round(bpm, 6) AS bpm FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY time_s) AS k FROM curve) JOIN knots USING (track_id, k)", "knots"))
 def _(s, d):
-    return folds.polyline_knots(_truth_curve(s, d)[0])
+    return folds.polyline_knots(_curve_and_tracks(s, d)[0])
 
 
-@query("tempo_segments")
+@query("tempo_segments", sql(f"SELECT {rounded('!track_id, !seg, start_s, end_s, !kind, start_bpm, end_bpm, confidence')} FROM tempo_parts", "tempo_parts"))
 def _(s, d):
-    return folds.tempo_segments(*_truth_curve(s, d))
+    return folds.tempo_segments(*_curve_and_tracks(s, d))
+
+
+_BLOCKS = """SELECT track_id, min(start_s) AS start_s, max(end_s) AS end_s, coalesce(min_by(prev_bpm, seg), min_by(start_bpm, seg)) AS before_bpm, coalesce(max_by(next_bpm, seg), max_by(end_bpm, seg)) AS after_bpm, avg(confidence) AS confidence FROM (SELECT *, seg - sum(inside::INT) OVER (PARTITION BY track_id ORDER BY seg) AS g FROM (SELECT *,
+    kind = 'ramp' OR coalesce(lag(kind) OVER w = 'ramp' AND lead(kind) OVER w = 'ramp' AND (end_s - start_s) * (start_bpm + end_bpm) / 2 / 60 < 6, false) AS inside, [lag(end_bpm) OVER w] AS prev_bpm, [lead(start_bpm) OVER w] AS next_bpm FROM tempo_parts WINDOW w AS (PARTITION BY track_id ORDER BY seg))) WHERE inside GROUP BY track_id, g"""
+_BLOCKS = _BLOCKS.replace("min_by(prev_bpm, seg)", "min_by(prev_bpm, seg)[1]").replace("max_by(next_bpm, seg)", "max_by(next_bpm, seg)[1]")
 
 
-@query("segment_transitions")
+@query("segment_transitions", sql(f"SELECT {rounded('!track_id, start_s, end_s, before_bpm, after_bpm, confidence')} FROM ({_BLOCKS}) WHERE abs(ln(after_bpm / before_bpm)) >= ln(1.12::DOUBLE)", "tempo_parts"))
 def _(s, d):
-    return folds.segment_transitions(folds.tempo_segments(*_truth_curve(s, d)))
+    return folds.segment_transitions(folds.tempo_segments(*_curve_and_tracks(s, d)))
 
 
-@query("metrical_run_repair")
+# Positions that start a repair, and how many gaps each covers, from lists per track: later ones begin after earlier ones end.
+_RUNS = """WITH RECURSIVE l AS (SELECT track_id, list(bounded_bpm ORDER BY idx) AS v, list(idx ORDER BY idx) AS x FROM gaps GROUP BY 1),
+    c AS (SELECT track_id, st, sz, list_median(v[greatest(1, st - 2):st]) AS ml, list_median(v[st + sz + 1:st + sz + 3]) AS mr, v[st + 1:st + sz] AS r FROM (SELECT *, unnest(range(1, len(v) - 2)) AS st FROM l) CROSS JOIN (VALUES (2), (3)) z(sz) WHERE sz <= len(v) - st - 1),
+    o AS (SELECT track_id, st, max_by({'sz': sz, 'ml': ml, 'mr': mr}, sz) AS b FROM c WHERE abs(ln(ml / mr)) <= ln(1.12::DOUBLE) AND list_bool_and(list_transform(r, lambda q: abs(round(log2(q) - (log2(ml) + log2(mr)) / 2)) >= 1 AND abs(log2(q) - (log2(ml) + log2(mr)) / 2 - round(log2(q) - (log2(ml) + log2(mr)) / 2)) <= log2(1.12::DOUBLE))) GROUP BY 1, 2),
+    g AS (SELECT track_id, 0::BIGINT AS st, 1::BIGINT AS nxt FROM l UNION ALL SELECT g.track_id, o.st, o.st + o.b.sz FROM g JOIN LATERAL (SELECT * FROM o WHERE o.track_id = g.track_id AND o.st >= g.nxt ORDER BY o.st LIMIT 1) o ON true)
+    SELECT track_id, st + k AS pos, pow(2, log2(b.ml) + (k + 1) / (b.sz + 1) * (log2(b.mr) - log2(b.ml))) AS bpm FROM (SELECT o.*, unnest(range(0, o.b.sz)) AS k FROM g JOIN o USING (track_id, st))"""
+
+
+@query("metrical_run_repair", sql(f"SELECT track_id, idx, round(coalesce(r.bpm, bounded_bpm), 6) AS repaired_bpm FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS pos FROM gaps) LEFT JOIN ({_RUNS}) r USING (track_id, pos)", "gaps"))
 def _(s, d):
     return folds.repair_runs(sequence.intervals(t.beats(s, d)))
 
 
-@query("jitter_repair")
+_JITTER = """WITH RECURSIVE l AS (SELECT track_id, list(dt ORDER BY idx) AS v FROM gaps GROUP BY 1),
+    c AS (SELECT track_id, i, a, list_median(a) AS p, x, y FROM (SELECT track_id, i, list_concat(v[greatest(1, i - 2):i], v[i + 3:i + 5]) AS a, v[i + 1] AS x, v[i + 2] AS y FROM (SELECT *, unnest(range(0, len(v) - 1)) AS i FROM l))),
+    o AS (SELECT track_id, i, (x + y) / 2 AS m FROM c WHERE len(a) >= 2 AND list_bool_and(list_transform(a, lambda q: abs(q / p - 1) <= 0.12::DOUBLE)) AND abs((x + y) / 2 / p - 1) <= 0.12::DOUBLE AND (x - p) * (y - p) < 0 AND abs(x / y - 1) > 0.12::DOUBLE),
+    g AS (SELECT track_id, -1::BIGINT AS i, 0::BIGINT AS nxt, NULL::DOUBLE AS m FROM l UNION ALL SELECT g.track_id, o.i, o.i + 2, o.m FROM g JOIN LATERAL (SELECT * FROM o WHERE o.track_id = g.track_id AND o.i >= g.nxt ORDER BY o.i LIMIT 1) o ON true)
+    SELECT track_id, i + unnest([0, 1]) AS pos, 60 / m AS bpm FROM g WHERE m IS NOT NULL"""
+
+
+@query("jitter_repair", sql(f"SELECT track_id, idx, round(coalesce(r.bpm, raw_bpm), 6) AS repaired_bpm FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS pos FROM gaps) LEFT JOIN ({_JITTER}) r USING (track_id, pos)", "gaps"))
 def _(s, d):
     return folds.repair_jitter(sequence.intervals(t.beats(s, d)))
 
@@ -715,10 +758,24 @@ def _(s, d):
     return sequence.fold_beats(t.beats(s, d), sequence.metrical_level(_near(s, d), sequence.intervals(t.beats(s, d)))).select("track_id", "idx", "time_s")
 
 
-@query("grid_prefix_fit", sql("SELECT track_id, max(n) AS longest_prefix FROM (SELECT e.track_id, e.idx + 1 AS n, max(abs(b.time_s - (o + b.idx * p))) AS err, any_value(p) AS p FROM (SELECT e.track_id, e.idx, regr_slope(b.time_s, b.idx) AS p, regr_intercept(b.time_s, b.idx) AS o FROM beats e JOIN beats b ON b.track_id = e.track_id AND b.idx <= e.idx WHERE e.idx BETWEEN 5 AND 23 GROUP BY ALL) e JOIN beats b ON b.track_id = e.track_id AND b.idx <= e.idx GROUP BY ALL) WHERE p > 0 AND err <= 1.5 * p GROUP BY 1", "beats"))
+def _fits(order: str) -> str:
+    """Longest run of beats, from the first one in ``order`` on, that a grid fits within 8 % of its period."""
+    return f"""SELECT track_id, max(n) AS longest FROM (SELECT track_id, n, any_value(p) AS p, max(abs(time_s - (o + idx * p))) AS err FROM (SELECT e.track_id, e.idx + 1 AS n, b.idx, b.time_s, regr_slope(b.time_s, b.idx) OVER w AS p, regr_intercept(b.time_s, b.idx) OVER w AS o
+        FROM ordered e JOIN ordered b ON b.track_id = e.track_id AND b.idx <= e.idx WHERE e.idx >= 5 WINDOW w AS (PARTITION BY e.track_id, e.idx)) GROUP BY ALL) WHERE p > 0 AND err <= 0.08::DOUBLE * p GROUP BY 1""".replace("ordered", f"(SELECT recipe_id AS track_id, {order} AS time_s, row_number() OVER (PARTITION BY recipe_id ORDER BY {order}) - 1 AS idx FROM truth_beats)")
+
+
+def _grid_beats(s, d):
+    return truth.truth_beats(t.recipes(s, d)).select(F.col("recipe_id").alias("track_id"), "time_s")
+
+
+@query("grid_prefix_fit", sql(f"SELECT track_id, longest AS longest_prefix FROM ({_fits('time_s')})", "truth_beats"))
+def _(s, d):
+    return folds.longest_fits(_grid_beats(s, d)).where("longest_prefix IS NOT NULL").select("track_id", "longest_prefix")
+
+
+@query("grid_suffix_fit", sql(f"SELECT track_id, longest AS longest_suffix FROM ({_fits('-time_s')})", "truth_beats"))
 def _(s, d):
-    """Longest prefix of each recipe's truth beats that a grid fits within 8 % of its period; the SQL is an older, capped form."""
-    return folds.longest_prefixes(truth.truth_beats(t.recipes(s, d)).select(F.col("recipe_id").alias("track_id"), "time_s"))
+    return folds.longest_fits(_grid_beats(s, d)).where("longest_suffix IS NOT NULL").select("track_id", "longest_suffix")
 
 
 @query("all_changes", sql("SELECT track_id, round(time_s, 6) AS time_s, kind FROM (SELECT track_id, time_s + dt / 2 AS time_s, 'gap' AS kind FROM gaps JOIN (SELECT track_id, median(dt) AS m FROM gaps GROUP BY 1) USING (track_id) WHERE dt > 1 AND dt > 3.5 * m UNION ALL SELECT track_id, (start_s + end_s) / 2, 'silence' FROM regions)", "gaps", "regions"))

@@ -25,7 +25,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["tempo_curve", "tempo_hypotheses", "silence_anti_join", "nearest_activity", "change_dedup", "rhythm_sections", "tempo_metrics", "beat_metrics", "peak_dedup", "midpoint_recovery", "decoder_sweep", "asset_resolve"])
+@pytest.mark.parametrize("name", ["tempo_curve", "tempo_hypotheses", "silence_anti_join", "nearest_activity", "change_dedup", "rhythm_sections", "tempo_metrics", "beat_metrics", "peak_dedup", "midpoint_recovery", "decoder_cases", "decoder_sweep", "tag_slices", "policy_oracle", "policy_comparison", "asset_resolve", "grid_prefix_fit", "grid_suffix_fit", "polyline_knots", "tempo_segments", "segment_transitions", "metrical_run_repair", "jitter_repair", "change_metrics"])
 def test_query_equals_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
@@ -46,6 +46,8 @@ def test_grid_prefixes_of_whole_tracks(spark, duck):
     want = {k: max(v) for k, v in fits.items() if v}
     assert max(want.values()) > 24
     assert {r.track_id: r.longest_prefix for r in catalogue.QUERIES["grid_prefix_fit"](spark, DIR).collect()} == want
+    back = {k: max((n for n in range(6, len(v) + 1) if (f := e.fit_grid(v[-n:])) and f[2] <= 0.08 * f[0]), default=None) for k, v in times.items()}
+    assert {r.track_id: r.longest_suffix for r in catalogue.QUERIES["grid_suffix_fit"](spark, DIR).collect()} == {k: n for k, n in back.items() if n}
     jump = [k / 2 for k in range(60)] + [30.25 + k for k in range(5)]
     assert e.longest_prefix(jump[:60]) == 60 and e.longest_prefix(jump) == 60
     assert e.longest_prefix([2.0**k for k in range(9)]) is None
