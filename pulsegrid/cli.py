@@ -1,75 +1,115 @@
-"""Commands: eval, model-verify, audio-inspect, render, score, analyze."""
+"""Commands: eval, eval-backend, score, render, decoder-sweep, decoder-eval, decoder-recoverability, dataset-install, model-verify, audio-inspect.
+
+A suite is a manifest file, or a directory of recipes under the default thresholds. No model comes with this library: ``eval-backend``
+takes any class with ``observe``, and the decoder commands read frame logits (case_id, frame, logit) from Parquet.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.synthesis import render
-from pulsegrid.operators import scoring, truth
-from pulsegrid.plans import analysis
+from pulsegrid.operators import scoring
+from pulsegrid.options import DECODER_POLICIES
+from pulsegrid.plans import analysis, decoding, suites
 from pulsegrid.sources import audio, manifests
 
 
-def evaluate_recipes(spark: SparkSession, recipes_path: str, policy: str, min_f1: float):
-    """The oracle path: recipes to ideal observations to analyses to metrics and a verdict."""
-    r = manifests.load_recipes(spark, recipes_path)
-    t = truth.truth_beats(r)
-    ids = r.select("recipe_id").distinct().withColumn("track_id", F.xxhash64("recipe_id"))
-    span = r.groupBy("recipe_id").agg(F.sum("duration_s").alias("duration_s"))
-    a = analysis.analyze_tracks(truth.ideal_observations(t).join(span, "recipe_id").join(ids, "recipe_id"), policy)
-    named = lambda df: df.join(ids, "track_id")
-    beats = scoring.beat_metrics(scoring.match_events(named(analysis.part(a, "beats")), t, 0.07))
-    curve = named(analysis.part(a, "curve")).select("recipe_id", "time_s", "bpm")
-    tempo = scoring.tempo_metrics(truth.tempo_at(curve, truth.truth_segments(r)))
-    changes = scoring.change_metrics(named(analysis.part(a, "changes")), truth.truth_changes(r), 1.0).select("recipe_id", F.col("recall").alias("change_recall"))
-    m = beats.join(tempo, "recipe_id", "left").join(changes, "recipe_id", "left").withColumn("downbeat_f1", F.lit(1.0)).withColumn("change_recall", F.coalesce("change_recall", F.lit(1.0)))
-    gates = {"min_beat_f1": min_f1, "min_downbeat_f1": 0.0, "max_median": 5.0, "max_p95": 15.0, "min_change_recall": 0.5}
-    return scoring.verdicts(m.withColumns({k: F.lit(v) for k, v in gates.items()}))
+def open_suite(spark: SparkSession, path: str, min_f1: float | None = None) -> suites.Suite:
+    return suites.open_suite(spark, path) if path.endswith(".json") else suites.open_recipes(spark, path, **({} if min_f1 is None else {"min_beat_f1": min_f1}))
+
+
+def _decoder_inputs(spark: SparkSession, a, holdout: bool) -> tuple[suites.Suite, DataFrame, DataFrame, DataFrame]:
+    """The suite, its frames and events by track, and tolerances; tuning commands are for calibration suites."""
+    s = open_suite(spark, a.suite)
+    if a.suite.endswith(".json"):
+        manifests.purpose_gate(s.cases, holdout)
+    suites.require_beats(s, a.command)
+    frames = spark.read.parquet(a.logits).join(s.tracks(), "case_id").select("track_id", "frame", "logit")
+    suites._demand_none(s.tracks().join(frames, "track_id", "left_anti").select("case_id"), "no logits of")
+    return s, frames, s.beats.join(s.tracks(), "case_id").select("track_id", "time_s"), s.limits("beat_tolerance_ms", 0.001).join(s.tracks(), "case_id").select("track_id", "tolerance")
+
+
+def _named(s: suites.Suite, df: DataFrame) -> DataFrame:
+    return df.join(s.tracks(), "track_id").drop("track_id")
+
+
+def _scored(s: suites.Suite, scores: DataFrame) -> DataFrame:
+    return _named(s, scores).join(s.cases.select("case_id", "tags", F.col("thresholds.min_beat_f1").alias("least")), "case_id").withColumn("passed", F.col("f1") >= F.col("least")).drop("least")
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="pulsegrid", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    e = sub.add_parser("eval")
-    e.add_argument("recipes")
-    e.add_argument("report")
+
+    def command(name: str, *places: str, gate: bool = False) -> argparse.ArgumentParser:
+        c = sub.add_parser(name)
+        for x in places:
+            c.add_argument(x)
+        if gate:
+            c.add_argument("--no-fail", action="store_true")
+        return c
+
+    e = command("eval", "suite", "report", gate=True)
     e.add_argument("--policy", default="default", choices=analysis.policies())
-    e.add_argument("--min-f1", type=float, default=0.99)
-    e.add_argument("--no-fail", action="store_true")
-    v = sub.add_parser("model-verify")
-    v.add_argument("manifest")
-    v.add_argument("root")
-    i = sub.add_parser("audio-inspect")
-    i.add_argument("directory")
-    r = sub.add_parser("render")
-    r.add_argument("recipes")
-    r.add_argument("out")
+    e.add_argument("--min-f1", type=float, help="for directories of recipes")
+    b = command("eval-backend", "suite", "report", gate=True)
+    b.add_argument("--backend", default="pulsegrid.engine:OnsetBackend", help="module:class")
+    b.add_argument("--policy", default="default", choices=analysis.policies())
+    b.add_argument("--audio-dir")
+    b.add_argument("--model-pack")
+    b.add_argument("--model-dir")
+    command("score", "suite", "predictions", "report", gate=True)
+    command("render", "suite", "output")
+    command("decoder-sweep", "suite", "logits", "report")
+    command("decoder-eval", "suite", "logits", "policy", "report", gate=True)
+    command("decoder-recoverability", "suite", "logits", "report")
+    d = command("dataset-install", "lock", "mirror", "output")
+    d.add_argument("--with-annotations", action="store_true")
+    command("model-verify", "manifest", "root")
+    command("audio-inspect", "path")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "eval":
-        return manifests.write_report(evaluate_recipes(spark, a.recipes, a.policy, a.min_f1), a.report, a.no_fail)
+        return manifests.write_report(suites.report(suites.evaluate_core(open_suite(spark, a.suite, a.min_f1), a.policy)), a.report, a.no_fail)
+    if a.command == "score":
+        return manifests.write_report(suites.report(suites.score_predictions(open_suite(spark, a.suite), a.predictions)), a.report, a.no_fail)
+    if a.command == "eval-backend":
+        if a.model_pack:
+            suites._demand_none(manifests.model_pack_violations(spark, a.model_pack, a.model_dir), "model pack")
+            suites._demand_none(manifests.feature_contract(spark, a.model_pack).where("NOT supported").select("id"), "feature contract of")
+        module, _, name = a.backend.partition(":")
+        cases, verdict = suites.evaluate_backend(open_suite(spark, a.suite), getattr(importlib.import_module(module), name)(), a.policy, a.audio_dir)
+        return manifests.write_report(verdict.crossJoin(suites.report(cases).drop("passed")), a.report, a.no_fail)
+    if a.command == "render":
+        suites.render_suite(open_suite(spark, a.suite), a.output)
+        return 0
+    if a.command in ("decoder-sweep", "decoder-eval"):
+        one = a.command == "decoder-eval"
+        chosen = [x for x in DECODER_POLICIES if not one or x[0] == a.policy]
+        if not chosen:
+            p.error(f"unknown decoder policy {a.policy!r}")
+        s, frames, events, within = _decoder_inputs(spark, a, one)
+        cases = _scored(s, decoding.policy_scores(frames, events, within, chosen))
+        means, slices = scoring.candidate_means(cases), scoring.slice_means(cases).groupBy("policy").agg(F.sort_array(F.collect_list(F.struct("tag", "mean_f1", "mean_recall", "n_cases"))).alias("slices"))
+        return manifests.write_report(means.join(slices, "policy", "left"), a.report, not one or a.no_fail)
+    if a.command == "decoder-recoverability":
+        s, frames, events, within = _decoder_inputs(spark, a, False)
+        _named(s, decoding.recoverability(frames, events, within)).write.mode("overwrite").json(a.report)
+        return 0
+    if a.command == "dataset-install":
+        bad = manifests.install_assets(spark, a.lock, a.mirror, a.output, a.with_annotations)
+        bad.show(truncate=False)
+        return int(not bad.isEmpty())
     if a.command == "model-verify":
         bad = manifests.model_pack_violations(spark, a.manifest, a.root)
         bad.show(truncate=False)
         return int(not bad.isEmpty())
-    if a.command == "audio-inspect":
-        audio.scan_audio(spark, a.directory).select("path", "length", "sha256").show(truncate=False)
-        return 0
-    rec = manifests.load_recipes(spark, a.recipes)
-    span = rec.groupBy("recipe_id").agg(F.sum("duration_s").alias("duration_s"), F.first("sample_rate").alias("rate"), F.first("audio_profile").alias("profile"))
-    lists = truth.truth_beats(rec).groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("time_s", "downbeat"))).alias("beats")).join(span, "recipe_id")
-
-    def write(rows) -> None:
-        from pathlib import Path
-
-        for x in rows:
-            Path(a.out, f"{x.recipe_id}.wav").write_bytes(audio.encode_wav(render([tuple(b) for b in x.beats], x.duration_s, x.rate, x.profile), x.rate))
-
-    lists.foreachPartition(write)
+    audio.inspect_audio(spark, a.path).show(truncate=False)
     return 0
 
 

@@ -21,7 +21,14 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), (F.ceil((n - 1) * q) + 1).cast("int")))
 
 
-def match_events(predicted: DataFrame, expected: DataFrame, tolerance: float, key: str = "recipe_id") -> DataFrame:
+def _limits(both: DataFrame, tolerance: float | DataFrame, key: str) -> DataFrame:
+    """``both`` with the tolerance of each key: one for all, or a table (key, tolerance)."""
+    if isinstance(tolerance, DataFrame):
+        return both.join(tolerance.select(key, F.col("tolerance").alias("_within")), key)
+    return both.withColumn("_within", F.lit(float(tolerance)))
+
+
+def match_events(predicted: DataFrame, expected: DataFrame, tolerance: float | DataFrame, key: str = "recipe_id") -> DataFrame:
     """key, pairs: greedy one-to-one matches of two ordered lists, both advanced on a match.
 
     A native fold over each key's arrays; both sides meet on one shuffle by key.
@@ -32,10 +39,10 @@ def match_events(predicted: DataFrame, expected: DataFrame, tolerance: float, ke
     fold = F.expr(
         "aggregate(sequence(0, size(p) + size(e)), named_struct('i', 0, 'j', 0, 'm', CAST(array() AS array<struct<i:int,j:int>>)), (s, k) -> "
         "CASE WHEN s.i >= size(p) OR s.j >= size(e) THEN s "
-        f"WHEN abs(p[s.i] - e[s.j]) <= {tolerance!r}D THEN named_struct('i', s.i + 1, 'j', s.j + 1, 'm', array_append(s.m, named_struct('i', s.i, 'j', s.j))) "
+        "WHEN abs(p[s.i] - e[s.j]) <= _within THEN named_struct('i', s.i + 1, 'j', s.j + 1, 'm', array_append(s.m, named_struct('i', s.i, 'j', s.j))) "
         "WHEN p[s.i] < e[s.j] THEN named_struct('i', s.i + 1, 'j', s.j, 'm', s.m) ELSE named_struct('i', s.i, 'j', s.j + 1, 'm', s.m) END, s -> s.m)"
     )
-    return both.withColumn("pairs", fold)
+    return _limits(both, tolerance, key).withColumn("pairs", fold).drop("_within")
 
 
 def beat_metrics(matches: DataFrame, key: str = "recipe_id") -> DataFrame:
@@ -53,7 +60,7 @@ def tempo_metrics(points: DataFrame, key: str = "recipe_id") -> DataFrame:
     return t.select(key, F.size("err").cast("long").alias("n_points"), nearest_rank(F.col("err"), 0.5).alias("median_error_percent"), nearest_rank(F.col("err"), 0.95).alias("p95_error_percent"))
 
 
-def change_metrics(predicted: DataFrame, expected: DataFrame, tolerance: float, key: str = "recipe_id") -> DataFrame:
+def change_metrics(predicted: DataFrame, expected: DataFrame, tolerance: float | DataFrame, key: str = "recipe_id") -> DataFrame:
     """One-to-one matches of same-kind changes, nearest first; ties by predicted then expected order."""
     item = F.struct("time_s", "kind")
     p = predicted.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("p"))
@@ -61,28 +68,29 @@ def change_metrics(predicted: DataFrame, expected: DataFrame, tolerance: float,
     both = e.join(p, key, "full").select(key, F.coalesce("p", F.expr("CAST(array() AS array<struct<time_s:double,kind:string>>)")).alias("p"), F.coalesce("e", F.expr("CAST(array() AS array<struct<time_s:double,kind:string>>)")).alias("e"))
     close = F.expr(
         "array_sort(flatten(transform(p, (x, i) -> transform(filter(transform(e, (y, j) -> named_struct('d', abs(x.time_s - y.time_s), 'i', i, 'j', j, 'same', x.kind = y.kind)), "
-        f"z -> z.same AND z.d <= {tolerance!r}D), z -> named_struct('d', z.d, 'i', z.i, 'j', z.j)))))"
+        "z -> z.same AND z.d <= _within), z -> named_struct('d', z.d, 'i', z.i, 'j', z.j)))))"
     )
     fold = F.expr(
         "aggregate(close, named_struct('pi', CAST(array() AS array<int>), 'ej', CAST(array() AS array<int>), 'd', CAST(array() AS array<double>)), (s, c) -> "
         "CASE WHEN array_contains(s.pi, c.i) OR array_contains(s.ej, c.j) THEN s "
         "ELSE named_struct('pi', array_append(s.pi, c.i), 'ej', array_append(s.ej, c.j), 'd', array_append(s.d, c.d)) END)"
     )
-    r = both.withColumn("close", close).withColumn("m", fold)
+    r = _limits(both, tolerance, key).withColumn("close", close).withColumn("m", fold)
     n, np_, ne = F.size("m.d"), F.size("p"), F.size("e")
     return r.select(key, n.cast("long").alias("matched"), safe_ratio(n, np_).alias("precision"), safe_ratio(n, ne).alias("recall"), nearest_rank(F.col("m.d"), 0.5).alias("median_offset_s"))
 
 
 def verdicts(metrics: DataFrame) -> DataFrame:
-    """Failed gates of each case: five thresholds, all named when they fail."""
+    """Failed gates of each case: five thresholds, all named when they fail; without tempo points both tempo gates do."""
     m = metrics
+    none = F.lit("tempo curve has no scorable points")
+    error = lambda what, c, top: F.when(F.col(c).isNull(), none).when(F.col(c) > F.col(top), F.format_string(f"{what} tempo error %.3f%% exceeds %.3f%%", c, top))
+    below = lambda what, c, low: F.when(F.col(c) < F.col(low), F.format_string(f"{what} %.4f is below %.4f", c, low))
     checks = [
-        F.when(F.col("f1") < F.col("min_beat_f1"), F.format_string("beat F1 %.4f is below %.4f", "f1", "min_beat_f1")),
-        F.when(F.col("downbeat_f1") < F.col("min_downbeat_f1"), F.format_string("downbeat F1 %.4f is below %.4f", "downbeat_f1", "min_downbeat_f1")),
-        F.when(F.col("median_error_percent").isNull(), F.lit("no scorable tempo points")).when(F.col("median_error_percent") > F.col("max_median"), F.format_string("median tempo error %.4f exceeds %.4f", "median_error_percent", "max_median")),
-        F.when(F.col("p95_error_percent") > F.col("max_p95"), F.format_string("P95 tempo error %.4f exceeds %.4f", "p95_error_percent", "max_p95")),
-        F.when(F.col("change_recall") < F.col("min_change_recall"), F.format_string("change recall %.4f is below %.4f", "change_recall", "min_change_recall")),
-    ]
+        below("beat F1", "f1", "min_beat_f1"), below("downbeat F1", "downbeat_f1", "min_downbeat_f1"),
+        error("median", "median_error_percent", "max_median"), error("p95", "p95_error_percent", "max_p95"),
+        below("change recall", "change_recall", "min_change_recall"),
+    ]
     return m.withColumn("failures", F.array_compact(F.array(*checks))).withColumn("passed", F.size("failures") == 0)
 
 
@@ -117,3 +125,18 @@ def compare(baseline: DataFrame, candidate: DataFrame, key: str = "track_id") ->
     j = baseline.select(key, F.col("f1").alias("baseline_f1")).join(candidate.select(key, F.col("f1").alias("candidate_f1")), key)
     d = F.col("candidate_f1") - F.col("baseline_f1")
     return j.withColumn("delta_f1", d).withColumn("outcome", F.when(d > 0, "improved").when(d < 0, "regressed").otherwise("unchanged"))
+
+
+def metric_delta(oracle: DataFrame, end_to_end: DataFrame, key: str = "case_id") -> DataFrame:
+    """End-to-end metrics less those of ideal observations, per case of both; null where either has none."""
+    names = ("f1", "downbeat_f1", "median_error_percent", "p95_error_percent", "change_recall")
+    o = oracle.select(key, *[F.col(c).alias(f"_{c}") for c in names])
+    return end_to_end.join(o, key).select(key, *[(F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in names])
+
+
+def suite_attribution(oracle: DataFrame, end_to_end: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row: where a suite's failures come from, from its cases' ``passed`` with ideal and with real observations."""
+    both = end_to_end.select(key, "passed").join(oracle.select(key, F.col("passed").alias("ideal")), key, "left")
+    g = both.agg(F.coalesce(F.bool_and("ideal"), F.lit(True)).alias("oracle_passed"), F.bool_or(F.col("ideal").isNull()).alias("unpaired"), F.bool_and("passed").alias("end_to_end_passed"))
+    where = F.when(~F.col("oracle_passed"), "deterministic_estimator").when(F.col("unpaired"), "end_to_end_only").when(~F.col("end_to_end_passed"), "observation_path").otherwise("no_measured_bottleneck")
+    return g.select((F.col("oracle_passed") & F.col("end_to_end_passed")).alias("passed"), where.alias("attribution"))

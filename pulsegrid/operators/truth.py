@@ -20,7 +20,10 @@ def timeline(recipes: DataFrame) -> DataFrame:
 
 
 def truth_beats(recipes: DataFrame, beats_per_bar: int = 4) -> DataFrame:
-    """recipe_id, beat_index, time_s, downbeat: beats at whole phases of each segment, none in silence."""
+    """recipe_id, beat_index, time_s, downbeat: beats at whole phases of each segment, none in silence.
+
+    A column ``beats_per_bar`` of the recipes goes before the argument.
+    """
     t = timeline(recipes).where("kind <> 'silence'")
     mean = F.col("duration_s") * (F.col("start_bpm") + F.col("end_bpm")) / 120
     t = t.select("*", F.explode(F.sequence(F.lit(0), F.floor(mean).cast("int"))).alias("k"))
@@ -29,10 +32,11 @@ def truth_beats(recipes: DataFrame, beats_per_bar: int = 4) -> DataFrame:
     at = F.when((F.col("kind") == "linear_ramp") & (F.col("start_bpm") != F.col("end_bpm")), ramp).otherwise(60.0 * F.col("k") / F.col("start_bpm"))
     t = t.withColumn("at", at).where(F.col("at") < F.col("duration_s") - 1e-9)
     order = Window.partitionBy("recipe_id").orderBy("seg", "k")
-    t = t.select("recipe_id", (F.row_number().over(order) - 1).cast("long").alias("beat_index"), (F.col("start_s") + F.col("at")).alias("time_s"))
+    bar = F.col("beats_per_bar") if "beats_per_bar" in recipes.columns else F.lit(beats_per_bar)
+    t = t.select("recipe_id", (F.row_number().over(order) - 1).cast("long").alias("beat_index"), (F.col("start_s") + F.col("at")).alias("time_s"), bar.alias("bar"))
     prev = F.lag("time_s").over(Window.partitionBy("recipe_id").orderBy("beat_index"))
     t = t.withColumn("prev", prev).where(F.col("prev").isNull() | (F.abs(F.col("time_s") - F.col("prev")) > 1e-9)).drop("prev")
-    return t.withColumn("downbeat", F.col("beat_index") % beats_per_bar == 0)
+    return t.withColumn("downbeat", F.col("beat_index") % F.col("bar") == 0).drop("bar")
 
 
 def truth_segments(recipes: DataFrame) -> DataFrame:

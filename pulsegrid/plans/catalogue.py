@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import folds, scoring, sequence, signal, truth
 from pulsegrid.options import DECODER_POLICIES, EstimatorOptions
-from pulsegrid.plans import analysis
+from pulsegrid.plans import analysis, decoding
 from pulsegrid.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,7 +447,7 @@ def _(s, d):
     return m.agg(F.bool_and(F.col("f1") >= 0.5).alias("passed"), F.count("*").alias("n_cases"), F.count_if(F.col("f1") < 0.805).alias("n_low"), F.avg("f1").alias("mean_f1"))
 
 
-_V = """SELECT recipe_id, CASE WHEN f1 < 0.88::DOUBLE THEN 1 ELSE 0 END + CASE WHEN med IS NULL OR med > 9 THEN 1 ELSE 0 END + CASE WHEN p95 > 30 THEN 1 ELSE 0 END AS n_failures, f1 FROM metrics LEFT JOIN (SELECT recipe_id, e[ceil((len(e) - 1) * 0.5::DOUBLE)::INT + 1] AS med, e[ceil((len(e) - 1) * 0.95::DOUBLE)::INT + 1] AS p95
+_V = """SELECT recipe_id, CASE WHEN f1 < 0.88::DOUBLE THEN 1 ELSE 0 END + CASE WHEN med IS NULL OR med > 9 THEN 1 ELSE 0 END + CASE WHEN p95 IS NULL OR p95 > 30 THEN 1 ELSE 0 END AS n_failures, f1 FROM metrics LEFT JOIN (SELECT recipe_id, e[ceil((len(e) - 1) * 0.5::DOUBLE)::INT + 1] AS med, e[ceil((len(e) - 1) * 0.95::DOUBLE)::INT + 1] AS p95
     FROM (SELECT recipe_id, list_sort(list(abs(bpm - truth_bpm) / truth_bpm * 100)) AS e FROM scored WHERE truth_bpm IS NOT NULL GROUP BY 1)) USING (recipe_id)"""
 
 
@@ -545,24 +545,8 @@ def _(s, d):
 def _cases(s, d):
     """Every seventh frame is a truth event; each policy's decoded beats match events one to one within the case's 70 ms."""
     f = t.frames(s, d)
-    w = Window.partitionBy("track_id").orderBy("frame")
-    f = f.withColumn("t3", F.max("logit").over(w.rowsBetween(-3, 3))).withColumn("t1", F.max("logit").over(w.rowsBetween(-1, 1)))
-    rules = F.array(*[F.when((F.col("logit") > th) & (F.col("logit") >= F.col("t3" if r == 3 else "t1")), p) for p, r, th, m in DECODER_POLICIES if not m])
-    peaks = f.select("track_id", F.explode(F.array_compact(rules)).alias("policy"), "frame")
-    case = F.struct("policy", "track_id")
-    beats = signal.dedupe_peaks(peaks.select(case.alias("track_id"), "frame")).select("track_id.policy", "track_id.track_id", "frame")
-    for p, r, th, m in DECODER_POLICIES:
-        if m:
-            upstream, candidates = signal.dedupe_peaks(signal.local_peaks(t.frames(s, d), r, th)), signal.dedupe_peaks(signal.local_peaks(t.frames(s, d), 3, -3.0))
-            beats = beats.unionByName(signal.recover_midpoints(upstream, candidates).select(F.lit(p).alias("policy"), "track_id", "frame"))
-    names = F.explode(F.array(*[F.lit(p) for p, *_ in DECODER_POLICIES]))
-    events = t.frames(s, d).where("frame % 7 = 3").select("track_id", "frame", names.alias("policy"))
-    predicted = beats.select(case.alias("case"), signal.frame_time(F.col("frame")).alias("time_s"))
-    matches = scoring.match_events(predicted, events.select(case.alias("case"), (F.col("frame") / 50.0).alias("time_s")), 0.07, "case")
-    m = scoring.beat_metrics(matches, "case").select("case.policy", "case.track_id", "n_predicted", "n_expected", "matched", "precision", "recall", "f1")
-    labels = t.table(s, d, "embeddings").select(F.col("vec_id").alias("track_id"), "label").withColumn("policy", names)
-    # A case with neither beats nor events is nothing out of nothing.
-    c = labels.join(m, ["policy", "track_id"], "left").fillna(0, ["n_predicted", "n_expected", "matched"]).fillna(1.0, ["precision", "recall", "f1"])
+    m = decoding.policy_scores(f, f.where("frame % 7 = 3").select("track_id", (F.col("frame") / 50.0).alias("time_s")))
+    c = m.join(t.table(s, d, "embeddings").select(F.col("vec_id").alias("track_id"), "label"), "track_id")
     return c.withColumn("passed", F.col("f1") >= 0.1).withColumn("tags", F.array(F.concat(F.lit("label-"), F.col("label").cast("string")), F.lit("all")))
 
 

@@ -8,6 +8,8 @@ TRUTH = (
     "schema_version INT, id STRING, duration_s DOUBLE, beats ARRAY<STRUCT<time_s: DOUBLE, downbeat: BOOLEAN>>, "
     "tempo_segments ARRAY<STRUCT<start_s: DOUBLE, end_s: DOUBLE, kind: STRING, start_bpm: DOUBLE, end_bpm: DOUBLE>>, change_points ARRAY<STRUCT<time_s: DOUBLE, kind: STRING>>"
 )
+#: Default thresholds of a suite.
+THRESHOLDS = {"beat_tolerance_ms": 70.0, "change_tolerance_s": 1.0, "min_beat_f1": 0.99, "min_downbeat_f1": 0.0, "max_tempo_median_error_percent": 5.0, "max_tempo_p95_error_percent": 15.0, "min_change_recall": 0.5}
 _THRESHOLDS = "STRUCT<beat_tolerance_ms: DOUBLE, change_tolerance_s: DOUBLE, min_beat_f1: DOUBLE, min_downbeat_f1: DOUBLE, max_tempo_median_error_percent: DOUBLE, max_tempo_p95_error_percent: DOUBLE, min_change_recall: DOUBLE>"
 SUITE = (
     f"schema_version INT, id STRING, description STRING, purpose STRING, thresholds {_THRESHOLDS}, cases ARRAY<STRUCT<id: STRING, "
