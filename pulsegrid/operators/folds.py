@@ -42,12 +42,42 @@ def segment_transitions(segments: DataFrame, o: EstimatorOptions = EstimatorOpti
     bridge = (F.lag("kind").over(w) == "ramp") & (F.lead("kind").over(w) == "ramp") & short
     s = segments.withColumns({"inside": ramp | F.coalesce(bridge, F.lit(False)), "prev": F.lag("end_bpm").over(w), "next": F.lead("start_bpm").over(w)})
     s = s.withColumn("block", F.col("seg") - F.sum(F.col("inside").cast("int")).over(w)).where("inside")
-    first, last = F.min(F.struct("seg", "start_s", F.coalesce("prev", "start_bpm").alias("bpm"))), F.max(F.struct("seg", "end_s", F.coalesce("next", "end_bpm").alias("bpm")))
+    first, last = F.min(F.struct("seg", "start_s", "start_bpm", "prev")), F.max(F.struct("seg", "end_s", "end_bpm", "next"))
     g = s.groupBy("track_id", "block").agg(first.alias("a"), last.alias("b"), F.avg("confidence").alias("confidence"))
-    g = g.select("track_id", "a.start_s", "b.end_s", F.col("a.bpm").alias("before_bpm"), F.col("b.bpm").alias("after_bpm"), "confidence")
+    outer = [F.coalesce("a.prev", "a.start_bpm").alias("before_bpm"), F.coalesce("b.next", "b.end_bpm").alias("after_bpm")]
+    inner = [F.col("a.start_bpm").alias("first_bpm"), F.col("b.end_bpm").alias("last_bpm"), F.col("a.prev").isNotNull().alias("has_before"), F.col("b.next").isNotNull().alias("has_after")]
+    g = g.select("track_id", "a.start_s", "b.end_s", *outer, "confidence", *inner, F.col("a.seg").alias("first_seg"), F.col("b.seg").alias("last_seg"))
     return g.where(F.abs(F.log(F.col("after_bpm") / F.col("before_bpm"))) >= math.log1p(o.jump_ratio))
 
 
+def transition_changes(transitions: DataFrame, o: EstimatorOptions = EstimatorOptions()) -> DataFrame:
+    """track_id, time_s, kind, score, before_bpm, after_bpm: a short transition between two segments is one jump at its start, any other a ramp
+    boundary at each end that has a neighbour."""
+    short = F.col("has_before") & F.col("has_after") & (F.col("end_s") - F.col("start_s") <= o.jump_transition_max_s)
+    score = F.least(F.greatest(F.col("confidence") * F.abs(F.log(F.col("after_bpm") / F.col("before_bpm"))) / 0.25, F.lit(0.0)), F.lit(1.0))
+
+    def change(when, at, kind, score, before, after):
+        return F.when(when, F.struct(F.col(at).alias("time_s"), F.lit(kind).alias("kind"), score.alias("score"), F.col(before).alias("before_bpm"), F.col(after).alias("after_bpm")))
+
+    rows = F.array(
+        change(short, "start_s", "tempo_jump", score, "before_bpm", "after_bpm"),
+        change(~short & F.col("has_before"), "start_s", "ramp_boundary", F.col("confidence"), "before_bpm", "first_bpm"),
+        change(~short & F.col("has_after"), "end_s", "ramp_boundary", F.col("confidence"), "last_bpm", "after_bpm"),
+    )
+    return transitions.select("track_id", F.explode(F.array_compact(rows)).alias("c")).select("track_id", "c.*")
+
+
+def beats_beside(beats: DataFrame, transitions: DataFrame, segments: DataFrame) -> DataFrame:
+    """track_id, first_seg, side, time_s: beats of the segments before and after each transition, from the former's start up to the transition, and
+    from behind the transition to the latter's end. A track has few transitions; the join is on the track with the two ranges."""
+    s = segments.select("track_id", "seg", F.col("start_s").alias("low"), F.col("end_s").alias("high"))
+    left = transitions.join(s.select("track_id", (F.col("seg") + 1).alias("first_seg"), "low"), ["track_id", "first_seg"]).select("track_id", "first_seg", F.lit("left").alias("side"), "low", F.col("start_s").alias("high"))
+    right = transitions.join(s.select("track_id", (F.col("seg") - 1).alias("last_seg"), "high"), ["track_id", "last_seg"]).select("track_id", "first_seg", F.lit("right").alias("side"), F.col("end_s").alias("low"), "high")
+    t = F.col("time_s")
+    within = ((F.col("side") == "left") & (t >= F.col("low")) & (t < F.col("high"))) | ((F.col("side") == "right") & (t > F.col("low")) & (t <= F.col("high")))
+    return beats.select("track_id", "time_s").join(left.unionByName(right), "track_id").where(within).select("track_id", "first_seg", "side", "time_s")
+
+
 def repair_runs(gaps: DataFrame, o: EstimatorOptions | None = None) -> DataFrame:
     """Bounded tempos with short octave runs interpolated."""
     o = o or estimator_policy("metrical-consistency-v1")

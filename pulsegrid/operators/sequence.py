@@ -22,6 +22,12 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def finite_median(column: str) -> Column:
+    """Median of the values that are finite; null if none is."""
+    c = F.col(column)
+    return F.median(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c))
+
+
 def beat_events(beats: DataFrame) -> DataFrame:
     """Confidences clamped to [0, 1]; a downbeat where its confidence is one half at least."""
     return beats.select("track_id", "time_s", clamp(F.col("confidence")).alias("confidence"), clamp(F.col("downbeat_confidence")).alias("downbeat_confidence"), (F.col("downbeat_confidence") >= 0.5).alias("downbeat"))
@@ -218,7 +224,7 @@ def diagnostics(beats: DataFrame, near: DataFrame, gaps: DataFrame, low_db: floa
         F.avg(F.when(F.col("idx") % 2 == 0, F.col("confidence"))).alias("even_confidence"),
         F.avg(F.when(F.col("idx") % 2 == 1, F.col("confidence"))).alias("odd_confidence"),
     )
-    return t.join(gaps.groupBy("track_id").agg(F.median("raw_bpm").alias("raw_median_bpm")), "track_id", "left")
+    return t.join(gaps.groupBy("track_id").agg(finite_median("raw_bpm").alias("raw_median_bpm")), "track_id", "left")
 
 
 def dedupe_changes(changes: DataFrame, within: float = 0.75, key: str = "track_id") -> DataFrame:

@@ -447,22 +447,41 @@ def _(s, d):
     return m.agg(F.bool_and(F.col("f1") >= 0.5).alias("passed"), F.count("*").alias("n_cases"), F.count_if(F.col("f1") < 0.805).alias("n_low"), F.avg("f1").alias("mean_f1"))
 
 
-_V = """SELECT recipe_id, CASE WHEN f1 < 0.88::DOUBLE THEN 1 ELSE 0 END + CASE WHEN med IS NULL OR med > 9 THEN 1 ELSE 0 END + CASE WHEN p95 IS NULL OR p95 > 30 THEN 1 ELSE 0 END AS n_failures, f1 FROM metrics LEFT JOIN (SELECT recipe_id, e[ceil((len(e) - 1) * 0.5::DOUBLE)::INT + 1] AS med, e[ceil((len(e) - 1) * 0.95::DOUBLE)::INT + 1] AS p95
+_PAIRED = """WITH RECURSIVE e AS (SELECT recipe_id, kind, time_s, row_number() OVER (PARTITION BY recipe_id ORDER BY time_s, kind) AS j FROM changes), p AS (SELECT recipe_id, kind, time_s, row_number() OVER (PARTITION BY recipe_id ORDER BY time_s, kind) AS i FROM (SELECT recipe_id, kind, time_s + recipe_id % 3 * 0.6::DOUBLE AS time_s FROM changes)),
+    l AS (SELECT recipe_id, list({'d': abs(p.time_s - e.time_s), 'i': i, 'j': j} ORDER BY abs(p.time_s - e.time_s), i, j) AS c FROM p JOIN e USING (recipe_id, kind) WHERE abs(p.time_s - e.time_s) <= 1.0::DOUBLE GROUP BY 1),
+    s AS (SELECT recipe_id, c, 1 AS k, []::BIGINT[] AS pi, []::BIGINT[] AS ej, []::DOUBLE[] AS d FROM l UNION ALL SELECT recipe_id, c, k + 1, CASE WHEN used THEN pi ELSE list_append(pi, x.i) END, CASE WHEN used THEN ej ELSE list_append(ej, x.j) END, CASE WHEN used THEN d ELSE list_append(d, x.d) END
+        FROM (SELECT *, c[k] AS x, list_contains(pi, c[k].i) OR list_contains(ej, c[k].j) AS used FROM s WHERE k <= len(c)))
+    SELECT recipe_id, coalesce(len(d), 0)::BIGINT AS matched, n, list_sort(d) AS d FROM (SELECT recipe_id, count(*) AS n FROM changes GROUP BY 1) LEFT JOIN (SELECT recipe_id, d FROM s WHERE k > len(c)) USING (recipe_id)"""
+
+
+# One-to-one matches of downbeats alone, as those of beats.
+_DOWN = _CTE["matches"].replace("FROM pred GROUP", "FROM pred WHERE downbeat GROUP").replace("FROM truth_beats GROUP", "FROM truth_beats WHERE downbeat GROUP")
+_DOWN = _DOWN[_DOWN.index("(WITH") : _DOWN.index(" m JOIN pred p")]
+_V = f"""SELECT recipe_id, CASE WHEN down < 0.9::DOUBLE THEN 1 ELSE 0 END + CASE WHEN change_recall < 0.9::DOUBLE THEN 1 ELSE 0 END + CASE WHEN f1 < 0.88::DOUBLE THEN 1 ELSE 0 END + CASE WHEN med IS NULL OR med > 9 THEN 1 ELSE 0 END + CASE WHEN p95 IS NULL OR p95 > 30 THEN 1 ELSE 0 END AS n_failures, f1, down, change_recall FROM metrics
+    JOIN (SELECT recipe_id, CASE WHEN n = 0 THEN 0 ELSE 2.0::DOUBLE * n / (a + b) END AS down FROM (SELECT recipe_id, count(*) FILTER (downbeat) AS a FROM pred GROUP BY 1) JOIN (SELECT recipe_id, count(*) FILTER (downbeat) AS b FROM truth_beats GROUP BY 1) USING (recipe_id) JOIN (SELECT recipe_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT recipe_id FROM pred) LEFT JOIN (SELECT recipe_id, count(*) AS n FROM {_DOWN} GROUP BY 1) USING (recipe_id)) USING (recipe_id)) USING (recipe_id)
+    LEFT JOIN (SELECT recipe_id, matched / n AS change_recall FROM ({_PAIRED})) USING (recipe_id) LEFT JOIN (SELECT recipe_id, e[ceil((len(e) - 1) * 0.5::DOUBLE)::INT + 1] AS med, e[ceil((len(e) - 1) * 0.95::DOUBLE)::INT + 1] AS p95
     FROM (SELECT recipe_id, list_sort(list(abs(bpm - truth_bpm) / truth_bpm * 100)) AS e FROM scored WHERE truth_bpm IS NOT NULL GROUP BY 1)) USING (recipe_id)"""
 
 
+def _change_metrics(s, d):
+    e = truth.truth_changes(t.recipes(s, d))
+    return scoring.change_metrics(e.withColumn("time_s", F.col("time_s") + F.col("recipe_id") % 3 * 0.6), e, 1.0)
+
+
 def _verdicts(s, d):
     m = scoring.beat_metrics(_matches(s, d)).select("recipe_id", "f1").join(scoring.tempo_metrics(_scored(s, d)), "recipe_id", "left")
-    gates = {"min_beat_f1": 0.88, "downbeat_f1": 1.0, "min_downbeat_f1": 0.0, "max_median": 9.0, "max_p95": 30.0, "change_recall": 1.0, "min_change_recall": 0.5}
+    down = scoring.beat_metrics(scoring.match_events(_pred(s, d).where("downbeat"), _truth(s, d).where("downbeat"), 0.07))
+    m = m.join(down.select("recipe_id", F.col("f1").alias("downbeat_f1")), "recipe_id", "left").join(_change_metrics(s, d).select("recipe_id", F.col("recall").alias("change_recall")), "recipe_id", "left")
+    gates = {"min_beat_f1": 0.88, "min_downbeat_f1": 0.9, "max_median": 9.0, "max_p95": 30.0, "min_change_recall": 0.9}
     return scoring.verdicts(m.withColumns({k: F.lit(v) for k, v in gates.items()}))
 
 
-@query("case_verdicts", sql(f"SELECT recipe_id, n_failures::BIGINT AS n_failures, n_failures = 0 AS passed FROM ({_V})", "metrics", "scored"))
+@query("case_verdicts", sql(f"SELECT recipe_id, n_failures::BIGINT AS n_failures, n_failures = 0 AS passed FROM ({_V})", "metrics", "scored", "changes"))
 def _(s, d):
     return _verdicts(s, d).select("recipe_id", F.size("failures").alias("n_failures"), "passed")
 
 
-@query("attribution", sql(f"SELECT CASE WHEN recipe_id % 5 = 0 THEN 'estimator' WHEN recipe_id % 5 = 1 THEN 'unpaired' WHEN n_failures > 0 THEN 'observations' ELSE 'none' END AS attribution, count(*) AS n_cases FROM ({_V}) GROUP BY 1", "metrics", "scored"))
+@query("attribution", sql(f"SELECT CASE WHEN recipe_id % 5 = 0 THEN 'estimator' WHEN recipe_id % 5 = 1 THEN 'unpaired' WHEN n_failures > 0 THEN 'observations' ELSE 'none' END AS attribution, count(*) AS n_cases FROM ({_V}) GROUP BY 1", "metrics", "scored", "changes"))
 def _(s, d):
     oracle = F.when(F.col("recipe_id") % 5 == 0, False).when(F.col("recipe_id") % 5 == 1, F.lit(None).cast("boolean")).otherwise(True)
     return scoring.attribution(_verdicts(s, d).withColumn("oracle_passed", oracle)).groupBy("attribution").agg(F.count("*").alias("n_cases"))
@@ -476,23 +495,18 @@ def _(s, d):
     return scoring.effective_thresholds(cases, suite).select("recipe_id", "thresholds.min_beat_f1", "thresholds.max_median")
 
 
-@query("metric_delta", sql("SELECT recipe_id, round(f1 - 0.9::DOUBLE, 6) AS delta_f1, round(p95_error_ms - median_error_ms, 6) AS spread_ms FROM metrics", "metrics"))
+@query("metric_delta", sql(f"SELECT recipe_id, round(f1 - 1, 6) AS delta_f1, round(down - 1, 6) AS delta_downbeat_f1, round(change_recall - 1, 6) AS delta_change_recall FROM ({_V})", "metrics", "scored", "changes"))
 def _(s, d):
-    m = scoring.beat_metrics(_matches(s, d))
-    return m.select("recipe_id", (F.col("f1") - 0.9).alias("delta_f1"), (F.col("p95_error_ms") - F.col("median_error_ms")).alias("spread_ms"))
-
-
-_PAIRED = """WITH RECURSIVE e AS (SELECT recipe_id, kind, time_s, row_number() OVER (PARTITION BY recipe_id ORDER BY time_s, kind) AS j FROM changes), p AS (SELECT recipe_id, kind, time_s, row_number() OVER (PARTITION BY recipe_id ORDER BY time_s, kind) AS i FROM (SELECT recipe_id, kind, time_s + recipe_id % 3 * 0.6::DOUBLE AS time_s FROM changes)),
-    l AS (SELECT recipe_id, list({'d': abs(p.time_s - e.time_s), 'i': i, 'j': j} ORDER BY abs(p.time_s - e.time_s), i, j) AS c FROM p JOIN e USING (recipe_id, kind) WHERE abs(p.time_s - e.time_s) <= 1.0::DOUBLE GROUP BY 1),
-    s AS (SELECT recipe_id, c, 1 AS k, []::BIGINT[] AS pi, []::BIGINT[] AS ej, []::DOUBLE[] AS d FROM l UNION ALL SELECT recipe_id, c, k + 1, CASE WHEN used THEN pi ELSE list_append(pi, x.i) END, CASE WHEN used THEN ej ELSE list_append(ej, x.j) END, CASE WHEN used THEN d ELSE list_append(d, x.d) END
-        FROM (SELECT *, c[k] AS x, list_contains(pi, c[k].i) OR list_contains(ej, c[k].j) AS used FROM s WHERE k <= len(c)))
-    SELECT recipe_id, coalesce(len(d), 0)::BIGINT AS matched, n, list_sort(d) AS d FROM (SELECT recipe_id, count(*) AS n FROM changes GROUP BY 1) LEFT JOIN (SELECT recipe_id, d FROM s WHERE k > len(c)) USING (recipe_id)"""
+    """The predictions' metrics less those of truth against itself, which has every metric but the tempo errors; null where one side lacks it."""
+    found = _verdicts(s, d).select("recipe_id", "f1", "downbeat_f1", "median_error_percent", "p95_error_percent", "change_recall")
+    none = F.lit(None).cast("double")
+    ideal = scoring.beat_metrics(scoring.match_events(_truth(s, d), _truth(s, d), 0.07)).select("recipe_id", "f1", F.lit(1.0).alias("downbeat_f1"), none.alias("median_error_percent"), none.alias("p95_error_percent"), F.lit(1.0).alias("change_recall"))
+    return scoring.metric_delta(ideal, found, "recipe_id").select("recipe_id", "delta_f1", "delta_downbeat_f1", "delta_change_recall")
 
 
 @query("change_metrics", sql(f"SELECT recipe_id, matched, round(matched / n, 6) AS precision, round(matched / n, 6) AS recall, round(d[ceil((matched - 1) * 0.5::DOUBLE)::INT + 1], 6) AS median_offset_s FROM ({_PAIRED})", "changes"))
 def _(s, d):
-    e = truth.truth_changes(t.recipes(s, d))
-    return scoring.change_metrics(e.withColumn("time_s", F.col("time_s") + F.col("recipe_id") % 3 * 0.6), e, 1.0)
+    return _change_metrics(s, d)
 
 
 # --- Frames -----------------------------------------------------------------------------------------
@@ -694,9 +708,29 @@ _BLOCKS = _BLOCKS.replace("min_by(prev_bpm, seg)", "min_by(prev_bpm, seg)[1]").r
 
 @query("segment_transitions", sql(f"SELECT {rounded('!track_id, start_s, end_s, before_bpm, after_bpm, confidence')} FROM ({_BLOCKS}) WHERE abs(ln(after_bpm / before_bpm)) >= ln(1.12::DOUBLE)", "tempo_parts"))
 def _(s, d):
+    return _transitions(s, d).select("track_id", "start_s", "end_s", "before_bpm", "after_bpm", "confidence")
+
+
+_TURNS = f"""SELECT track_id, start_s AS time_s, 'tempo_jump' AS kind, least(greatest(confidence * abs(ln(after_bpm / before_bpm)) / 0.25, 0), 1) AS score FROM turns WHERE short
+    UNION ALL SELECT track_id, start_s, 'ramp_boundary', confidence FROM turns WHERE NOT short AND has_before UNION ALL SELECT track_id, end_s, 'ramp_boundary', confidence FROM turns WHERE NOT short AND has_after"""
+_TURNS = _TURNS.replace("FROM turns", f"""FROM (SELECT *, has_before AND has_after AND end_s - start_s <= 4 AS short FROM ({_BLOCKS.replace(" FROM (SELECT *, seg - sum", ", min_by(prev_bpm, seg)[1] IS NOT NULL AS has_before, max_by(next_bpm, seg)[1] IS NOT NULL AS has_after FROM (SELECT *, seg - sum", 1)}) WHERE abs(ln(after_bpm / before_bpm)) >= ln(1.12::DOUBLE))""")
+
+
+def _transitions(s, d):
     return folds.segment_transitions(folds.tempo_segments(*_curve_and_tracks(s, d)))
 
 
+@query("transition_changes", sql(f"SELECT track_id, round(time_s, 6) AS time_s, kind, round(score, 6) AS score FROM ({_TURNS})", "tempo_parts"))
+def _(s, d):
+    return folds.transition_changes(_transitions(s, d)).select("track_id", "time_s", "kind", "score")
+
+
+@query("beats_beside_transitions", sql(f"""SELECT track_id, first_seg, side, round(time_s, 6) AS time_s FROM beats JOIN (SELECT track_id, first_seg, 'left' AS side, p.start_s AS low, b.start_s AS high FROM blocks b JOIN tempo_parts p USING (track_id) WHERE p.seg = first_seg - 1
+    UNION ALL SELECT track_id, first_seg, 'right', b.end_s, p.end_s FROM blocks b JOIN tempo_parts p USING (track_id) WHERE p.seg = last_seg + 1) USING (track_id) WHERE (side = 'left' AND time_s >= low AND time_s < high) OR (side = 'right' AND time_s > low AND time_s <= high)""".replace("blocks b", f"""(SELECT * FROM ({_BLOCKS.replace(" FROM (SELECT *, seg - sum", ", min(seg) AS first_seg, max(seg) AS last_seg FROM (SELECT *, seg - sum", 1)}) WHERE abs(ln(after_bpm / before_bpm)) >= ln(1.12::DOUBLE)) b"""), "tempo_parts"))
+def _(s, d):
+    return folds.beats_beside(t.beats(s, d), _transitions(s, d), folds.tempo_segments(*_curve_and_tracks(s, d)))
+
+
 # Positions that start a repair, and how many gaps each covers, from lists per track: later ones begin after earlier ones end.
 _RUNS = """WITH RECURSIVE l AS (SELECT track_id, list(bounded_bpm ORDER BY idx) AS v, list(idx ORDER BY idx) AS x FROM gaps GROUP BY 1),
     c AS (SELECT track_id, st, sz, list_median(v[greatest(1, st - 2):st]) AS ml, list_median(v[st + sz + 1:st + sz + 3]) AS mr, v[st + 1:st + sz] AS r FROM (SELECT *, unnest(range(1, len(v) - 2)) AS st FROM l) CROSS JOIN (VALUES (2), (3)) z(sz) WHERE sz <= len(v) - st - 1),
@@ -762,7 +796,13 @@ def _(s, d):
     return folds.longest_fits(_grid_beats(s, d)).where("longest_suffix IS NOT NULL").select("track_id", "longest_suffix")
 
 
-@query("all_changes", sql("SELECT track_id, round(time_s, 6) AS time_s, kind FROM (SELECT track_id, time_s + dt / 2 AS time_s, 'gap' AS kind FROM gaps JOIN (SELECT track_id, median(dt) AS m FROM gaps GROUP BY 1) USING (track_id) WHERE dt > 1 AND dt > 3.5 * m UNION ALL SELECT track_id, (start_s + end_s) / 2, 'silence' FROM regions)", "gaps", "regions"))
+@query("all_changes", sql(f"SELECT track_id, round(time_s, 6) AS time_s, kind, round(score, 6) AS score FROM ({_JUMPS} UNION ALL {_TURNS} UNION ALL SELECT track_id, time_s + dt / 2, 'rhythm_discontinuity', least(greatest(1 - m / dt, 0), 1) FROM gaps JOIN (SELECT track_id, median(dt) AS m FROM gaps GROUP BY 1) USING (track_id) WHERE dt > 1 AND dt > 3.5 * m UNION ALL SELECT track_id, (start_s + end_s) / 2, 'rhythm_discontinuity', least(greatest((-depth_db - 20) / 60, 0), 1) FROM regions)", "curve", "tempo_parts", "gaps", "regions"))
 def _(s, d):
-    gaps = sequence.long_gaps(sequence.intervals(t.beats(s, d))).select("track_id", "time_s", F.lit("gap").alias("kind"))
-    return gaps.unionByName(_regions(s, d).select("track_id", ((F.col("start_s") + F.col("end_s")) / 2).alias("time_s"), F.lit("silence").alias("kind")))
+    """The four lists of changes, not deduplicated yet: jumps, transitions, gaps, silences."""
+    columns = ("track_id", "time_s", "kind", "score")
+    jumps = sequence.tempo_jumps(_curve(s, d)).withColumn("kind", F.lit("tempo_jump")).select(*columns)
+    turns = folds.transition_changes(_transitions(s, d)).select(*columns)
+    gaps = sequence.long_gaps(sequence.intervals(t.beats(s, d))).withColumn("kind", F.lit("rhythm_discontinuity")).select(*columns)
+    middle, depth = ((F.col("start_s") + F.col("end_s")) / 2).alias("time_s"), sequence.clamp((-F.col("depth_db") - 20) / 60).alias("score")
+    quiet = _regions(s, d).select("track_id", middle, F.lit("rhythm_discontinuity").alias("kind"), depth)
+    return jumps.unionByName(turns).unionByName(gaps).unionByName(quiet)
