@@ -290,7 +290,7 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], chars: int = TRAIN_C
         k = 0
         while k < len(texts):
             end, size = k, 0
-            while end < len(texts) and (end == k or size + len(texts[end]) <= 1 << 20):
+            while end < len(texts) and (end == k or size + len(texts[end]) <= 2 << 20):
                 size += len(texts[end])
                 end += 1
             best.update(at + k, first, m.phrases(texts[k:end], segment) * m.bits)
