@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in blocks of about this many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,23 +26,34 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. A folder of our own is used only where the session names none (tests)."""
+    """The cluster's shared folder. In local mode alone, as in tests, a folder of our own stands in where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="pulsegrid-"))
         path = _own[0]
     return path.rstrip("/")
 
 
-#: Arrow batches of stored steps hold at most about this many bytes.
-BATCH_BYTES = 8 << 20
+#: Arrow batches hold at most about this many bytes, or one row.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES: rows of whole texts differ by orders of magnitude, so a number of rows bounds nothing."""
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    if jvm.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 @contextmanager
 def written_once(spark: SparkSession) -> Iterator[None]:
     """For what is written inside: shuffle files go when the write ends, as nothing runs those plans again, and Arrow batches are bounded by bytes."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", _BATCH: str(BATCH_BYTES)}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)

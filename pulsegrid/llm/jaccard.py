@@ -488,13 +488,21 @@ def _residual(members: DataFrame, stars: DataFrame, info: DataFrame, percent: in
             out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), 0)
         return out
 
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, bool]:
+    def closest(f: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The first ``tries`` rows of each pair of groups, by distance, and whether there were more."""
+        f = np.unique(f, axis=0)
+        turn = np.flatnonzero(np.append(True, (f[1:, :2] != f[:-1, :2]).any(1))) if len(f) else np.zeros(0, np.int64)
+        rank = np.arange(len(f)) - np.repeat(turn, np.diff(np.append(turn, len(f))))
+        return f[rank < tries], bool((rank >= tries).any())
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Pairs of one pair of blocks, a bounded number at a time; only their closest are kept where ``tries`` bounds them."""
         words = min(len(r[4]) for r in rows) // 8
         sk = folded([r[4] for r in rows], words)
         other, v, root, n = (np.array([r[i] for r in rows], t) for i, t in enumerate((bool, np.int64, np.int64, np.int64)))
         left, right = np.flatnonzero(other), np.flatnonzero(~other)
-        found = [np.zeros((0, 5), np.int64)]
-        step = max(1, (1 << 20) // (len(right) or 1))
+        kept, cut = np.zeros((0, 5), np.int64), False
+        step = max(1, (1 << 18) // (len(right) or 1))
         for k in range(0, len(left), step):
             i = left[k : k + step]
             d = np.zeros((len(i), len(right)), np.int32)
@@ -503,43 +511,47 @@ def _residual(members: DataFrame, stars: DataFrame, info: DataFrame, percent: in
             ok = (d * np.int64(100 + percent) <= (n[i][:, None] + n[right][None]) * (100 - percent)) & (root[i][:, None] != root[right][None])
             ok &= np.minimum(n[i][:, None], n[right][None]) * 100 >= np.maximum(n[i][:, None], n[right][None]) * percent
             p, q = np.nonzero(ok)
+            if not len(p):
+                continue
             ends = np.sort(np.stack([v[i[p]], v[right[q]]], 1), 1)
             groups = np.sort(np.stack([root[i[p]], root[right[q]]], 1), 1)
-            found.append(np.concatenate([groups, d[p, q][:, None].astype(np.int64), ends], 1))
-        f = np.unique(np.concatenate(found), axis=0)  # by groups, then distance
-        turn = np.flatnonzero(np.append(True, (f[1:, :2] != f[:-1, :2]).any(1))) if len(f) else np.zeros(0, np.int64)
-        rank = np.arange(len(f)) - np.repeat(turn, np.diff(np.append(turn, len(f))))
-        return f[rank < tries, 3:], bool((rank >= tries).any())
+            kept, more = closest(np.concatenate([kept, np.concatenate([groups, d[p, q][:, None].astype(np.int64), ends], 1)]))
+            cut |= more
+            if tries >= TRIES[-1]:
+                yield kept[:, 3:], False
+                kept = kept[:0]
+        yield kept[:, 3:], cut
 
     def run(batches):
         key, rows, out, cut, size = None, [], [], [], 0
 
         def batch() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(out), axis=0)
-            none = [None] * len(cut)
-            cols = [pairs[:, 0].tolist() + none, pairs[:, 1].tolist() + none, [None] * len(pairs) + cut]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "sig"])
-
-        def done() -> None:
-            found, more = compare(rows)
-            out.append(found)
-            if more:
-                cut.append(key[0])
+            none = pa.nulls(len(cut), pa.int64())
+            cols = [pa.chunked_array([pa.array(pairs[:, i]), none]).combine_chunks() for i in (0, 1)]
+            cols.append(pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(cut, pa.int64())]).combine_chunks())
+            return pa.RecordBatch.from_arrays(cols, ["a", "b", "sig"])
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            nonlocal out, cut, size
+            for found, more in compare(rows):
+                out.append(found)
+                cut += [key[0]] if more else []
+                size += len(found) + 1
+                if size > 1 << 18:
+                    yield batch()
+                    out, cut, size = [], [], 0
 
         for t in batches:
             for k in range(0, t.num_rows, 4096):
                 for s, o, a, *row in zip(*(c.to_pylist() for c in t.slice(k, 4096).columns), strict=True):
                     if (s, o, a) != key and rows:
-                        done()
-                        size += len(out[-1]) + 1
+                        yield from compared()
                         rows = []
-                        if size > 1 << 18:
-                            yield batch()
-                            out, cut, size = [], [], 0
                     key = (s, o, a)
                     rows.append(row)
         if rows:
-            done()
+            yield from compared()
         if out:
             yield batch()
 

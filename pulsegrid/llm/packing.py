@@ -17,6 +17,7 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -35,6 +36,14 @@ _GAPS = np.isin(np.arange(256), [32, 10, 9])
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lru_cache(1)
+def tokenizer_at(path: str):
+    """The tokenizer, loaded once per worker process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class _StretchIds:
     """Ids of the space-free stretches of texts, from a table by hash.
 
@@ -47,16 +56,17 @@ class _StretchIds:
     """
 
     def __init__(self, path: str, limit: int = 2_000_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit = tokenizer_at(path), limit
         self.reset()
 
+    def _slots(self, n: int) -> None:
+        self.keys, self.entries = np.zeros(n, np.uint64), 0
+        self.start, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)
+
     def reset(self) -> None:
-        self.keys = np.zeros(1 << (2 * self.limit).bit_length(), np.uint64)
-        self.start, self.length = np.zeros(len(self.keys), np.int32), np.zeros(len(self.keys), np.int32)
+        self._slots(1 << 16)
         # The first id is the separator's.
-        self.ids, self.used, self.entries = np.full(1 << 16, SEPARATOR_ID, np.uint32), 1, 0
+        self.ids, self.used = np.full(1 << 16, SEPARATOR_ID, np.uint32), 1
 
     def _room(self, n: int) -> int:
         """The place of ``n`` further ids."""
@@ -66,7 +76,12 @@ class _StretchIds:
         return start
 
     def _keep(self, names: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Enter distinct hashes that the table does not have."""
+        """Enter distinct hashes that the table does not have; it stays at most half full."""
+        if 2 * (self.entries + len(names)) > len(self.keys):
+            full = self.keys != 0
+            old = self.keys[full], self.start[full], self.length[full]
+            self._slots(1 << (4 * (self.entries + len(names))).bit_length())
+            self._keep(*old)
         while len(names):  # of names that want one slot the last stays, the others look on
             slot, _ = self._find(names)
             self.keys[slot] = names
@@ -180,16 +195,6 @@ class _StretchIds:
         return np.concatenate(out), np.cumsum(counts)
 
 
-_cached: dict[str, _StretchIds] = {}
-
-
-def stretch_ids(path: str) -> _StretchIds:
-    """The table of this worker process, which its tasks share."""
-    if path not in _cached:
-        _cached[path] = _StretchIds(path)
-    return _cached[path]
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -204,7 +209,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = stretch_ids(tokenizer)
+        table = _StretchIds(tokenizer)  # goes with the task, so an idle worker keeps none
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for row, texts in text_blocks(batch, "text", TEXT_BYTES):

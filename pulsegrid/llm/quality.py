@@ -79,7 +79,7 @@ def pool(r: np.ndarray, real: np.ndarray) -> np.ndarray:
     return np.concatenate([r.max(1), r.sum(1) / real.sum(1)[:, None]], 1)
 
 
-def gradients(parts: list[np.ndarray], labels: np.ndarray, p: list[np.ndarray], o: Options, slice_: int = 1024) -> tuple[float, list[np.ndarray]]:
+def gradients(parts: list[np.ndarray], labels: np.ndarray, p: list[np.ndarray], o: Options, slice_: int = 256) -> tuple[float, list[np.ndarray]]:
     """Mean logistic loss of documents, given as chunks, and its gradients."""
     f = o.filters
     n = np.array([len(c) for c in parts])
@@ -150,7 +150,7 @@ def fit(texts: list[bytes], labels: np.ndarray, o: Options = Options()) -> bytes
 
 
 class Scorer:
-    def __init__(self, model: bytes, o: Options, block: int = 1024):
+    def __init__(self, model: bytes, o: Options, block: int = 128):
         self.model, self.o, self.block = model, o, block
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:

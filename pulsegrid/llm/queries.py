@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import decontam, html, jaccard, langid, media, packing, pii, quality, secrets, toxicity
-from pulsegrid.llm.common import read
+from pulsegrid.llm.common import bound_batches, read
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with Arrow batches bounded by bytes, also where the caller runs the returned plan."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_chunks": op1_media,
     "op2_best_fit_packing": op2_packing,
@@ -67,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cnn": op9_quality,
     "op10_linked_secrets": op10_secrets,
 }
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {}
