@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import decontam, jaccard, packing, pii, quality
-from pulsegrid.llm.common import drop_saved, read, save
+from pulsegrid.llm.common import bound_batches, drop_saved, read, save
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+def _bounded(stage):
+    """The stage with Arrow batches bounded by bytes, also where the caller runs the returned plan."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality_filter", keep_good),
-    ("near_duplicates", keep_one_of_each),
-    ("decontamination", drop_leaks),
-    ("personal_data", hide_personal_data),
-    ("packing", pack_sequences),
+    ("quality_filter", _bounded(keep_good)),
+    ("near_duplicates", _bounded(keep_one_of_each)),
+    ("decontamination", _bounded(drop_leaks)),
+    ("personal_data", _bounded(hide_personal_data)),
+    ("packing", _bounded(pack_sequences)),
 ]
 
 ORACLE_SQL: str | None = None
