@@ -598,9 +598,12 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple
             stars = _closer(stars, _linked(more, sets, percent))
             checked = checked.unionByName(more)
         cut = found.where("sig IS NOT NULL").select("sig")
-        if cut.isEmpty():
+        done = cut.isEmpty()
+        if not done:
+            members = save(members.join(cut.distinct(), "sig", "left_semi"), "members")
+        drop_saved(found)
+        if done:
             break
-        members = save(members.join(cut.distinct(), "sig", "left_semi"), "members")
     for t in (met, members, sets, checked):
         drop_saved(t)
     grouped = info.join(stars, "v", "left").select("v", "id", F.coalesce("root", "v").alias("root"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import keyed, save
+from pulsegrid.llm.common import drop_saved, keyed, save
 from pulsegrid.llm.spans import bound, free, hits, listed, prefix, ranked, where
 
 KINDS = ("email", "ip", "card", "phone")
@@ -135,10 +135,13 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         believed = free.join(scores.hint("merge"), "pattern").groupBy("value", "kind").agg(F.avg("score").alias("belief"))
         given = free.join(believed.hint("merge"), "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("given"))
-        scores = save(
+        before, scores = scores, save(
             base.join(given.hint("merge"), ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seed") + F.coalesce("given", F.lit(0.0))) / (F.col("size") + SMOOTHING)).alias("score"), F.col("seed").alias("support")),
             "scores",
         )
+        drop_saved(before)
+    drop_saved(free)
+    drop_saved(base)
     return scores
 
 
@@ -148,6 +151,7 @@ def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int
     seen = save(occurrences(base), "occurrences")
     edges = save(seen.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "edges")
     strong = score_patterns(edges).where((F.col("score") >= confidence) & (F.col("support") >= support))
+    drop_saved(edges)
     loose = seen.where("kind IS NULL").select("_k", "_t", "start", "end", F.explode("patterns").alias("pattern"))
     best = loose.join(strong.hint("merge"), "pattern").groupBy("_k", "_t", "start", "end", "kind").agg(F.max("score").alias("score")).groupBy("_k", "_t", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
