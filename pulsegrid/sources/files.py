@@ -21,6 +21,17 @@ def write_file(folder: str, name: str, content: bytes) -> None:
     system.move(part, path)
 
 
+def zip_member(uri: str, member: str) -> bytes | None:
+    """One member of a ZIP archive, or None: only the archive's directory and the member's own bytes are read, wherever the file lies."""
+    import zipfile
+
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + "/" + uri.removeprefix("file:").lstrip("/"))
+    with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+        return z.read(member) if member in z.NameToInfo else None
+
+
 def plain_path(uri: Column) -> Column:
     """A file's path without scheme, so that ``file:/a`` and ``/a`` agree."""
     return F.concat(F.lit("/"), F.regexp_replace(F.url_decode(F.regexp_replace(uri, r"\+", "%2B")), r"^(?:[a-zA-Z0-9]+:)?/*", ""))

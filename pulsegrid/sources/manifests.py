@@ -163,16 +163,25 @@ def assets_to_fetch(spark: SparkSession, lock: str, directory: str, with_annotat
 def install_assets(spark: SparkSession, lock: str, mirror: str, directory: str, with_annotations: bool = False) -> DataFrame:
     """Verify what a lock still lacks against the files of a local ``mirror`` and write it below ``directory``: path, code.
 
-    Assets are found by digest, as files or as members of ZIP archives. Size and digest are checked before a file gets its name.
+    Assets are found by digest, as files or as members of ZIP archives. A member that the lock names is read by ranges from an archive of the
+    size that it gives, however large; other archives are searched whole. Size and digest are checked before a file gets its name.
     Without a mirror nothing can be had here: this library opens no connection.
     """
     from pulsegrid.sources import audio
-    from pulsegrid.sources.files import write_file
+    from pulsegrid.sources.files import write_file, zip_member
+
+    def members(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"content": [zip_member(path, name) for path, name in zip(b.path, b.member, strict=True)]})
 
     wanted = assets_to_fetch(spark, lock, directory, with_annotations)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(mirror)
-    zipped = audio.zip_members(files.where(F.lower("path").endswith(".zip"))).where("content IS NOT NULL").select("content")
-    have = files.select("content").unionByName(zipped).withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
+    zipped = audio.zip_members(files.where(F.lower("path").endswith(".zip")).select("path", "content")).where("content IS NOT NULL").select("content")
+    named = wanted.where("zip_member IS NOT NULL").select(F.col("zip_member.member_path").alias("member"), F.col("zip_member.archive_size_bytes").alias("length"))
+    ranged = files.select("path", "length").join(named, "length").mapInPandas(members, "content binary").where("content IS NOT NULL")
+    have = files.select("content").unionByName(zipped).unionByName(ranged).withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
     found = wanted.join(have, "sha256", "left").select("path", "size_bytes", "content")
     bad = found.select("path", F.when(F.col("content").isNull(), "not_in_mirror").when(F.length("content") != F.col("size_bytes"), "wrong_size").when(~safe_relative(F.col("path")), "unsafe_path").alias("code"))
 

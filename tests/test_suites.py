@@ -200,11 +200,16 @@ def test_installs_are_verified(spark, tmp_path):
     (tmp_path / "mirror" / "z.zip").write_bytes(z.getvalue())
     asset = lambda path, data, size=None, role="audio": {"path": path, "url": "https://x", "sha256": hashlib.sha256(data).hexdigest(), "size_bytes": size or len(data), "role": role}
     lock = [asset("d/a.bin", b"aa"), asset("b.txt", b"bbb"), asset("c.bin", b"none"), asset("notes.txt", b"n", role="annotation_source"), asset("w.bin", b"aa", 7)]
+    z2 = io.BytesIO()
+    with zipfile.ZipFile(z2, "w", zipfile.ZIP_DEFLATED) as f:
+        f.writestr("deep/er.txt", "range " * 50)
+    (tmp_path / "mirror" / "big.archive").write_bytes(z2.getvalue())  # found by its size alone
+    lock.append(asset("er.txt", b"range " * 50) | {"zip_member": {"archive_size_bytes": len(z2.getvalue()), "member_path": "deep/er.txt"}})
     (tmp_path / "lock.json").write_text(json.dumps({"schema_version": 1, "id": "x", "assets": lock}, indent=1))
     bad = {r.path: r.code for r in manifests.install_assets(spark, f"{tmp_path}/lock.json", f"{tmp_path}/mirror", f"{tmp_path}/out").collect()}
     assert bad == {"c.bin": "not_in_mirror", "w.bin": "wrong_size"}
     assert (tmp_path / "out" / "d" / "a.bin").read_bytes() == b"aa" and (tmp_path / "out" / "b.txt").read_text() == "bbb"
-    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.bin", "b.txt"]
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.bin", "b.txt", "er.txt"]
 
 
 def test_sounds_by_value():
