@@ -82,10 +82,17 @@ def ideal_observations(truth: DataFrame) -> DataFrame:
 
 
 def recipe_violations(recipes: DataFrame, max_duration_s: float = 3600.0, max_bpm: float = 1000.0) -> DataFrame:
-    """Recipes that last over an hour or have a tempo outside (0, 1000]."""
-    r = recipes.groupBy("recipe_id").agg(F.sum("duration_s").alias("duration_s"), F.min(F.least("start_bpm", "end_bpm")).alias("low"), F.max(F.greatest("start_bpm", "end_bpm")).alias("high"), F.lit(max_bpm).alias("limit"))
-    code = F.when(F.col("duration_s") > max_duration_s, "too_long").when((F.col("low") <= 0) | (F.col("high") > F.col("limit")), "bpm_out_of_range")
-    return r.select("recipe_id", "duration_s", code.alias("code")).where("code IS NOT NULL")
+    """recipe_id, longest_s, code: the first thing wrong with each recipe: a sample rate below 8000 or no beats in a bar (where the recipes
+    have these columns), a segment that is not finite, not positive or longer than an hour, a tempo outside (0, 1000] that is not silent."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    d = F.col("duration_s")
+    loud = F.col("kind") != "silence"
+    tempo = lambda c: finite(F.col(c)) & (F.col(c) > 0) & (F.col(c) <= max_bpm)
+    checks = {"bad_sample_rate": F.col("sample_rate") >= 8000 if "sample_rate" in recipes.columns else F.lit(True), "bad_beats_per_bar": F.col("beats_per_bar") > 0 if "beats_per_bar" in recipes.columns else F.lit(True)}
+    checks |= {"bad_duration": finite(d) & (d > 0) & (d <= max_duration_s), "bpm_out_of_range": ~loud | (tempo("start_bpm") & tempo("end_bpm"))}
+    r = recipes.groupBy("recipe_id").agg(F.max("duration_s").alias("longest_s"), *[F.bool_and(F.coalesce(ok, F.lit(False))).alias(k) for k, ok in checks.items()])
+    code = F.coalesce(*[F.when(~F.col(k), k) for k in checks])
+    return r.select("recipe_id", "longest_s", code.alias("code")).where("code IS NOT NULL")
 
 
 def segment_overlaps(segments: DataFrame) -> DataFrame:

@@ -408,10 +408,10 @@ def _(s, d):
     return scoring.tempo_metrics(_scored(s, d))
 
 
-@query("validate_recipes", sql("SELECT recipe_id, round(sum(duration_s), 6) AS duration_s, CASE WHEN sum(duration_s) > 40 THEN 'too_long' ELSE 'bpm_out_of_range' END AS code FROM (SELECT recipe_id, duration_s * 1.2 AS duration_s, start_bpm * 7 AS a, end_bpm * 7 AS b FROM recipes) GROUP BY 1 HAVING sum(duration_s) > 40 OR max(greatest(a, b)) > 1000", "recipes"))
+@query("validate_recipes", sql("SELECT recipe_id, round(max(duration_s), 6) AS longest_s, CASE WHEN max(duration_s) > 14 THEN 'bad_duration' ELSE 'bpm_out_of_range' END AS code FROM (SELECT recipe_id, kind, duration_s * 1.2::DOUBLE AS duration_s, start_bpm * 7 AS a, end_bpm * 7 AS b FROM recipes) GROUP BY 1 HAVING max(duration_s) > 14 OR max(greatest(a, b)) FILTER (kind <> 'silence') > 1000", "recipes"))
 def _(s, d):
-    r = t.recipes(s, d).select("recipe_id", (F.col("duration_s") * 1.2).alias("duration_s"), (F.col("start_bpm") * 7).alias("start_bpm"), (F.col("end_bpm") * 7).alias("end_bpm"))
-    return truth.recipe_violations(r, max_duration_s=40.0)
+    r = t.recipes(s, d).select("recipe_id", "kind", (F.col("duration_s") * 1.2).alias("duration_s"), (F.col("start_bpm") * 7).alias("start_bpm"), (F.col("end_bpm") * 7).alias("end_bpm"))
+    return truth.recipe_violations(r, max_duration_s=14.0)
 
 
 @query("validate_segments", sql("SELECT recipe_id, seg, round(n, 6) AS next_start FROM (SELECT *, lead(start_s) OVER (PARTITION BY recipe_id ORDER BY start_s) AS n FROM (SELECT recipe_id, seg, start_s, CASE WHEN seg = 1 THEN end_s + 0.5 ELSE end_s END AS end_s FROM segments)) WHERE n < end_s", "segments"))

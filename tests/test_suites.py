@@ -91,6 +91,15 @@ def test_broken_truths(spark, tmp_path):
     assert found == {k: k for k in changes if k != "ok"}
 
 
+def test_broken_recipes(spark):
+    from pulsegrid.operators import truth
+
+    rows = [("ok", "constant", 3600.0, 120.0, 8000, 4), ("ok", "silence", 1.0, None, 8000, 4), ("bad_duration", "constant", 3600.5, 120.0, 8000, 4), ("bad_duration", "constant", 1.0, 120.0, 8000, 4)]
+    rows += [("bpm_out_of_range", "linear_ramp", 1.0, 1001.0, 8000, 4), ("bad_sample_rate", "constant", 1.0, 60.0, 7999, 4), ("bad_beats_per_bar", "constant", 1.0, 60.0, 8000, 0)]
+    r = spark.createDataFrame([(i, k, d, b, b, n, m) for i, k, d, b, n, m in rows], "recipe_id string, kind string, duration_s double, start_bpm double, end_bpm double, sample_rate int, beats_per_bar int")
+    assert sorted((x.recipe_id, x.code) for x in truth.recipe_violations(r).collect()) == sorted((k, k) for k in {r[0] for r in rows} - {"ok"})
+
+
 def test_predictions_are_scored(spark, suite_dir, tmp_path):
     s = suites.open_suite(spark, f"{suite_dir}/suite.json")
     truth = {}
