@@ -761,7 +761,18 @@ def _(s, d):
     return folds.edge_double_time(_with_activity(s, d))
 
 
-@query("bar_level_downbeats")
+# Half-bar runs of downbeats lose their weaker phase; then a neighbour one beat off the bar moves to the stronger beat.
+_BARS = """WITH p AS (SELECT *, pow(10, near_db / 20) AS power FROM near), d AS (SELECT track_id, idx, power, row_number() OVER w - 1 AS k, idx - lag(idx) OVER w AS g, count(*) OVER (PARTITION BY track_id) AS total FROM p WHERE downbeat_confidence >= 0.5 WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+    r AS (SELECT *, sum(CASE WHEN g = 2 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY k) AS run FROM d), j AS (SELECT *, (row_number() OVER (PARTITION BY track_id, run ORDER BY k) - 1) % 2 AS j FROM r WHERE total >= 6),
+    c AS (SELECT *, CASE WHEN m0 >= m1 THEN 0 ELSE 1 END AS phase FROM (SELECT track_id, run, min(k) AS k0, max(k) AS k1, avg(power) FILTER (j = 0) AS m0, avg(power) FILTER (j = 1) AS m1 FROM j GROUP BY 1, 2 HAVING count(*) >= 6) WHERE greatest(m0, m1) / greatest(least(m0, m1), 1e-9) >= 1.2::DOUBLE),
+    z AS (SELECT track_id, idx FROM j JOIN c USING (track_id, run) WHERE j <> phase), n AS (SELECT p.*, CASE WHEN z.idx IS NULL THEN downbeat_confidence ELSE 0 END AS down FROM p LEFT JOIN z USING (track_id, idx)),
+    e AS (SELECT track_id, run, k0, k1, min(idx) AS a, max(idx) AS b FROM j JOIN c USING (track_id, run) WHERE j = phase GROUP BY ALL),
+    m AS (SELECT e.track_id, d.idx AS have, a - 4 AS want FROM e JOIN d ON d.track_id = e.track_id AND d.k = k0 - 1 UNION ALL SELECT e.track_id, d.idx, b + 4 FROM e JOIN d ON d.track_id = e.track_id AND d.k = k1 + 1),
+    o AS (SELECT m.*, h.down FROM m JOIN n h ON h.track_id = m.track_id AND h.idx = have JOIN n w ON w.track_id = m.track_id AND w.idx = want WHERE abs(want - have) <= 1 AND w.down < 0.5 AND h.down >= 0.5 AND w.power / greatest(h.power, 1e-9) >= 1.2::DOUBLE)
+    SELECT n.track_id, time_s, confidence, coalesce(i.down, CASE WHEN x.have IS NULL THEN n.down ELSE 0 END) AS downbeat_confidence FROM n LEFT JOIN o i ON i.track_id = n.track_id AND i.want = n.idx LEFT JOIN o x ON x.track_id = n.track_id AND x.have = n.idx"""
+
+
+@query("bar_level_downbeats", sql(f"SELECT {rounded('!track_id, time_s, confidence, downbeat_confidence')} FROM ({_BARS})", "near"))
 def _(s, d):
     return folds.bar_level_downbeats(_with_activity(s, d))
 

@@ -25,7 +25,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["tempo_curve", "tempo_hypotheses", "silence_anti_join", "nearest_activity", "change_dedup", "rhythm_sections", "tempo_metrics", "beat_metrics", "peak_dedup", "midpoint_recovery", "decoder_cases", "decoder_sweep", "tag_slices", "policy_oracle", "policy_comparison", "asset_resolve", "grid_prefix_fit", "grid_suffix_fit", "polyline_knots", "tempo_segments", "segment_transitions", "transition_changes", "beats_beside_transitions", "all_changes", "case_verdicts", "metric_delta", "metrical_run_repair", "jitter_repair", "change_metrics"])
+@pytest.mark.parametrize("name", ["tempo_curve", "tempo_hypotheses", "silence_anti_join", "nearest_activity", "change_dedup", "rhythm_sections", "tempo_metrics", "beat_metrics", "peak_dedup", "midpoint_recovery", "decoder_cases", "decoder_sweep", "tag_slices", "policy_oracle", "policy_comparison", "asset_resolve", "grid_prefix_fit", "grid_suffix_fit", "polyline_knots", "tempo_segments", "segment_transitions", "transition_changes", "beats_beside_transitions", "all_changes", "case_verdicts", "metric_delta", "bar_level_downbeats", "metrical_run_repair", "jitter_repair", "change_metrics"])
 def test_query_equals_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
