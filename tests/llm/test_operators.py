@@ -188,6 +188,23 @@ def test_keep_one_keeps_each_group_once(spark):
     assert jaccard.jaccard_groups(docs_of(spark, [])).count() == 0
 
 
+def test_groups_without_broadcasts_and_in_small_blocks(spark, monkeypatch):
+    """The ways beyond the bounds: keys shuffled instead of broadcast, hot buckets compared in many blocks."""
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(27)
+    base = words(rng, 40, 5000).split()
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(k % 3):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10_000)}"
+        texts.append(" ".join(w))
+    texts += near_copies(rng, 5) + ODD
+    got = jaccard.jaccard_groups(docs_of(spark, texts).repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(texts)
+
+
 def test_hot_signatures_long_sets_and_odd_ids(spark):
     """A group of hundreds of near copies (heavy signatures, links of some pairs only), long sets, null and repeated ids."""
     rng = random.Random(17)
