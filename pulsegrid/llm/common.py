@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -108,8 +108,21 @@ def split_of(col: str | Column, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+_kept: dict[str, object] = {}
+
+
+def keep_for(operator: str, make: Callable[[], object]) -> object:
+    """A table that the tasks of one operator share in a worker process; it goes when the worker turns to another operator's texts."""
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = make()
+    return _kept[operator]
+
+
+def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYTES, operator: str = "") -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of slices of a batch; null is the empty text."""
+    if operator not in _kept:
+        _kept.clear()
     texts = batch.column(batch.schema.get_field_index(column))
     start, size, block = 0, 0, []
     for k in range(0, len(texts), 512):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import hash_runs, save, text_blocks
+from pulsegrid.llm.common import hash_runs, keep_for, save, text_blocks
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -80,7 +80,7 @@ class _StretchIds:
         if 2 * (self.entries + len(names)) > len(self.keys):
             full = self.keys != 0
             old = self.keys[full], self.start[full], self.length[full]
-            self._slots(1 << (4 * (self.entries + len(names))).bit_length())
+            self._slots(1 << (2 * (self.entries + len(names))).bit_length())
             self._keep(*old)
         while len(names):  # of names that want one slot the last stays, the others look on
             slot, _ = self._find(names)
@@ -209,10 +209,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _StretchIds(tokenizer)  # goes with the task, so an idle worker keeps none
+        own = f"packing {tokenizer}"
+        table = keep_for(own, lambda: _StretchIds(tokenizer))
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for row, texts in text_blocks(batch, "text", TEXT_BYTES):
+            for row, texts in text_blocks(batch, "text", TEXT_BYTES, own):
                 rows: list[tuple] = []
                 ids, ends = table(texts)
                 start = 0
