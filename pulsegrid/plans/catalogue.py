@@ -431,9 +431,7 @@ def _(s, d):
 
 @query("missing_events", sql("SELECT recipe_id, jj AS j, round(time_s, 6) AS time_s FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY time_s) - 1 AS jj FROM truth_beats) e WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.recipe_id = e.recipe_id AND m.j = e.jj)", "matches"))
 def _(s, d):
-    m = _matches(s, d)
-    all_ = m.select("recipe_id", F.posexplode("e").alias("j", "time_s"))
-    return all_.join(m.select("recipe_id", F.explode("pairs").alias("p")).select("recipe_id", F.col("p.j").alias("j")), ["recipe_id", "j"], "left_anti")
+    return scoring.missed_events(_matches(s, d))
 
 
 @query("beat_metrics", plain("x", "!recipe_id, !n_predicted, !n_expected, !matched, precision, recall, f1, median_error_ms, p95_error_ms", "metrics"))

@@ -70,6 +70,4 @@ def recoverability(frames: DataFrame, events: DataFrame, tolerance: float | Data
     """``evidence`` of the events that the upstream policy (radius 3 above 0) misses."""
     p = signal.dedupe_peaks(signal.local_peaks(frames)).select("track_id", signal.frame_time(F.col("frame")).alias("time_s"))
     m = scoring.match_events(p, events, tolerance, "track_id")
-    every = m.select("track_id", F.posexplode("e").alias("j", "time_s"))
-    missed = every.join(m.select("track_id", F.explode("pairs").alias("x")).select("track_id", F.col("x.j").alias("j")), ["track_id", "j"], "left_anti")
-    return evidence(frames, missed, tolerance)
+    return evidence(frames, scoring.missed_events(m, "track_id"), tolerance)

@@ -128,6 +128,18 @@ def test_matches(spark):
     assert (m.matched, m.recall) == (2, 1.0) and abs(m.precision - 2 / 3) < 1e-12
 
 
+def test_missed_events_without_broadcast(spark, duck):
+    """Exploded arrays look as small as the table they come from, so no join may broadcast them; keys with one list alone count."""
+    plan = catalogue.QUERIES["missing_events"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "ArrowEvalPython" not in plan
+    assert "BroadcastExchange" not in catalogue.QUERIES["match_events"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    p = spark.createDataFrame([(1, 0.01), (3, 0.0)], "recipe_id long, time_s double")
+    e = spark.createDataFrame([(1, 0.0), (1, 0.5), (2, 1.0)], "recipe_id long, time_s double")
+    m = scoring.missed_events(scoring.match_events(p, e, 0.07))
+    assert sorted(tuple(r) for r in m.collect()) == [(1, 1, 0.5), (2, 0, 1.0)]
+    test_query_equals_sql(spark, duck, "missing_events")
+
+
 def test_ramp_truth(spark):
     r = spark.createDataFrame([(1, 0, 10.0, "constant", 96.0, 96.0), (1, 1, 10.0, "linear_ramp", 96.0, 144.0), (1, 2, 10.0, "constant", 144.0, 144.0)], "recipe_id long, seg long, duration_s double, kind string, start_bpm double, end_bpm double")
     assert truth.truth_beats(r).count() == 60
