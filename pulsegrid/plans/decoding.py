@@ -39,7 +39,7 @@ def policy_scores(frames: DataFrame, events: DataFrame, tolerance: float | DataF
         tolerance = tolerance.select("track_id", "tolerance", names.alias("policy")).select(case.alias("case"), "tolerance")
     predicted = policy_beats(frames, policies).select(case.alias("case"), signal.frame_time(F.col("frame")).alias("time_s"))
     expected = events.select("track_id", "time_s", names.alias("policy")).select(case.alias("case"), "time_s")
-    m = scoring.beat_metrics(scoring.match_events(predicted, expected, tolerance, "case"), "case").select("case.policy", "case.track_id", "n_predicted", "n_expected", "matched", "precision", "recall", "f1")
+    m = scoring.beat_metrics(scoring.match_events(predicted, expected, tolerance, "case"), "case").select("case.policy", "case.track_id", "n_predicted", "n_expected", "matched", "precision", "recall", scoring.f1(F.col("precision"), F.col("recall")).alias("f1"))
     # A case with neither beats nor events is nothing out of nothing.
     every = frames.select("track_id").distinct().select("track_id", names.alias("policy"))
     return every.join(m, ["policy", "track_id"], "left").fillna(0, ["n_predicted", "n_expected", "matched"]).fillna(1.0, ["precision", "recall", "f1"])
