@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import libm
 from pulsegrid.options import EstimatorOptions
 
 OPTIONS = EstimatorOptions()
@@ -76,7 +77,9 @@ def smooth_tempo(gaps: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     near = _track("idx").rowsBetween(-1, 1)
     fixed = octave_repair(gaps, o)
     flat = (F.max("repaired_bpm").over(near) / F.min("repaired_bpm").over(near)) <= 1 + o.jump_ratio
-    return fixed.withColumn("smoothed_bpm", F.when(flat & (F.count("*").over(near) == 3), F.pow(F.lit(2.0), F.avg(F.log2("repaired_bpm")).over(near))).otherwise(F.col("repaired_bpm")))
+    three = F.when(flat & (F.count("*").over(near) == 3), F.struct(F.lag("repaired_bpm").over(_track("idx")).alias("a"), F.col("repaired_bpm").alias("b"), F.lead("repaired_bpm").over(_track("idx")).alias("c")))
+    mean = libm.geometric_mean(F.col("three.a"), F.col("three.b"), F.col("three.c"))
+    return fixed.withColumn("three", three).withColumn("smoothed_bpm", F.coalesce(mean, "repaired_bpm")).drop("three")
 
 
 def tempo_curve(gaps: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
