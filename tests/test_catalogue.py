@@ -186,7 +186,7 @@ def events_of(spark, duck, tmp_path, *users):
 def test_equal_knots(spark, duck, tmp_path):
     """User 845 has two points equally far from a line."""
     rows = events_of(spark, duck, tmp_path, 845, 846)
-    for name in ("polyline_knots", "tempo_segments", "segment_transitions", "transition_changes", "beats_beside_transitions"):
+    for name in ("polyline_knots", "tempo_segments", "segment_transitions", "transition_changes", "beats_beside_transitions", "all_changes"):
         got, want = rows(name)
         assert got == want and got, name
 
