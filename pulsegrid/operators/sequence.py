@@ -105,7 +105,7 @@ def tempo_jumps(curve: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
     n = F.count("*").over(_track())
     c = curve.select("track_id", "idx", "time_s", "bpm", "confidence", (F.row_number().over(_track("idx")) - 1).alias("k"), n.alias("n"), F.lag("bpm", 1).over(_track("idx")).alias("b1"), F.lag("bpm", 2).over(_track("idx")).alias("b2"), F.lead("bpm", 1).over(_track("idx")).alias("a1"))
     before, after = (F.col("b2") + F.col("b1")) / 2, (F.col("bpm") + F.col("a1")) / 2
-    ratio = F.abs(F.log(after / before))
+    ratio = F.abs(libm.log(after / before))
     return c.where((F.col("n") >= 5) & (F.col("k") >= 2) & (F.col("k") < F.col("n") - 2)).select("track_id", "time_s", before.alias("before_bpm"), after.alias("after_bpm"), clamp((ratio - math.log1p(o.jump_ratio)) / 0.25).alias("score"), ratio.alias("_r")).where(F.col("_r") >= math.log1p(o.jump_ratio)).drop("_r")
 
 

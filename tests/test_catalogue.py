@@ -191,6 +191,26 @@ def test_equal_knots(spark, duck, tmp_path):
         assert got == want and got, name
 
 
+def test_jump_scores_to_the_last_bit(spark):
+    """A rise and a fall by the same ratio: the order of their scores is that of the C library's logarithms."""
+    from pulsegrid.operators import sequence
+
+    rng = random.Random(6)
+    v = [round(rng.choice((40, 60, 90, 135, 320)) * (1 + rng.uniform(0, 0.1)), 3) for _ in range(400)]
+    curve = spark.createDataFrame([(1, i, float(i), x, 1.0) for i, x in enumerate(v)], "track_id long, idx long, time_s double, bpm double, confidence double")
+    ratios = {float(i): abs(math.log((v[i] + v[i + 1]) / 2 / ((v[i - 2] + v[i - 1]) / 2))) for i in range(2, len(v) - 2)}
+    want = {t: min(max((r - math.log1p(0.12)) / 0.25, 0.0), 1.0) for t, r in ratios.items() if r >= math.log1p(0.12)}
+    assert {r.time_s: r.score for r in sequence.tempo_jumps(curve).collect()} == want
+
+
+def test_equal_jumps(spark, duck, tmp_path):
+    """Users 687 and 1452 have close jumps of equal strength."""
+    rows = events_of(spark, duck, tmp_path, 687, 1452)
+    for name in ("change_dedup",):
+        got, want = rows(name)
+        assert got == want and got, name
+
+
 def test_ramp_truth(spark):
     r = spark.createDataFrame([(1, 0, 10.0, "constant", 96.0, 96.0), (1, 1, 10.0, "linear_ramp", 96.0, 144.0), (1, 2, 10.0, "constant", 144.0, 144.0)], "recipe_id long, seg long, duration_s double, kind string, start_bpm double, end_bpm double")
     assert truth.truth_beats(r).count() == 60
