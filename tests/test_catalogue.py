@@ -206,7 +206,7 @@ def test_jump_scores_to_the_last_bit(spark):
 def test_equal_jumps(spark, duck, tmp_path):
     """Users 687 and 1452 have close jumps of equal strength."""
     rows = events_of(spark, duck, tmp_path, 687, 1452)
-    for name in ("change_dedup", "section_boundaries"):
+    for name in ("change_dedup", "section_boundaries", "rhythm_sections"):
         got, want = rows(name)
         assert got == want and got, name
 
