@@ -19,10 +19,13 @@ QUIET = EstimatorOptions(silence_threshold_db=-20.0)
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six places, counts as long."""
+    """Doubles rounded to six places as SQL does it, counts as long.
+
+    The scaled double is rounded: 0.026887499999999998, a mean of 0.0268875, gives 26887.5 and goes up. Spark's own round takes the digits.
+    """
     out: list[Column] = []
     for name, kind in df.dtypes:
-        out.append(F.round(F.col(name).cast("double"), 6).alias(name) if kind in ("double", "float") else F.col(name).cast("long").alias(name) if kind in ("int", "tinyint", "smallint") else F.col(name))
+        out.append((F.round(F.col(name).cast("double") * 1e6) / 1e6).alias(name) if kind in ("double", "float") else F.col(name).cast("long").alias(name) if kind in ("int", "tinyint", "smallint") else F.col(name))
     return df.select(*out)
 
 

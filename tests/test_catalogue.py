@@ -203,6 +203,15 @@ def test_jump_scores_to_the_last_bit(spark):
     assert {r.time_s: r.score for r in sequence.tempo_jumps(curve).collect()} == want
 
 
+def test_rounding_of_sql(spark, duck):
+    """Means a bit below a tie at the seventh place go up in SQL; infinity, nan and null stay."""
+    v = [0.026887499999999998, 0.028972499999999998, 0.024757499999999998, -0.024757499999999998, 2.5e-6, 0.1234567, 12345.6789012, math.inf, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i long, x double")
+    want = [r[0] for r in duck.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [v]).fetchall()]
+    assert [r.x for r in catalogue.r6(df).orderBy("i").collect()] == want
+    assert math.isnan(catalogue.r6(spark.createDataFrame([(math.nan,)], "x double")).first().x)
+
+
 def test_equal_jumps(spark, duck, tmp_path):
     """Users 687 and 1452 have close jumps of equal strength."""
     rows = events_of(spark, duck, tmp_path, 687, 1452)
