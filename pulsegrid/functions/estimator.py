@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 from statistics import median
 
 from pulsegrid.options import EstimatorOptions
@@ -262,7 +264,7 @@ def build_segments(times, bpm, conf, duration: float, p: EstimatorOptions) -> li
     for k, (a, b) in enumerate(zip(knots, knots[1:])):
         start = 0.0 if k == 0 else times[a]
         end = duration if k == len(knots) - 2 else times[b]
-        c = sum(conf[a : b + 1]) / (b - a + 1)
+        c = reduce(add, conf[a : b + 1]) / (b - a + 1)  # one by one, as SQL adds: sum() carries the lost bits along
         kind = "constant" if abs(math.log(bpm[b] / bpm[a])) <= math.log1p(p.constant_ratio) else "ramp"
         out.append(Segment(start, end, kind, bpm[a], bpm[b], c))
     return out

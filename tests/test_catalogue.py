@@ -212,6 +212,15 @@ def test_rounding_of_sql(spark, duck):
     assert math.isnan(catalogue.r6(spark.createDataFrame([(math.nan,)], "x double")).first().x)
 
 
+def test_confidences_added_one_by_one():
+    """A segment's confidence is a plain sum's mean, as list_avg has it; Python's sum() keeps the lost bits."""
+    from pulsegrid.functions import estimator as e
+    from pulsegrid.options import EstimatorOptions
+
+    conf = [0.1] * 10
+    assert [x.conf for x in e.build_segments([float(k) for k in range(10)], [100.0] * 10, conf, 10.0, EstimatorOptions())] == [0.9999999999999999 / 10]
+
+
 def test_equal_jumps(spark, duck, tmp_path):
     """Users 687 and 1452 have close jumps of equal strength."""
     rows = events_of(spark, duck, tmp_path, 687, 1452)
