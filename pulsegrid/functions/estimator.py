@@ -257,15 +257,17 @@ def simplify(times: list[float], bpm: list[float], tol: float) -> list[int]:
     return sorted(keep)
 
 
-def build_segments(times, bpm, conf, duration: float, p: EstimatorOptions) -> list[Segment]:
+def build_segments(times, bpm, conf, duration: float, p: EstimatorOptions, edge: float | None = None) -> list[Segment]:
+    """Segments between the knots, constant where the logarithm of their tempos' ratio is ``edge`` at most, log1p(constant_ratio) unless given."""
     knots, out = simplify(times, bpm, p.curve_tolerance_octaves), []
+    edge = math.log1p(p.constant_ratio) if edge is None else edge
     if len(times) == 1:
         return [Segment(0.0, duration, "constant", bpm[0], bpm[0], conf[0])]
     for k, (a, b) in enumerate(zip(knots, knots[1:])):
         start = 0.0 if k == 0 else times[a]
         end = duration if k == len(knots) - 2 else times[b]
         c = reduce(add, conf[a : b + 1]) / (b - a + 1)  # one by one, as SQL adds: sum() carries the lost bits along
-        kind = "constant" if abs(math.log(bpm[b] / bpm[a])) <= math.log1p(p.constant_ratio) else "ramp"
+        kind = "constant" if abs(math.log(bpm[b] / bpm[a])) <= edge else "ramp"
         out.append(Segment(start, end, kind, bpm[a], bpm[b], c))
     return out
 

@@ -22,12 +22,14 @@ def polyline_knots(curve: DataFrame, o: EstimatorOptions = EstimatorOptions()) -
 
 
 def tempo_segments(curve: DataFrame, tracks: DataFrame, o: EstimatorOptions = EstimatorOptions()) -> DataFrame:
-    """Constant and ramp segments between the knots."""
+    """Constant and ramp segments between the knots; a ratio of 1.03 itself is constant, as ln(1.03) in SQL has it (log1p(0.03) lies a bit below)."""
     import pandas as pd
 
+    edge = math.log(1 + o.constant_ratio)
+
     def run(pdf):
         p = pdf.sort_values("time_s")
-        s = e.build_segments(p.time_s.tolist(), p.bpm.tolist(), p.confidence.tolist(), float(p.duration_s.iloc[0]), o)
+        s = e.build_segments(p.time_s.tolist(), p.bpm.tolist(), p.confidence.tolist(), float(p.duration_s.iloc[0]), o, edge)
         return pd.DataFrame([(p.track_id.iloc[0], i, x.start, x.end, x.kind, x.start_bpm, x.end_bpm, x.conf) for i, x in enumerate(s)], columns="track_id seg start_s end_s kind start_bpm end_bpm confidence".split())
 
     joined = curve.join(tracks, "track_id").select("track_id", "time_s", "bpm", "confidence", "duration_s")

@@ -229,6 +229,29 @@ def test_equal_jumps(spark, duck, tmp_path):
         assert got == want and got, name
 
 
+def tracks_of(spark, tmp_path, *tracks):
+    """Events of tracks given by their gaps in microseconds: (spark rows, SQL rows) of a query."""
+    times = [(u, sum(gaps[:k])) for u, gaps in enumerate(tracks) for k in range(len(gaps) + 1)]
+    own = duckdb.connect()
+    own.execute("CREATE TABLE events AS SELECT row_number() OVER (ORDER BY u, t) AS event_id, make_timestamp(1704067200000000 + t) AS ts, u AS user_id, 'view' AS event_type, 100.0::DOUBLE AS value FROM (SELECT unnest(?::BIGINT[]) AS u, unnest(?::BIGINT[]) AS t)", [list(x) for x in zip(*times)])
+    own.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+
+    def rows(name):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        cols = sorted(df.columns)
+        return sorted(repr(tuple(r)) for r in df.select(*cols).collect()), sorted(repr(r) for r in own.sql(f"SELECT {', '.join(cols)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall())
+
+    return rows
+
+
+def test_ratio_at_the_constant_edge(spark, tmp_path):
+    """Two tempos whose ratio is 1.03 to the bit make a constant segment in SQL, whose edge is ln(1.03)."""
+    at = lambda us: us / 1e6 / 50000
+    gaps = next([103 * k, 100 * k] for k in range(300_000_001, 400_000_000, 1_000_003) if 60 / (at(203 * k) - at(103 * k)) / (60 / at(103 * k)) == 1.03)
+    got, want = tracks_of(spark, tmp_path, gaps)("tempo_segments")
+    assert got == want and "'constant'" in got[0]
+
+
 def test_ramp_truth(spark):
     r = spark.createDataFrame([(1, 0, 10.0, "constant", 96.0, 96.0), (1, 1, 10.0, "linear_ramp", 96.0, 144.0), (1, 2, 10.0, "constant", 144.0, 144.0)], "recipe_id long, seg long, duration_s double, kind string, start_bpm double, end_bpm double")
     assert truth.truth_beats(r).count() == 60
