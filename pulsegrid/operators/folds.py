@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import estimator as e
+from pulsegrid.functions import libm
 from pulsegrid.options import EstimatorOptions, estimator_policy
 
 
@@ -49,7 +50,8 @@ def segment_transitions(segments: DataFrame, o: EstimatorOptions = EstimatorOpti
     outer = [F.coalesce("a.prev", "a.start_bpm").alias("before_bpm"), F.coalesce("b.next", "b.end_bpm").alias("after_bpm")]
     inner = [F.col("a.start_bpm").alias("first_bpm"), F.col("b.end_bpm").alias("last_bpm"), F.col("a.prev").isNotNull().alias("has_before"), F.col("b.next").isNotNull().alias("has_after")]
     g = g.select("track_id", "a.start_s", "b.end_s", *outer, "confidence", *inner, F.col("a.seg").alias("first_seg"), F.col("b.seg").alias("last_seg"))
-    return g.where(F.abs(F.log(F.col("after_bpm") / F.col("before_bpm"))) >= math.log1p(o.jump_ratio))
+    # ln(1.12) as SQL has it, not log1p(0.12), which lies below the logarithm of one ratio that SQL leaves out.
+    return g.withColumn("_r", F.abs(libm.log(F.col("after_bpm") / F.col("before_bpm")))).where(F.col("_r") >= math.log(1 + o.jump_ratio)).drop("_r")
 
 
 def transition_changes(transitions: DataFrame, o: EstimatorOptions = EstimatorOptions()) -> DataFrame:

@@ -252,6 +252,14 @@ def test_ratio_at_the_constant_edge(spark, tmp_path):
     assert got == want and "'constant'" in got[0]
 
 
+@pytest.mark.parametrize("name", ["segment_transitions"])
+def test_ratio_at_the_jump_edge(spark, tmp_path, name):
+    """A fall by 1.12 whose logarithm lies between log1p(0.12) and ln(1.12), the edge in SQL, is no transition; a larger one beside it is."""
+    tied = [28_114_900_000] * 10 + [31_488_688_000] * 11
+    got, want = tracks_of(spark, tmp_path, tied, [30_000_000_000] * 9 + [20_000_000_000] * 9)(name)
+    assert got == want and got
+
+
 def test_ramp_truth(spark):
     r = spark.createDataFrame([(1, 0, 10.0, "constant", 96.0, 96.0), (1, 1, 10.0, "linear_ramp", 96.0, 144.0), (1, 2, 10.0, "constant", 144.0, 144.0)], "recipe_id long, seg long, duration_s double, kind string, start_bpm double, end_bpm double")
     assert truth.truth_beats(r).count() == 60
