@@ -252,7 +252,7 @@ def test_ratio_at_the_constant_edge(spark, tmp_path):
     assert got == want and "'constant'" in got[0]
 
 
-@pytest.mark.parametrize("name", ["segment_transitions", "beats_beside_transitions"])
+@pytest.mark.parametrize("name", ["segment_transitions", "transition_changes", "beats_beside_transitions"])
 def test_ratio_at_the_jump_edge(spark, tmp_path, name):
     """A fall by 1.12 whose logarithm lies between log1p(0.12) and ln(1.12), the edge in SQL, is no transition; a larger one beside it is."""
     tied = [28_114_900_000] * 10 + [31_488_688_000] * 11
