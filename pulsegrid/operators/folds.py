@@ -16,7 +16,7 @@ def polyline_knots(curve: DataFrame, o: EstimatorOptions = EstimatorOptions()) -
     """Points of the curve that the simplified polyline keeps."""
 
     def run(pdf):
-        p = pdf.sort_values("time_s").reset_index(drop=True)
+        p = pdf.sort_values(["time_s", "idx"]).reset_index(drop=True)
         return p.iloc[e.simplify(p.time_s.tolist(), p.bpm.tolist(), o.curve_tolerance_octaves)]
 
     return curve.select("track_id", "idx", "time_s", "bpm").groupBy("track_id").applyInPandas(run, "track_id long, idx long, time_s double, bpm double")
@@ -29,27 +29,28 @@ def tempo_segments(curve: DataFrame, tracks: DataFrame, o: EstimatorOptions = Es
     edge = math.log(1 + o.constant_ratio)
 
     def run(pdf):
-        p = pdf.sort_values("time_s")
+        p = pdf.sort_values(["time_s", "idx"])
         s = e.build_segments(p.time_s.tolist(), p.bpm.tolist(), p.confidence.tolist(), float(p.duration_s.iloc[0]), o, edge)
         return pd.DataFrame([(p.track_id.iloc[0], i, x.start, x.end, x.kind, x.start_bpm, x.end_bpm, x.conf) for i, x in enumerate(s)], columns="track_id seg start_s end_s kind start_bpm end_bpm confidence".split())
 
-    joined = curve.join(tracks, "track_id").select("track_id", "time_s", "bpm", "confidence", "duration_s")
+    joined = curve.join(tracks, "track_id").select("track_id", "idx", "time_s", "bpm", "confidence", "duration_s")
     return joined.groupBy("track_id").applyInPandas(run, "track_id long, seg long, start_s double, end_s double, kind string, start_bpm double, end_bpm double, confidence double")
 
 
 def segment_transitions(segments: DataFrame, o: EstimatorOptions = EstimatorOptions()) -> DataFrame:
-    """Blocks of ramps, short constants between two ramps bridged, that change the tempo: islands by windows."""
+    """Blocks of ramps, short constants between two ramps bridged, that change the tempo: islands by windows. low_s and high_s are where the segment
+    before a block starts and where the one behind it ends, null without one."""
     w = Window.partitionBy("track_id").orderBy("seg")
     ramp = F.col("kind") == "ramp"
     short = (F.col("end_s") - F.col("start_s")) * (F.col("start_bpm") + F.col("end_bpm")) / 2 / 60 < 6
     bridge = (F.lag("kind").over(w) == "ramp") & (F.lead("kind").over(w) == "ramp") & short
-    s = segments.withColumns({"inside": ramp | F.coalesce(bridge, F.lit(False)), "prev": F.lag("end_bpm").over(w), "next": F.lead("start_bpm").over(w)})
+    s = segments.withColumns({"inside": ramp | F.coalesce(bridge, F.lit(False)), "prev": F.lag("end_bpm").over(w), "next": F.lead("start_bpm").over(w), "low_s": F.lag("start_s").over(w), "high_s": F.lead("end_s").over(w)})
     s = s.withColumn("block", F.col("seg") - F.sum(F.col("inside").cast("int")).over(w)).where("inside")
-    first, last = F.min(F.struct("seg", "start_s", "start_bpm", "prev")), F.max(F.struct("seg", "end_s", "end_bpm", "next"))
+    first, last = F.min(F.struct("seg", "start_s", "start_bpm", "prev", "low_s")), F.max(F.struct("seg", "end_s", "end_bpm", "next", "high_s"))
     g = s.groupBy("track_id", "block").agg(first.alias("a"), last.alias("b"), F.avg("confidence").alias("confidence"))
     outer = [F.coalesce("a.prev", "a.start_bpm").alias("before_bpm"), F.coalesce("b.next", "b.end_bpm").alias("after_bpm")]
     inner = [F.col("a.start_bpm").alias("first_bpm"), F.col("b.end_bpm").alias("last_bpm"), F.col("a.prev").isNotNull().alias("has_before"), F.col("b.next").isNotNull().alias("has_after")]
-    g = g.select("track_id", "a.start_s", "b.end_s", *outer, "confidence", *inner, F.col("a.seg").alias("first_seg"), F.col("b.seg").alias("last_seg"))
+    g = g.select("track_id", "a.start_s", "b.end_s", *outer, "confidence", *inner, F.col("a.seg").alias("first_seg"), F.col("b.seg").alias("last_seg"), "a.low_s", "b.high_s")
     # ln(1.12) as SQL has it, not log1p(0.12), which lies below the logarithm of one ratio that SQL leaves out.
     return g.withColumn("_r", F.abs(libm.log(F.col("after_bpm") / F.col("before_bpm")))).where(F.col("_r") >= math.log(1 + o.jump_ratio)).drop("_r")
 
@@ -71,15 +72,15 @@ def transition_changes(transitions: DataFrame, o: EstimatorOptions = EstimatorOp
     return transitions.select("track_id", F.explode(F.array_compact(rows)).alias("c")).select("track_id", "c.*")
 
 
-def beats_beside(beats: DataFrame, transitions: DataFrame, segments: DataFrame) -> DataFrame:
+def beats_beside(beats: DataFrame, transitions: DataFrame) -> DataFrame:
     """track_id, first_seg, side, time_s: beats of the segments before and after each transition, from the former's start up to the transition, and
-    from behind the transition to the latter's end. A track has few transitions; the join is on the track with the two ranges."""
-    s = segments.select("track_id", "seg", F.col("start_s").alias("low"), F.col("end_s").alias("high"))
-    left = transitions.join(s.select("track_id", (F.col("seg") + 1).alias("first_seg"), "low"), ["track_id", "first_seg"]).select("track_id", "first_seg", F.lit("left").alias("side"), "low", F.col("start_s").alias("high"))
-    right = transitions.join(s.select("track_id", (F.col("seg") - 1).alias("last_seg"), "high"), ["track_id", "last_seg"]).select("track_id", "first_seg", F.lit("right").alias("side"), F.col("end_s").alias("low"), "high")
+    from behind the transition to the latter's end; no beat where there is no such segment. The transitions bring both ranges along, so segments are
+    built once. A track has few transitions; the join is on the track with the two ranges."""
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(low).alias("low"), F.col(high).alias("high")) for side, low, high in (("left", "low_s", "start_s"), ("right", "end_s", "high_s"))])
+    ranges = transitions.select("track_id", "first_seg", F.explode(sides).alias("r")).select("track_id", "first_seg", "r.*")
     t = F.col("time_s")
     within = ((F.col("side") == "left") & (t >= F.col("low")) & (t < F.col("high"))) | ((F.col("side") == "right") & (t > F.col("low")) & (t <= F.col("high")))
-    return beats.select("track_id", "time_s").join(left.unionByName(right), "track_id").where(within).select("track_id", "first_seg", "side", "time_s")
+    return beats.select("track_id", "time_s").join(ranges, "track_id").where(within).select("track_id", "first_seg", "side", "time_s")
 
 
 def repair_runs(gaps: DataFrame, o: EstimatorOptions | None = None) -> DataFrame:

@@ -41,11 +41,12 @@ def mirror(beats: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def intervals(beats: DataFrame, o: EstimatorOptions = OPTIONS) -> DataFrame:
-    """One row per gap: its seconds, raw and bounded tempo."""
-    dt = F.lead("time_s").over(_track("time_s")) - F.col("time_s")
-    raw = F.try_divide(F.lit(60.0), F.col("dt"))
+    """One row per gap: its seconds, raw and bounded tempo; a gap of zero is infinitely fast, as in SQL. Beats at one time keep their order by idx."""
+    order = _track("time_s", "idx")
+    dt = F.lead("time_s").over(order) - F.col("time_s")
+    raw = F.when(F.col("dt") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(60.0), F.col("dt")))
     return (
-        beats.select("track_id", "idx", "time_s", "confidence", F.lead("confidence").over(_track("time_s")).alias("next_confidence"), dt.alias("dt"))
+        beats.select("track_id", "idx", "time_s", "confidence", F.lead("confidence").over(order).alias("next_confidence"), dt.alias("dt"))
         .where("dt IS NOT NULL")
         .withColumn("raw_bpm", raw)
         .withColumn("bounded_bpm", clamp(F.col("raw_bpm"), o.min_bpm, o.max_bpm))

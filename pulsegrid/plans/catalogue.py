@@ -729,7 +729,7 @@ def _(s, d):
 @query("beats_beside_transitions", sql(f"""SELECT track_id, first_seg, side, round(time_s, 6) AS time_s FROM beats JOIN (SELECT track_id, first_seg, 'left' AS side, p.start_s AS low, b.start_s AS high FROM blocks b JOIN tempo_parts p USING (track_id) WHERE p.seg = first_seg - 1
     UNION ALL SELECT track_id, first_seg, 'right', b.end_s, p.end_s FROM blocks b JOIN tempo_parts p USING (track_id) WHERE p.seg = last_seg + 1) USING (track_id) WHERE (side = 'left' AND time_s >= low AND time_s < high) OR (side = 'right' AND time_s > low AND time_s <= high)""".replace("blocks b", f"""(SELECT * FROM ({_BLOCKS.replace(" FROM (SELECT *, seg - sum", ", min(seg) AS first_seg, max(seg) AS last_seg FROM (SELECT *, seg - sum", 1)}) WHERE abs(ln(after_bpm / before_bpm)) >= ln(1.12::DOUBLE)) b"""), "tempo_parts"))
 def _(s, d):
-    return folds.beats_beside(t.beats(s, d), _transitions(s, d), folds.tempo_segments(*_curve_and_tracks(s, d)))
+    return folds.beats_beside(t.beats(s, d), _transitions(s, d))
 
 
 # Positions that start a repair, and how many gaps each covers, from lists per track: later ones begin after earlier ones end.

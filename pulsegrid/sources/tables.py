@@ -13,14 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """track_id, idx, time_s, confidence, downbeat_confidence from ``events``: a user is a track."""
+    """track_id, idx, time_s, confidence, downbeat_confidence from ``events``: a user is a track; events without a time come last, as in SQL."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     track = Window.partitionBy("track_id")
     e = e.select(F.col("user_id").alias("track_id"), "event_id", "event_type", "value", micros.alias("us"))
     return e.select(
         "track_id",
-        (F.row_number().over(track.orderBy("us", "event_id")) - 1).cast("long").alias("idx"),
+        (F.row_number().over(track.orderBy(F.asc_nulls_last("us"), F.asc_nulls_last("event_id"))) - 1).cast("long").alias("idx"),
         ((F.col("us") - F.min("us").over(track)) / 1e6 / 50000).alias("time_s"),
         F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"),
         F.when(F.col("event_type") == "purchase", 0.9).otherwise(0.1).alias("downbeat_confidence"),

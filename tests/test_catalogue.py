@@ -260,6 +260,36 @@ def test_ratio_at_the_jump_edge(spark, tmp_path, name):
     assert got == want and got
 
 
+@pytest.mark.parametrize("name", ["beats_beside_transitions"])
+def test_zero_gap(spark, tmp_path, name):
+    """Two beats at one time are infinitely fast, bounded above: behind 40 a minute that is a transition, as in SQL."""
+    got, want = tracks_of(spark, tmp_path, [75_000_000_000] * 10 + [0], [30_000_000_000] * 9 + [0] + [20_000_000_000] * 9)(name)
+    assert got == want and any(r.endswith(", 0)") for r in got)
+
+
+def test_beats_at_one_time_in_order(spark, duck, tmp_path):
+    """Beats at one time keep the order of their events; events without a time come last."""
+    from pulsegrid.operators import folds, sequence
+
+    beats = spark.createDataFrame([(1, i, t, i / 10) for i, t in reversed(list(enumerate([0.0, 1.0, 1.0, 1.0, 2.0])))], "track_id long, idx long, time_s double, confidence double").coalesce(1)
+    gaps = sequence.intervals(beats)
+    assert [(r.dt, r.next_confidence) for r in gaps.orderBy("idx").collect()] == [(1.0, 0.1), (0.0, 0.2), (0.0, 0.3), (1.0, 0.4)]
+    curve = spark.createDataFrame([(1, 2, 2.0, 320.0, 0.2), (1, 1, 2.0, 60.0, 0.1), (1, 0, 1.0, 60.0, 0.0)], "track_id long, idx long, time_s double, bpm double, confidence double").coalesce(1)
+    tracks = spark.createDataFrame([(1, 3.0)], "track_id long, duration_s double")
+    assert [(r.start_bpm, r.end_bpm, r.confidence) for r in folds.tempo_segments(curve, tracks).orderBy("seg").collect()] == [(60.0, 60.0, 0.05), (60.0, 320.0, (0.1 + 0.2) / 2)]
+    duck.sql(f"COPY (SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN ts END AS ts, user_id, event_type, value FROM events) TO '{tmp_path}/events.parquet'")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["intervals"](spark, str(tmp_path)).select("track_id", "idx", "dt").collect())
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    assert got == sorted(own.sql(f"SELECT track_id, idx, dt FROM ({catalogue.ORACLE_SQL['intervals']})").fetchall())
+
+
+def test_segments_built_once(spark):
+    """The ranges beside a transition come with it: one grouped function, whose segments are not built again."""
+    plan = catalogue.QUERIES["beats_beside_transitions"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
+
+
 def test_ramp_truth(spark):
     r = spark.createDataFrame([(1, 0, 10.0, "constant", 96.0, 96.0), (1, 1, 10.0, "linear_ramp", 96.0, 144.0), (1, 2, 10.0, "constant", 144.0, 144.0)], "recipe_id long, seg long, duration_s double, kind string, start_bpm double, end_bpm double")
     assert truth.truth_beats(r).count() == 60
