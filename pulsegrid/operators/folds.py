@@ -39,7 +39,7 @@ def tempo_segments(curve: DataFrame, tracks: DataFrame, o: EstimatorOptions = Es
 
 def segment_transitions(segments: DataFrame, o: EstimatorOptions = EstimatorOptions()) -> DataFrame:
     """Blocks of ramps, short constants between two ramps bridged, that change the tempo: islands by windows. low_s and high_s are where the segment
-    before a block starts and where the one behind it ends, null without one."""
+    before a block starts and where the one behind it ends, null without one; log_ratio is how far the tempos stand apart."""
     w = Window.partitionBy("track_id").orderBy("seg")
     ramp = F.col("kind") == "ramp"
     short = (F.col("end_s") - F.col("start_s")) * (F.col("start_bpm") + F.col("end_bpm")) / 2 / 60 < 6
@@ -52,14 +52,15 @@ def segment_transitions(segments: DataFrame, o: EstimatorOptions = EstimatorOpti
     inner = [F.col("a.start_bpm").alias("first_bpm"), F.col("b.end_bpm").alias("last_bpm"), F.col("a.prev").isNotNull().alias("has_before"), F.col("b.next").isNotNull().alias("has_after")]
     g = g.select("track_id", "a.start_s", "b.end_s", *outer, "confidence", *inner, F.col("a.seg").alias("first_seg"), F.col("b.seg").alias("last_seg"), "a.low_s", "b.high_s")
     # ln(1.12) as SQL has it, not log1p(0.12), which lies below the logarithm of one ratio that SQL leaves out.
-    return g.withColumn("_r", F.abs(libm.log(F.col("after_bpm") / F.col("before_bpm")))).where(F.col("_r") >= math.log(1 + o.jump_ratio)).drop("_r")
+    return g.withColumn("log_ratio", F.abs(libm.log(F.col("after_bpm") / F.col("before_bpm")))).where(F.col("log_ratio") >= math.log(1 + o.jump_ratio))
 
 
 def transition_changes(transitions: DataFrame, o: EstimatorOptions = EstimatorOptions()) -> DataFrame:
     """track_id, time_s, kind, score, before_bpm, after_bpm: a short transition between two segments is one jump at its start, any other a ramp
-    boundary at each end that has a neighbour."""
+    boundary at each end that has a neighbour. A jump's score takes the logarithm that found it, the C library's, since a tie at the last place shown
+    follows its last bit."""
     short = F.col("has_before") & F.col("has_after") & (F.col("end_s") - F.col("start_s") <= o.jump_transition_max_s)
-    score = F.least(F.greatest(F.col("confidence") * F.abs(F.log(F.col("after_bpm") / F.col("before_bpm"))) / 0.25, F.lit(0.0)), F.lit(1.0))
+    score = F.least(F.greatest(F.col("confidence") * F.col("log_ratio") / 0.25, F.lit(0.0)), F.lit(1.0))
 
     def change(when, at, kind, score, before, after):
         return F.when(when, F.struct(F.col(at).alias("time_s"), F.lit(kind).alias("kind"), score.alias("score"), F.col(before).alias("before_bpm"), F.col(after).alias("after_bpm")))

@@ -260,13 +260,31 @@ def test_ratio_at_the_jump_edge(spark, tmp_path, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", ["beats_beside_transitions"])
+@pytest.mark.parametrize("name", ["beats_beside_transitions", "transition_changes"])
 def test_zero_gap(spark, tmp_path, name):
     """Two beats at one time are infinitely fast, bounded above: behind 40 a minute that is a transition, as in SQL."""
     got, want = tracks_of(spark, tmp_path, [75_000_000_000] * 10 + [0], [30_000_000_000] * 9 + [0] + [20_000_000_000] * 9)(name)
     assert got == want and any(r.endswith(", 0)") for r in got)
 
 
+def test_transition_scores_to_the_last_bit(spark):
+    """A short transition's score is that of the C library's logarithm; one of them lies a bit below a tie at the seventh place."""
+    from pulsegrid.operators import folds
+
+    rng = random.Random(1)
+    pairs = [(84.0, 234.0)] * 2 + [(float(rng.randrange(60, 120)), float(rng.randrange(140, 300))) for _ in range(400)]
+    far = math.log(234 / 84)
+    shown = lambda x: math.floor(x * 1e6 + 0.5)
+    tie = next(c for k in range(500_000, 900_000) for c in [(k + 0.5) / 1e6 * 0.25 / far] if shown(c * far / 0.25) != shown(c * math.nextafter(far, 2) / 0.25))
+    conf = [0.1, tie, *[rng.uniform(0.01, 0.1) for _ in pairs[2:]]]
+    rows = [r for u, ((a, b), c) in enumerate(zip(pairs, conf)) for r in [(u, 0, 0.0, 9.0, "constant", a, a, 1.0), (u, 1, 9.0, 10.0, "ramp", a, b, c), (u, 2, 10.0, 19.0, "constant", b, b, 1.0)]]
+    segments = spark.createDataFrame(rows, "track_id long, seg long, start_s double, end_s double, kind string, start_bpm double, end_bpm double, confidence double")
+    turns = folds.transition_changes(folds.segment_transitions(segments))
+    want = {u: c * abs(math.log(b / a)) / 0.25 for u, ((a, b), c) in enumerate(zip(pairs, conf))}
+    assert catalogue.r6(turns).where("track_id = 1").first().score == duckdb.execute("SELECT round(?::DOUBLE, 6)", [want[1]]).fetchall()[0][0]
+    assert {r.track_id: r.score for r in turns.collect()} == want
+
+
 def test_beats_at_one_time_in_order(spark, duck, tmp_path):
     """Beats at one time keep the order of their events; events without a time come last."""
     from pulsegrid.operators import folds, sequence
